@@ -55,3 +55,15 @@ def cut(batch: pa.RecordBatch, slice_bytes: int) -> Iterator[pa.RecordBatch]:
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column's strings, null as empty."""
     return [x or "" for x in batch.column(name).to_pylist()]
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str, most: int = 2_000_000) -> DataFrame:
+    """``docs`` with (left_semi) or without (left_anti) the ids of a table ``(doc_id)``.
+
+    The ids are counted first: up to ``most`` of them are broadcast, so that the
+    texts stay where they are; more are joined by a shuffle.
+    """
+    listed = ids.select(F.col("doc_id").alias("chronolith_id"))
+    if listed.count() <= most:
+        listed = F.broadcast(listed)
+    return docs.join(listed, docs["doc_id"] == listed["chronolith_id"], how)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import ans, tokens, urls
+from chronolith.llm import ans, chunks, decontam, packing, simhash, tokens, urls
 from chronolith.llm.common import read
 from chronolith.storage import new_path
 
@@ -35,4 +35,23 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ans_tokens, op3_redirect_urls, op7_token_counts)}
+def op2_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.exact_groups(read(spark, sf_dir, "documents"))
+
+
+def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_classes(read(spark, sf_dir, "documents"))
+
+
+def op9_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_matches(docs, read(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join(F.array_sort("item_ids"), ","), 256)
+    return found.select("doc_id", "n_words", F.col("hit_words").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("hit_words") > 0).alias("contaminated"))
+
+
+def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), packing.word_count(F.col("text")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ans_tokens, op2_chunk_recipes, op3_redirect_urls, op6_golay_simhash, op7_token_counts, op9_suffix_decontamination, op10_length_buckets)}

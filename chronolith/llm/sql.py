@@ -1,3 +1,47 @@
 """DuckDB SQL with the same results as the registered queries, where SQL can express them."""
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op2_chunk_recipes"] = r"""
+with d as (select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as bare from documents),
+w as (select doc_id, bare, first_value(doc_id) over (partition by bare order by n desc, doc_id) as keep_id, count(*) over (partition by bare) as group_size from d)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(bare) as text_sha256 from w
+"""
+
+ORACLE_SQL["op3_redirect_urls"] = rf"""
+with recursive p as (
+  select page_id, html, coalesce({_LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+rules(h, q, v) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fit as (select distinct host, path, h || q as rule, v from (select distinct host, path from p), rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, q)),
+best as (select host, path, first(rule order by length(rule) desc, v) as rule, first(v order by length(rule) desc, v) as v from fit group by host, path),
+link as (
+  select host, host || path as src, unnest([regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
+    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) as l from p where host <> ''),
+target as (select src, case when contains(l, '://') then l when starts_with(l, '//') then 'x:' || l when starts_with(l, '/') then 'x://' || host || l else 'x://' || host || '/' || l end as u from link where l <> ''),
+edge as (select src, {_LOWER.format("regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1)")} || regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as dst from target),
+both_ways as (select src, dst from edge union select dst, src from edge),
+reach(node, seen) as (select src, src from both_ways union select r.node, b.dst from reach r join both_ways b on r.seen = b.src),
+class as (select node, min(seen) as component from reach group by node),
+named as (select p.page_id, p.host, p.path, b.rule, b.v, c.component from p left join best b on p.host = b.host and p.path = b.path left join class c on p.host <> '' and c.node = p.host || p.path),
+vote as (select component, bool_or(v = 'allow') as a, bool_or(v = 'block') as b from named where component is not null and v is not null group by component)
+select n.page_id, n.host, n.path, n.rule, coalesce(n.v, case when o.a then 'allow' when o.b then 'block' else 'allow' end) as verdict
+from named n left join vote o on n.component = o.component
+"""
+
+ORACLE_SQL["op9_suffix_decontamination"] = rf"""
+with d as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+win as (select distinct item_id, least(10, len(w)) as n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') as t
+  from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0)),
+sizes as (select distinct n from win),
+place as (select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as t from (select d.doc_id, d.w, s.n, unnest(range(1, len(d.w) - s.n + 2)) as i from d, sizes s where len(d.w) >= s.n)),
+hit as (select p.doc_id, p.i, p.n, win.item_id from place p join win on p.n = win.n and p.t = win.t),
+word as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from hit) group by doc_id),
+item as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hit group by doc_id)
+select d.doc_id, len(d.w) as n_words, coalesce(word.n_hit, 0) as n_hit, coalesce(item.n_items, 0) as n_items, sha256(coalesce(item.ids, '')) as items_sha256, coalesce(word.n_hit, 0) > 0 as contaminated
+from d left join word using (doc_id) left join item using (doc_id)
+"""

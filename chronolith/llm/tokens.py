@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from chronolith.llm.common import map_batches
 
@@ -116,5 +117,5 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", column: str = "
         worker = _workers.get(path) or _workers.setdefault(path, Counter(path, sent.value))
         yield {c: batch.column(c) for c in others} | {column: [worker.count(t or "") for t in batch.column(text).to_pylist()]}
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in others]).schema.add(column, "long")
-    return map_batches(docs.select(*[F.col(f"`{c}`") for c in others]), count, schema)
+    kept = docs.select(*[F.col(f"`{c}`") for c in others])
+    return map_batches(kept, count, StructType([*kept.schema.fields, StructField(column, LongType())]))
