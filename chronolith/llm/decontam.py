@@ -69,7 +69,8 @@ def search(index: Index, docs: list[list[bytes]]) -> Iterator[tuple[int, np.ndar
     place, ends = np.arange(total), np.cumsum(sizes)
     gaps = np.append(np.flatnonzero(codes == 0), total)
     run = np.minimum(gaps[np.searchsorted(gaps, place, "left")], np.repeat(ends, sizes)) - place
-    padded = np.concatenate([codes, np.zeros(index.width, ">u4")])
+    padded = np.zeros(total + index.width, ">u4")  # joining arrays would lose the byte order
+    padded[:total] = codes
     for n in index.lengths:
         starts = np.flatnonzero(run >= n)
         if not len(starts):
