@@ -104,31 +104,51 @@ def decode_block(words: bytes, checkpoints: bytes, n: int, lanes: int, freq: np.
 # --- tokens ------------------------------------------------------------------
 
 
-class Words(dict):
-    """Ids of each piece of a text between blanks and line feeds, which no token crosses.
+class Words:
+    """Ids of the pieces of texts between blanks and line feeds, which no token crosses.
 
-    A piece's ids come from the library once; ``limit`` bounds what is kept.
+    A piece's ids come from the library once for each worker; ``limit`` bounds
+    what is kept.  Letters are encoded many pieces to a call.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
-        self.limit, self.library = limit, Tokenizer.from_file(path)
+        self.known, self.limit, self.library = {"": b""}, limit, Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
 
-    def ids(self, text: str) -> np.ndarray:
-        pieces = text.replace("\n", " ").split(" ")
-        new = list({p for p in pieces if p not in self})
-        if new:
-            if len(self) > self.limit:
-                self.clear()
-                self[""] = b""
-                new = list(set(pieces) - {""})
-            for piece, coded in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                self[piece] = np.array(coded.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), "<u4")
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        pieces = [text.replace("\n", " ").split(" ") for text in texts]
+        found = set().union(*pieces)
+        if len(self.known) > self.limit:
+            self.known = {"": b""}
+        self.learn(found.difference(self.known))
+        get = self.known.__getitem__
+        return [b"".join(map(get, p)) for p in pieces]
+
+    def learn(self, new: set[str]) -> None:
+        """Add pieces.  A comma or stop after an ASCII letter is a token of its own, so it is added apart."""
+        ends = {p for p in new if p[-1] in ",." and len(p) > 1 and p[-2].isascii() and p[-2].isalpha()}
+        if ends:
+            self.learn(({p[:-1] for p in ends} | {p[-1] for p in ends}).difference(self.known))
+            for p in ends:
+                self.known[p] = self.known[p[:-1]] + self.known[p[-1]]
+        words, others = [], []
+        for p in new - ends:
+            (words if p.isalpha() else others).append(p)
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            coded = self.library.encode(" ".join(some), add_special_tokens=False)
+            word = np.array(coded.word_ids, np.int64)
+            if len(word) and word[-1] == len(some) - 1 and len(np.unique(word)) == len(some):
+                raw, edges = np.array(coded.ids, "<u4").tobytes(), (4 * np.searchsorted(word, np.arange(len(some) + 1))).tolist()
+                self.known.update(zip(some, (raw[i:j] for i, j in zip(edges, edges[1:], strict=False)), strict=True))
+            else:  # a letter that the library parts
+                others += some
+        for p, coded in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.known[p] = np.array(coded.ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -155,8 +175,8 @@ def encode(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None
         held = 0
         for batch in batches:
             for piece in cut(batch, 8 << 20):
-                for doc_id, text in zip(piece.column("doc_id").to_pylist(), texts_of(piece), strict=True):
-                    ids = np.frombuffer(words.ids(text).tobytes() + tail, "<u4")
+                for doc_id, raw in zip(piece.column("doc_id").to_pylist(), words.ids(texts_of(piece)), strict=True):
+                    ids = np.frombuffer(raw + tail, "<u4")
                     docs_now.append((doc_id, ids))
                     held += len(ids)
                     if held >= segment_tokens:
