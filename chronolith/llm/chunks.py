@@ -23,14 +23,14 @@ from chronolith.llm.common import SPACE, by_ids
 from chronolith.storage import written
 
 
-def boundary_class(modulus: int = 3, rest: int = 1) -> str:
-    """A pattern class with every ``modulus``-th character from ``!`` to the end of Latin Extended-B."""
-    return "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x21, 0x250) if c % modulus == rest) + "]"
+def boundary_class(modulus: int = 5, rest: int = 2) -> str:
+    """A pattern class with every ``modulus``-th character from ``!`` to the end of Latin-1."""
+    return "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x21, 0x100) if c % modulus == rest) + "]"
 
 
-def chunk_pattern(least: int = 64, most: int = 4096, marks: int = 5) -> str:
+def chunk_pattern(least: int = 128, most: int = 4096, marks: int = 3) -> str:
     """A chunk ends after ``marks`` characters of the class, ``least`` characters on, or at ``most``."""
-    return f"(?s).{{{least},{most}}}?{boundary_class()}{{{marks}}}|.{{1,{most}}}"
+    return f"(?s).{{{least},{most}}}?{boundary_class() * marks}|.{{1,{most}}}"
 
 
 def recipes(docs: DataFrame) -> DataFrame:
@@ -43,12 +43,13 @@ def recipes(docs: DataFrame) -> DataFrame:
     bare = docs.select("doc_id", F.char_length(text).alias("n"), F.regexp_replace(text, SPACE + "+", "").alias("bare"))
     cut = bare.select("doc_id", "n", F.sha2("bare", 256).alias("text_sha256"), F.regexp_extract_all("bare", F.lit(chunk_pattern()), F.lit(0)).alias("chunks"))
     marked = cut.select("doc_id", "n", "text_sha256", F.transform("chunks", lambda c: F.struct(F.xxhash64(c).alias("h"), F.unhex(F.sha2(c, 256)).alias("d"))).alias("marks"))
-    each = marked.select(F.explode("marks").alias("m")).select("m.h", "m.d").distinct()
+    # the outer form: the inner one adds a filter that would cut every text twice
+    each = marked.select(F.explode_outer("marks").alias("m")).select("m.h", "m.d").distinct()
     shared = written(each.groupBy("h").count().where("count > 1").select("h"), "shared-hashes")
     rows = marked.select("doc_id", "n", "text_sha256", F.col("marks.h").alias("ids"))
     if shared.isEmpty():
         return rows.withColumn("exact", F.lit(None).cast("array<struct<pos:int,d:binary>>"))
-    touched = marked.select("doc_id", "text_sha256", F.posexplode("marks").alias("pos", "m")).select("doc_id", "text_sha256", "pos", F.col("m.h").alias("h"), F.col("m.d").alias("d")).distinct()
+    touched = marked.select("doc_id", "text_sha256", F.posexplode_outer("marks").alias("pos", "m")).select("doc_id", "text_sha256", "pos", F.col("m.h").alias("h"), F.col("m.d").alias("d")).distinct()
     exact = touched.join(shared, "h").groupBy("doc_id", "text_sha256").agg(F.sort_array(F.collect_list(F.struct("pos", "d"))).alias("exact"))
     same = rows["doc_id"].eqNullSafe(exact["doc_id"]) & (rows["text_sha256"] == exact["text_sha256"])
     return rows.join(exact, same, "left").select(rows["*"], "exact")
