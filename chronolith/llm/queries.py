@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import ans, chunks, decontam, packing, simhash, tokens, urls
-from chronolith.llm.common import read
+from chronolith.llm import ans, chunks, decontam, packing, simhash, tokens, toxicity, urls
+from chronolith.llm.common import held_out, read
 from chronolith.storage import new_path
 
 #: The rules of the URL contract.
@@ -39,6 +39,13 @@ def op2_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op4_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held_out("doc_id", 0))
+    scored = toxicity.scores(docs, model)
+    return scored.select("doc_id", held_out("doc_id", 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_classes(read(spark, sf_dir, "documents"))
 
@@ -54,4 +61,4 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), packing.word_count(F.col("text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ans_tokens, op2_chunk_recipes, op3_redirect_urls, op6_golay_simhash, op7_token_counts, op9_suffix_decontamination, op10_length_buckets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ans_tokens, op2_chunk_recipes, op3_redirect_urls, op4_subword_toxicity, op6_golay_simhash, op7_token_counts, op9_suffix_decontamination, op10_length_buckets)}

@@ -55,59 +55,69 @@ class Model:
         return float(self.push[buckets_of(word, len(self.push))].mean())
 
 
-def train(texts: list[str], labels: np.ndarray, prior: float, n_buckets: int = 1 << 18, dim: int = 4, rounds: int = 60, least: int = 15, rate: float = 0.3, decay: float = 0.02, seed: int = 7) -> Model:
-    """Fit vectors and softmax on ``texts`` with balanced classes, then shift the bias to the share ``prior``."""
-    bags = [Counter(words_of(t)) for t in texts]
-    seen = Counter(w for b in bags for w in b)
-    vocabulary = {w: k for k, w in enumerate(sorted(seen))}
-    if not vocabulary or len(set(labels.tolist())) < 2:
-        return Model(np.zeros(n_buckets, np.float32), float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
-    grams = [buckets_of(w, n_buckets) for w in vocabulary]
-    sizes = np.array([len(g) for g in grams])
-    flat = np.concatenate([np.array(g) for g in grams])
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    # what few texts have says nothing about the class: its vectors stay zero
-    common = np.bincount(flat, np.array([seen[w] for w in vocabulary])[owner], n_buckets) >= least
-    flat, owner = flat[common[flat]], owner[common[flat]]
-    used, flat = np.unique(flat, return_inverse=True)
-    doc = np.array([d for d, b in enumerate(bags) for w in b if w in vocabulary])
-    word = np.array([vocabulary[w] for b in bags for w in b if w in vocabulary])
-    share = np.array([n / b.total() for b in bags for w, n in b.items() if w in vocabulary], np.float32)
+def _features(bags: list[Counter], n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, bucket, share)``: how much each bucket's vector counts in each text's mean of word means."""
+    known: dict[bytes, np.ndarray] = {}
+    texts, buckets, shares = [], [], []
+    for k, bag in enumerate(bags):
+        if bag:
+            grams = [known[w] if w in known else known.setdefault(w, np.array(buckets_of(w, n_buckets))) for w in bag]
+            weights = [np.full(len(g), n / bag.total() / len(g)) for g, n in zip(grams, bag.values(), strict=True)]
+            own, place = np.unique(np.concatenate(grams), return_inverse=True)
+            texts.append(np.full(len(own), k))
+            buckets.append(own)
+            shares.append(np.bincount(place, np.concatenate(weights)))
+    return (np.concatenate(texts), np.concatenate(buckets), np.concatenate(shares)) if texts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def train(texts: list[str], labels: np.ndarray, prior: float, n_buckets: int = 1 << 18, dim: int = 2, rounds: int = 200, least: int = 15, screen: float = 5.0, rate: float = 1.0, ridge: float = 1e-7, seed: int = 7) -> Model:
+    """Fit vectors and softmax jointly on ``texts``, then shift the bias to the share ``prior``.
+
+    Classes weigh the same in training.  A bucket in fewer than ``least`` texts,
+    or whose share of texts differs between the classes by less than ``screen``
+    standard errors, keeps a zero vector: chance words would be learnt by heart.
+    """
+    odds = float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
     y = labels.astype(np.int64)
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
+    text, bucket, share = _features([Counter(words_of(t)) for t in texts], n_buckets)
+    ones, zeros = int((y == 1).sum()), int((y == 0).sum())
+    if not ones or not zeros or not len(text):
+        return Model(np.zeros(n_buckets, np.float32), odds)
+    in_one, in_zero = (np.bincount(bucket[y[text] == c], minlength=n_buckets) for c in (1, 0))
+    both = (in_one + in_zero) / len(y)
+    error = np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / ones + 1 / zeros))
+    telling = (in_one + in_zero >= least) & (np.abs(in_one / ones - in_zero / zeros) >= screen * error)
+    text, bucket, share = (x[telling[bucket]] for x in (text, bucket, share))
+    used, place = np.unique(bucket, return_inverse=True)
+    weight = np.where(y == 1, 0.5 / ones, 0.5 / zeros)
     random = np.random.default_rng(seed)
-    vectors = random.uniform(-1 / dim, 1 / dim, (len(used), dim)).astype(np.float32)
-    softmax, bias = random.normal(0, 0.3, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in (("vectors", vectors), ("softmax", softmax), ("bias", bias))}
+    vectors = random.uniform(-0.1, 0.1, (len(used), dim))
+    softmax, bias = random.normal(0, 0.3, (dim, 2)), np.zeros(2)
+    moments = {name: (np.zeros_like(value), np.zeros_like(value)) for name, value in (("vectors", vectors), ("softmax", softmax), ("bias", bias))}
 
-    def step(name: str, value: np.ndarray, gradient: np.ndarray, k: int, rate: float) -> None:
-        """One step of Adam with decoupled decay."""
+    def step(name: str, value: np.ndarray, gradient: np.ndarray, k: int, size: float) -> None:
+        """One step of Adam."""
         m, v = moments[name]
         m += 0.1 * (gradient - m)
         v += 0.01 * (gradient * gradient - v)
-        value *= 1 - rate * decay
-        value -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-12)
+        value -= size * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-12)
 
-    total = np.bincount(doc, share, len(bags)) > 0
     for k in range(1, rounds + 1):
-        words = np.stack([np.bincount(owner, vectors[flat, d], len(sizes)) for d in range(dim)], 1).astype(np.float32) / sizes[:, None]
-        spread = words[word] * share[:, None]
-        texts_now = np.stack([np.bincount(doc, spread[:, d], len(bags)) for d in range(dim)], 1).astype(np.float32)
-        logits = texts_now @ softmax + bias
+        means = np.stack([np.bincount(text, vectors[place, d] * share, len(y)) for d in range(dim)], 1)
+        logits = means @ softmax + bias
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
-        p *= (weight * total)[:, None]
+        p *= weight[:, None]
         down = p @ softmax.T
-        pull = down[doc] * share[:, None]
-        by_word = np.stack([np.bincount(word, pull[:, d], len(sizes)) for d in range(dim)], 1) / sizes[:, None]
-        by_gram = np.stack([np.bincount(flat, by_word[owner, d], len(used)) for d in range(dim)], 1).astype(np.float32)
-        step("softmax", softmax, texts_now.T @ p, k, rate)
-        step("bias", bias, p.sum(0), k, rate)
-        step("vectors", vectors, by_gram, k, rate)
+        pull = np.stack([np.bincount(place, down[text, d] * share, len(used)) for d in range(dim)], 1)
+        size = rate * (1 - (k - 1) / rounds)
+        step("softmax", softmax, means.T @ p + ridge * softmax, k, size)
+        step("bias", bias, p.sum(0), k, 0.3 * size)
+        step("vectors", vectors, pull + ridge * vectors, k, size)
     push = np.zeros(n_buckets, np.float32)
     push[used] = vectors @ (softmax[:, 1] - softmax[:, 0])
-    return Model(push, float(bias[1] - bias[0] + np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
+    return Model(push, float(bias[1] - bias[0]) + odds)
 
 
 def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, per_class: int = 2000, seed: int = 7) -> Model:
