@@ -2,9 +2,9 @@
 
 A word is the mean of its own vector and of those of its character 3- to
 5-grams, all hashed to buckets; a text is the mean of its words; a linear
-softmax reads the class.  Vectors and softmax are trained jointly in numpy on
-the driver, on a bounded sample of labelled rows: at most ``per_class`` of each
-class, drawn by a hash of the id.  Misspelt words never seen share n-grams with
+softmax reads the class.  Vectors and softmax are trained jointly in numpy, on
+a bounded sample of labelled rows: at most ``per_class`` of each class, drawn by
+a hash of the id.  Misspelt words never seen share n-grams with
 words that were.
 
 Because all is linear, a trained word contributes one number, kept per worker,
@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from chronolith.llm.common import by_ids, map_batches, texts_of
+from chronolith.llm.common import map_batches, texts_of
+from chronolith.storage import written
 
 #: ASCII that is not a letter or digit parts words; other characters belong to them.
 _KEEP = bytes(b if chr(b).isalnum() or b >= 0x80 else 0x20 for b in range(128)) + bytes(range(128, 256))
@@ -55,39 +56,29 @@ class Model:
         return float(self.push[buckets_of(word, len(self.push))].mean())
 
 
-def _features(bags: list[Counter], n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(text, bucket, share)``: how much each bucket's vector counts in each text's mean of word means."""
-    known: dict[bytes, np.ndarray] = {}
-    texts, buckets, shares = [], [], []
-    for k, bag in enumerate(bags):
-        if bag:
-            grams = [known[w] if w in known else known.setdefault(w, np.array(buckets_of(w, n_buckets))) for w in bag]
-            weights = [np.full(len(g), n / bag.total() / len(g)) for g, n in zip(grams, bag.values(), strict=True)]
-            own, place = np.unique(np.concatenate(grams), return_inverse=True)
-            texts.append(np.full(len(own), k))
-            buckets.append(own)
-            shares.append(np.bincount(place, np.concatenate(weights)))
-    return (np.concatenate(texts), np.concatenate(buckets), np.concatenate(shares)) if texts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+def features(text: str, n_buckets: int, known: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``(buckets, shares)``: how much each bucket's vector counts in the text's mean of word means."""
+    bag = Counter(words_of(text))
+    if not bag:
+        return np.zeros(0, np.int64), np.zeros(0)
+    if len(known) > 200_000:
+        known.clear()
+    grams = [known[w] if w in known else known.setdefault(w, np.array(buckets_of(w, n_buckets), np.int32)) for w in bag]
+    weights = [np.full(len(g), n / bag.total() / len(g)) for g, n in zip(grams, bag.values(), strict=True)]
+    own, place = np.unique(np.concatenate(grams), return_inverse=True)
+    return own.astype(np.int64), np.bincount(place, np.concatenate(weights))
 
 
-def train(texts: list[str], labels: np.ndarray, prior: float, n_buckets: int = 1 << 18, dim: int = 2, rounds: int = 200, least: int = 15, screen: float = 5.0, rate: float = 1.0, ridge: float = 1e-7, seed: int = 7) -> Model:
-    """Fit vectors and softmax jointly on ``texts``, then shift the bias to the share ``prior``.
+def train(text: np.ndarray, bucket: np.ndarray, share: np.ndarray, y: np.ndarray, prior: float, n_buckets: int, dim: int = 2, rounds: int = 200, rate: float = 1.0, ridge: float = 1e-7, seed: int = 7) -> Model:
+    """Fit vectors and softmax jointly by Adam, then shift the bias to the share ``prior``.
 
-    Classes weigh the same in training.  A bucket in fewer than ``least`` texts,
-    or whose share of texts differs between the classes by less than ``screen``
-    standard errors, keeps a zero vector: chance words would be learnt by heart.
+    ``share[k]`` is the weight of ``bucket[k]`` in text ``text[k]``; both classes
+    weigh the same in training.
     """
     odds = float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
-    y = labels.astype(np.int64)
-    text, bucket, share = _features([Counter(words_of(t)) for t in texts], n_buckets)
     ones, zeros = int((y == 1).sum()), int((y == 0).sum())
-    if not ones or not zeros or not len(text):
+    if not ones or not zeros:
         return Model(np.zeros(n_buckets, np.float32), odds)
-    in_one, in_zero = (np.bincount(bucket[y[text] == c], minlength=n_buckets) for c in (1, 0))
-    both = (in_one + in_zero) / len(y)
-    error = np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / ones + 1 / zeros))
-    telling = (in_one + in_zero >= least) & (np.abs(in_one / ones - in_zero / zeros) >= screen * error)
-    text, bucket, share = (x[telling[bucket]] for x in (text, bucket, share))
     used, place = np.unique(bucket, return_inverse=True)
     weight = np.where(y == 1, 0.5 / ones, 0.5 / zeros)
     random = np.random.default_rng(seed)
@@ -96,7 +87,6 @@ def train(texts: list[str], labels: np.ndarray, prior: float, n_buckets: int = 1
     moments = {name: (np.zeros_like(value), np.zeros_like(value)) for name, value in (("vectors", vectors), ("softmax", softmax), ("bias", bias))}
 
     def step(name: str, value: np.ndarray, gradient: np.ndarray, k: int, size: float) -> None:
-        """One step of Adam."""
         m, v = moments[name]
         m += 0.1 * (gradient - m)
         v += 0.01 * (gradient * gradient - v)
@@ -120,21 +110,58 @@ def train(texts: list[str], labels: np.ndarray, prior: float, n_buckets: int = 1
     return Model(push, float(bias[1] - bias[0]) + odds)
 
 
-def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, per_class: int = 2000, seed: int = 7) -> Model:
-    """Train on at most ``per_class`` labelled rows of each class (labels: doc_id, toxic)."""
+def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, per_class: int = 2000, n_buckets: int = 1 << 18, least: int = 15, screen: float = 5.0, seed: int = 7) -> Model:
+    """Train on at most ``per_class`` labelled rows of each class (labels: doc_id, toxic).
+
+    The sample's n-grams are counted on the executors.  A bucket in fewer than
+    ``least`` texts, or whose share of texts differs between the classes by less
+    than ``screen`` standard errors, keeps a zero vector: chance words would be
+    learnt by heart.  Only the rest of the sample's weights reach the driver.
+    """
+    spark = docs.sparkSession
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(trainable if trainable is not None else F.lit(True)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    if len(shares) < 2:
-        prior = 1.0 if shares.get(1) else 0.0
-        return train([], np.zeros(0), prior)
     order = F.xxhash64("doc_id", F.lit(seed))
-    chosen = known.where("toxic = 1").orderBy(order).limit(per_class).unionByName(known.where("toxic = 0").orderBy(order).limit(per_class))
-    marks = {r["doc_id"]: r["toxic"] for r in chosen.collect()}
-    ids = docs.sparkSession.createDataFrame([(k,) for k in marks], "doc_id long")
-    rows = by_ids(docs.select("doc_id", "text"), ids, "left_semi").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return train([r["text"] or "" for r in rows], np.array([marks[r["doc_id"]] for r in rows]), shares[1] / sum(shares.values()), seed=seed)
+    drawn = [known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
+    chosen = drawn[0].unionByName(drawn[1]).select(F.col("doc_id").alias("chronolith_id"), "toxic")
+    shares = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("chronolith_id")).select("doc_id", "toxic", "text").repartition(8, "doc_id"), "labelled")
+    prior = shares.get(1, 0) / max(1, sum(shares.values()))
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        return Model(np.zeros(n_buckets, np.float32), float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
+
+    def count(batch: pa.RecordBatch) -> Iterator[dict]:
+        seen, cache = np.zeros((2, n_buckets), np.int64), {}
+        for label, text in zip(batch.column("toxic").to_pylist(), texts_of(batch), strict=True):
+            seen[label, features(text, n_buckets, cache)[0]] += 1
+        some = np.flatnonzero(seen.any(0))
+        yield {"bucket": some, "zeros": seen[0, some], "ones": seen[1, some]}
+
+    in_zero, in_one = (F.col(c) / sizes[k] for k, c in enumerate(("zeros", "ones")))
+    both = (F.col("zeros") + F.col("ones")) / (sizes[0] + sizes[1])
+    error = F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * (1 / sizes[0] + 1 / sizes[1]))
+    counted = map_batches(sample, count, "bucket int, zeros long, ones long").groupBy("bucket").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    telling = counted.where((F.col("zeros") + F.col("ones") >= least) & (F.abs(in_zero - in_one) >= screen * error)).select("bucket").toPandas()["bucket"].to_numpy()
+    mask = np.zeros(n_buckets, bool)
+    mask[telling.astype(np.int64)] = True
+    sent = spark.sparkContext.broadcast(mask)
+
+    def weigh(batch: pa.RecordBatch) -> Iterator[dict]:
+        cache: dict[bytes, np.ndarray] = {}
+        found = []
+        for text in texts_of(batch):
+            own, weight = features(text, n_buckets, cache)
+            some = sent.value[own]
+            found.append((own[some].tolist(), weight[some].tolist()))
+        yield {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "buckets": [f[0] for f in found], "shares": [f[1] for f in found]}
+
+    rows = map_batches(sample, weigh, "doc_id long, toxic int, buckets array<int>, shares array<double>").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["buckets"]))
+    text = np.repeat(np.arange(len(rows)), [len(r["buckets"]) for r in rows])
+    bucket = np.array([b for r in rows for b in r["buckets"]], np.int64)
+    share = np.array([w for r in rows for w in r["shares"]], np.float64)
+    return train(text, bucket, share, np.array([r["toxic"] for r in rows], np.int64), prior, n_buckets, seed=seed)
 
 
 class _Scorer:
