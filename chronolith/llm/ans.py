@@ -16,6 +16,7 @@ read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -101,6 +102,9 @@ def decode_block(words: bytes, checkpoints: bytes, n: int, lanes: int, freq: np.
     return out
 
 
+#: Fixed value: the tokenizer's own split of lower-case ASCII.
+PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+
 # --- tokens ------------------------------------------------------------------
 
 
@@ -129,26 +133,32 @@ class Words:
         return [b"".join(map(get, p)) for p in pieces]
 
     def learn(self, new: set[str]) -> None:
-        """Add pieces.  A comma or stop after an ASCII letter is a token of its own, so it is added apart."""
-        ends = {p for p in new if p[-1] in ",." and len(p) > 1 and p[-2].isascii() and p[-2].isalpha()}
-        if ends:
-            self.learn(({p[:-1] for p in ends} | {p[-1] for p in ends}).difference(self.known))
-            for p in ends:
-                self.known[p] = self.known[p[:-1]] + self.known[p[-1]]
-        words, others = [], []
-        for p in new - ends:
-            (words if p.isalpha() else others).append(p)
+        """Add pieces: letters many to a call; printable ASCII, and letters before a comma or stop, by their pre-tokens."""
+        known, words, others, parted = self.known, [], [], {}
+        for p in new:
+            if p.isalpha():
+                words.append(p)
+            elif p[-1] in ",." and p[:-1].isalpha():
+                parted[p] = (p[:-1], p[-1])
+            elif p.isascii() and p.isprintable() and "<|" not in p and len(parts := PRE_TOKENS(p.lower())) > 1:
+                parted[p] = parts
+            else:
+                others.append(p)
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
             coded = self.library.encode(" ".join(some), add_special_tokens=False)
             word = np.array(coded.word_ids, np.int64)
-            if len(word) and word[-1] == len(some) - 1 and len(np.unique(word)) == len(some):
+            if len(word) and word[-1] == len(some) - 1 and np.diff(word, prepend=-1).max() <= 1:
                 raw, edges = np.array(coded.ids, "<u4").tobytes(), (4 * np.searchsorted(word, np.arange(len(some) + 1))).tolist()
-                self.known.update(zip(some, (raw[i:j] for i, j in zip(edges, edges[1:], strict=False)), strict=True))
+                known.update(zip(some, [raw[i:j] for i, j in zip(edges, edges[1:], strict=False)], strict=True))
             else:  # a letter that the library parts
                 others += some
         for p, coded in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(coded.ids, "<u4").tobytes()
+            known[p] = np.array(coded.ids, "<u4").tobytes()
+        if parted:
+            self.learn({x for parts in parted.values() for x in parts}.difference(known))
+            for p, parts in parted.items():
+                known[p] = b"".join([known[x] for x in parts])
 
 
 @lru_cache(maxsize=2)
@@ -241,7 +251,7 @@ def decode(spark: SparkSession, path: str, checkpoint_steps: int = 64) -> DataFr
 
     files = spark.read.schema(SCHEMA).parquet(path)
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    # one row for each range partition, however many documents there are
+    # one row for each range partition, however many documents there are: a few thousand at most
     offsets = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))
     rows = map_batches(files, blocks_of, "part int, doc_id long, local_start long, ids binary", slice_bytes=1 << 62)
-    return rows.join(offsets, "part").select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "ids")
+    return rows.join(F.broadcast(offsets), "part").select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), "ids")
