@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import ans, chunks, decontam, packing, simhash, tokens, toxicity, urls
+from chronolith.llm import ans, chunks, decontam, feistel, packing, pst, simhash, tokens, toxicity, urls
 from chronolith.llm.common import held_out, read
 from chronolith.storage import new_path
 
 #: The rules of the URL contract.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 END_ID, TOKEN_LIMIT = 2, 1024
+#: A key for the registered query alone; a production run gives its own secret.
+PSEUDONYM_KEY = "registered query"
 
 
 def op1_ans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,10 +48,21 @@ def op4_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = feistel.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return found.select("doc_id", "text", F.size("pii").cast("long").alias("n_values"), F.transform("pii", lambda p: p["kind"]).alias("kinds"))
+
+
 def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_classes(read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = pst.score(docs, ~held_out("doc_id", 1))
+    return scored.select("doc_id", held_out("doc_id", 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_matches(docs, read(spark, sf_dir, "benchmark"))
@@ -61,4 +74,4 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), packing.word_count(F.col("text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ans_tokens, op2_chunk_recipes, op3_redirect_urls, op4_subword_toxicity, op6_golay_simhash, op7_token_counts, op9_suffix_decontamination, op10_length_buckets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ans_tokens, op2_chunk_recipes, op3_redirect_urls, op4_subword_toxicity, op5_feistel_pseudonyms, op6_golay_simhash, op7_token_counts, op8_suffix_tree_scores, op9_suffix_decontamination, op10_length_buckets)}
