@@ -115,7 +115,7 @@ class Words:
     what is kept.  Letters are encoded many pieces to a call.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.known, self.limit, self.library = {"": b""}, limit, Tokenizer.from_file(path)
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None
         docs_now: list[tuple[int | None, np.ndarray]] = []
         held = 0
         for batch in batches:
-            for piece in cut(batch, 8 << 20):
+            for piece in cut(batch, 2 << 20):
                 for doc_id, raw in zip(piece.column("doc_id").to_pylist(), words.ids(texts_of(piece)), strict=True):
                     ids = np.frombuffer(raw + tail, "<u4")
                     docs_now.append((doc_id, ids))
