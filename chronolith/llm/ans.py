@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -133,11 +134,15 @@ class Words:
         return [b"".join(map(get, p)) for p in pieces]
 
     def learn(self, new: set[str]) -> None:
-        """Add pieces: letters many to a call; printable ASCII, and letters before a comma or stop, by their pre-tokens."""
+        """Add pieces: ASCII letters by the library's merges alone, other letters many to a call; printable ASCII, and letters before a comma or stop, by their pre-tokens."""
         known, words, others, parted = self.known, [], [], {}
+        merge = self.library.model.tokenize
         for p in new:
             if p.isalpha():
-                words.append(p)
+                if p.isascii():  # one pre-token, which stands for its own bytes
+                    known[p] = array("I", [t.id for t in merge(p.lower())]).tobytes()
+                else:
+                    words.append(p)
             elif p[-1] in ",." and p[:-1].isalpha():
                 parted[p] = (p[:-1], p[-1])
             elif p.isascii() and p.isprintable() and "<|" not in p and len(parts := PRE_TOKENS(p.lower())) > 1:
