@@ -90,5 +90,3 @@ def component_size(df: DataFrame, roles: Roles, entities: Sequence[str]) -> Data
     sizes = named.groupBy("_component").applyInPandas(ordered, f"_id {dict(df.dtypes)[roles.id]}, component_size long")
     return df.join(sizes, df[roles.id] == sizes["_id"], "left").select(*[df[c] for c in df.columns], F.coalesce("component_size", F.lit(0).cast("long")).alias("component_size"))
 
-
-__all__ = ["component_size", "distinct_before", "entity_history"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.spec import Roles
-from chronolith.windows import masked, older, ordered, prior, prior_count, recent_count, recent_sum
+from chronolith.windows import masked, ordered, prior, prior_count, recent_count, recent_sum
 
 STATS = ("count", "sum", "mean", "std", "min", "max")
 
@@ -119,5 +119,3 @@ def velocity_features(df: DataFrame, roles: Roles) -> DataFrame:
     turn = F.col("velocity") - F.coalesce(F.lag("velocity").over(order), F.lit(0.0))
     return fast.select(*df.columns, masked(F.col("velocity"), 0.0, roles.key).alias("velocity"), masked(F.coalesce(F.try_divide(turn, F.col("_passed")), F.lit(0.0)), 0.0, roles.key).alias("acceleration"))
 
-
-__all__ = ["STATS", "amount_features", "history_features", "older", "prior_aggregates", "prior_sums_in_chunks", "velocity_features"]
