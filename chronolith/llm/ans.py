@@ -116,10 +116,10 @@ class Words:
     what is kept.  Letters are encoded many pieces to a call.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 650_000):
         from tokenizers import Tokenizer
 
-        self.known, self.limit, self.library = {"": b""}, limit, Tokenizer.from_file(path)
+        self.known, self.recent, self.limit, self.library = {"": b""}, set(), limit, Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
 
@@ -127,8 +127,9 @@ class Words:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         pieces = [text.replace("\n", " ").split(" ") for text in texts]
         found = set().union(*pieces)
-        if len(self.known) > self.limit:
-            self.known = {"": b""}
+        if len(self.known) > self.limit:  # keep what was in use lately
+            self.known = {"": b""} | {p: self.known[p] for p in self.recent | found if p in self.known}
+        self.recent = found
         self.learn(found.difference(self.known))
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
@@ -171,7 +172,7 @@ def _words(path: str) -> Words:
     return Words(path)
 
 
-def encode(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, block_tokens: int = 1 << 18, segment_tokens: int = 1 << 22, lanes: int = 1024, checkpoint_steps: int = 64) -> None:
+def encode(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, block_tokens: int = 1 << 18, segment_tokens: int = 1 << 21, lanes: int = 1024, checkpoint_steps: int = 64) -> None:
     """Write the ids of ``docs`` (doc_id, text) below ``path``, in ascending order of doc_id.
 
     ``tokenizer`` is a file of the tokenizers library that all machines have.
