@@ -32,7 +32,7 @@ KINDS = (
     ("date", r"(?<![\d./\-])(?:19|20)\d\d([\-/])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])(?![\d/\-])"),
     ("ipv4", r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)"),
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
-    ("phone", r"(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .\-]?\d{2,4}){2,3}(?!\d)"),
+    ("phone", r"(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .\-]?\d{3,4}){2}(?!\d)"),
     ("card", r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-])"),
     ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])"),
 )
