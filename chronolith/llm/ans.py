@@ -16,6 +16,7 @@ read.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from array import array
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import cut, map_batches, texts_of
+from chronolith.llm.tokens import byte_letters
 from chronolith.storage import shuffle_partitions
 
 LOW = np.uint64(1 << 31)
@@ -103,68 +105,69 @@ def decode_block(words: bytes, checkpoints: bytes, n: int, lanes: int, freq: np.
     return out
 
 
-#: Fixed value: the tokenizer's own split of lower-case ASCII.
+#: Fixed value: the tokenizer's own split, for printable ASCII in lower case.
 PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 # --- tokens ------------------------------------------------------------------
 
 
-class Words:
+class Words(dict):
     """Ids of the pieces of texts between blanks and line feeds, which no token crosses.
 
-    A piece's ids come from the library once for each worker; ``limit`` bounds
-    what is kept.  Letters are encoded many pieces to a call.
+    A piece's ids come from the library, once for as long as a worker keeps it;
+    ``limit`` bounds what is kept.  Capitals, and punctuation beside ASCII
+    letters, are looked up by their parts, as the tokenizer parts them.
     """
 
     def __init__(self, path: str, limit: int = 650_000):
         from tokenizers import Tokenizer
 
-        self.known, self.recent, self.limit, self.library = {"": b""}, set(), limit, Tokenizer.from_file(path)
+        super().__init__({"": b""})
+        self.limit, self.library = limit, Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        pieces = [text.replace("\n", " ").split(" ") for text in texts]
-        found = set().union(*pieces)
-        if len(self.known) > self.limit:  # keep what was in use lately
-            self.known = {"": b""} | {p: self.known[p] for p in self.recent | found if p in self.known}
-        self.recent = found
-        self.learn(found.difference(self.known))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
-
-    def learn(self, new: set[str]) -> None:
-        """Add pieces: ASCII letters by the library's merges alone, other letters many to a call; printable ASCII, and letters before a comma or stop, by their pre-tokens."""
-        known, words, others, parted = self.known, [], [], {}
-        merge = self.library.model.tokenize
-        for p in new:
-            if p.isalpha():
-                if p.isascii():  # one pre-token, which stands for its own bytes
-                    known[p] = array("I", [t.id for t in merge(p.lower())]).tobytes()
-                else:
-                    words.append(p)
-            elif p[-1] in ",." and p[:-1].isalpha():
-                parted[p] = (p[:-1], p[-1])
-            elif p.isascii() and p.isprintable() and "<|" not in p and len(parts := PRE_TOKENS(p.lower())) > 1:
-                parted[p] = parts
+        self.merge = self.library.model.tokenize
+        letters = {v: k for k, v in byte_letters().items()}
+        self.shown = {b: letters[b] for b in range(256) if chr(b) != letters[b]}
+
+    def ids(self, text: str) -> bytes:
+        """The text's ids as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def trim(self) -> None:
+        if len(self) > self.limit:
+            self.clear()
+            self[""] = b""
+
+    def __missing__(self, p: str) -> bytes:
+        if p.isascii():
+            low = p.lower()
+            if "<|" in p or not p.isprintable():  # may hold a special string or white space
+                found = self.whole(p)
+            elif low != p:
+                found = self[low]
+            elif p.isalpha():  # one pre-token, spelt by its own bytes
+                found = self.merged(p)
             else:
-                others.append(p)
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            coded = self.library.encode(" ".join(some), add_special_tokens=False)
-            word = np.array(coded.word_ids, np.int64)
-            if len(word) and word[-1] == len(some) - 1 and np.diff(word, prepend=-1).max() <= 1:
-                raw, edges = np.array(coded.ids, "<u4").tobytes(), (4 * np.searchsorted(word, np.arange(len(some) + 1))).tolist()
-                known.update(zip(some, [raw[i:j] for i, j in zip(edges, edges[1:], strict=False)], strict=True))
-            else:  # a letter that the library parts
-                others += some
-        for p, coded in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            known[p] = np.array(coded.ids, "<u4").tobytes()
-        if parted:
-            self.learn({x for parts in parted.values() for x in parts}.difference(known))
-            for p, parts in parted.items():
-                known[p] = b"".join([known[x] for x in parts])
+                parts = PRE_TOKENS(p)
+                found = b"".join([self[x] for x in parts]) if len(parts) > 1 else self.whole(p)
+        elif max(p) >= "ɐ" or "İ" in p:  # letters that the library may part or compose
+            found = self.whole(p)
+        elif p[-1] in ",." and p[:-1].isalpha():
+            found = self[p[:-1]] + self[p[-1]]
+        elif p.isalpha():
+            low = p.lower()
+            found = self[low] if low != p else self.merged(p.encode().decode("latin-1").translate(self.shown))
+        else:
+            found = self.whole(p)
+        self[p] = found
+        return found
+
+    def merged(self, shown: str) -> bytes:
+        return array("I", [t.id for t in self.merge(shown)]).tobytes()
+
+    def whole(self, p: str) -> bytes:
+        return array("I", self.library.encode(p, add_special_tokens=False).ids).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -185,14 +188,16 @@ def encode(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # millions of strings without cycles
         part, words = TaskContext.get().partitionId(), _words(tokenizer)
         segment = first = 0
         docs_now: list[tuple[int | None, np.ndarray]] = []
         held = 0
         for batch in batches:
             for piece in cut(batch, 2 << 20):
-                for doc_id, raw in zip(piece.column("doc_id").to_pylist(), words.ids(texts_of(piece)), strict=True):
-                    ids = np.frombuffer(raw + tail, "<u4")
+                words.trim()
+                for doc_id, text in zip(piece.column("doc_id").to_pylist(), texts_of(piece), strict=True):
+                    ids = np.frombuffer(words.ids(text) + tail, "<u4")
                     docs_now.append((doc_id, ids))
                     held += len(ids)
                     if held >= segment_tokens:
