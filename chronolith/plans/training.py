@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.operators import cleaning, metrics, models, rules, selection, tables
@@ -24,7 +26,8 @@ class Trained:
     classifier: models.Classifier
     calibrator: object
     tiers: tuple[float, float]
-    metrics: DataFrame
+    metrics: DataFrame | None = None
+    steps: list = field(default_factory=list)
 
     def score(self, df: DataFrame, version: str = "1") -> DataFrame:
         """``(id, probability, risk_level, action, binary_prediction, model_version, scored_at)`` of all rows at once."""
@@ -40,6 +43,25 @@ class Trained:
         scored = self.score(df).select("id", F.col("probability").alias("score"))
         return rules.decide(scored.join(ruled, F.col("id") == F.col("_id")).drop("_id"), "score", *self.tiers)
 
+    def save(self, path: str) -> None:
+        """``online_artifacts`` (fitted steps, model, settings) and ``reports`` (metrics) below ``path``."""
+        spark = SparkSession.getActiveSession()
+        self.plan.save(f"{path}/online_artifacts/steps")
+        self.classifier.save(f"{path}/online_artifacts/model")
+        settings = {"roles": asdict(self.roles), "steps": self.steps, "constant": self.cleaner.constant, "stats": self.cleaner.stats, "columns": self.classifier.columns, "platt": [self.calibrator.slope, self.calibrator.intercept], "tiers": list(self.tiers)}
+        spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/online_artifacts/settings")
+        if self.metrics is not None:
+            self.metrics.coalesce(1).write.mode("overwrite").csv(f"{path}/reports/metrics", header=True)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Trained:
+        at = f"{path}/online_artifacts"
+        s = json.loads(spark.read.text(f"{at}/settings").first()[0])
+        roles = Roles(**s["roles"])
+        plan = FeaturePlan(configure(s["steps"]), roles).load(spark, f"{at}/steps")
+        classifier = models.Classifier(s["columns"], PipelineModel.load(f"{at}/model").stages[0])
+        return Trained(roles, plan, cleaning.CleanerState(s["constant"], s["stats"]), classifier, models.PlattCalibrator(*s["platt"]), tuple(s["tiers"]), None, s["steps"])
+
 
 def train(df: DataFrame, roles: Roles, steps: Sequence[str | dict], ratio: float = 0.2, kind: str = "gbt", iv: float = 0.0, **params) -> Trained:
     """Split by time, fit features and cleaning on the older part, select, train, calibrate, and find tiers on the newer."""
@@ -58,4 +80,4 @@ def train(df: DataFrame, roles: Roles, steps: Sequence[str | dict], ratio: float
     calibrator = models.fit_platt(held, "_raw", roles.target)
     scored = calibrator.transform(held, "_raw", "p")
     best = metrics.best_tiers(scored, "p", roles.target).first()
-    return Trained(roles, plan, state, classifier, calibrator, (best["low"], best["high"]), models.evaluate(scored, "p", roles.target))
+    return Trained(roles, plan, state, classifier, calibrator, (best["low"], best["high"]), models.evaluate(scored, "p", roles.target), list(steps))
