@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.operators.tables import with_position
 from chronolith.spec import Roles
 from chronolith.windows import recent_count
 
@@ -35,13 +36,9 @@ def target_encode(df: DataFrame, state: DataFrame, column: str, output: str | No
 
 
 def fit_label_encoding(train: DataFrame, column: str) -> DataFrame:
-    """``(category, code)``: sorted distinct categories numbered from 0.
-
-    Distinct categories are numbered in one ordered window; there are far fewer
-    of them than rows.
-    """
+    """``(category, code)``: sorted distinct categories numbered from 0, in parallel."""
     distinct = train.select(category(column).alias("category")).distinct()
-    return distinct.select("category", (F.row_number().over(Window.orderBy("category")) - 1).cast("int").alias("code"))
+    return with_position(distinct, "category").select("category", F.col("position").cast("int").alias("code"))
 
 
 def label_encode(df: DataFrame, state: DataFrame, column: str, output: str | None = None) -> DataFrame:

@@ -48,14 +48,11 @@ def history_features(df: DataFrame, roles: Roles, windows: Sequence[int] = (3600
                 # one value has no spread; what is below the digits of the sums is none either
                 spread = squares - mean * mean
                 out[f"{c}_std_last_{w}s"] = F.when((n > 1) & (spread > 1e-12 * squares), F.sqrt(F.greatest(spread, F.lit(0.0)))).otherwise(0.0)
-            for name, function in (("min", F.min_by), ("max", F.max_by)):
+            for name, function, pick in (("min", F.min, F.least), ("max", F.max, F.greatest)):
                 if name in stats:
-                    # the frame also holds later rows of the same time: keep the earlier ones by (time, id)
-                    frame = Window.partitionBy(key).orderBy(roles.time).rangeBetween(-w, 0)
-                    listed = F.collect_list(F.struct(F.col(roles.time).alias("t"), F.col(roles.id).alias("i"), F.col(c).alias("v"))).over(frame)
-                    before = F.filter(listed, lambda r: (r["t"] < time) | (r["i"] < F.col(roles.id)))
-                    values = F.transform(before, lambda r: r["v"])
-                    out[f"{c}_{name}_last_{w}s"] = F.coalesce(F.array_min(values) if name == "min" else F.array_max(values), F.lit(0.0))
+                    before = function(c).over(Window.partitionBy(key).orderBy(roles.time).rangeBetween(-w, -1))
+                    tied = function(c).over(Window.partitionBy(key, roles.time).orderBy(roles.id).rowsBetween(Window.unboundedPreceding, -1))
+                    out[f"{c}_{name}_last_{w}s"] = F.coalesce(pick(before, tied), F.lit(0.0))
     return df.select("*", *[masked(v, 0, key).alias(k) for k, v in out.items()])
 
 
