@@ -147,12 +147,13 @@ def fit_isotonic(df: DataFrame, score: str, target: str) -> IsotonicCalibrator:
 
 
 def tree_nodes(classifier: Classifier, spark, path: str) -> DataFrame:
-    """The node table of a saved tree ensemble: ``(tree_id, node_id, left, right, feature, threshold, gain, value, n)``."""
+    """The node table of a saved tree ensemble: ``(tree_id, node_id, left, right, feature, threshold, gain, value, n, weight)``."""
     classifier.model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
     names = F.array(*[F.lit(c) for c in classifier.columns])
+    weights = F.array(*[F.lit(float(w)) for w in classifier.model.treeWeights])
     leaf = F.col("leftChild") < 0
-    return nodes.select(F.col("treeID").alias("tree_id"), F.col("id").alias("node_id"), F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), F.when(~leaf, F.element_at(names, F.col("split.featureIndex") + 1)).alias("feature"), F.when(~leaf, F.col("split.leftCategoriesOrThreshold")[0]).alias("threshold"), "gain", F.col("prediction").alias("value"), F.col("rawCount").alias("n"))
+    return nodes.select(F.col("treeID").alias("tree_id"), F.col("id").alias("node_id"), F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), F.when(~leaf, F.element_at(names, F.col("split.featureIndex") + 1)).alias("feature"), F.when(~leaf, F.col("split.leftCategoriesOrThreshold")[0]).alias("threshold"), "gain", F.col("prediction").alias("value"), F.col("rawCount").alias("n"), weights[F.col("treeID")].alias("weight"))
 
 
 def tree_paths(nodes: DataFrame, max_depth: int = 30) -> DataFrame:
@@ -196,16 +197,54 @@ def tree_interactions(paths: DataFrame, min_paths: int = 10, top: int = 30) -> D
     return pairs.groupBy("feature_1", "feature_2").agg(F.count(F.lit(1)).alias("paths"), F.avg("path_gain").alias("avg_gain")).where(F.col("paths") >= min_paths).orderBy(F.desc("paths"), "feature_1", "feature_2").limit(top)
 
 
-def trace(nodes: DataFrame, rows: DataFrame, id: str, max_depth: int = 30) -> DataFrame:
-    """``(id, tree_id, leaf_id, depth, value)``: where each of a few rows ends in each tree; null counts as 0."""
+def _walk(nodes: DataFrame, rows: DataFrame, id: str, max_depth: int) -> list[DataFrame]:
+    """Where each row stands in each tree, one table a level; null features count as 0.
+
+    The node table has a row for each node of the ensemble, so it is sent to all tasks.
+    """
     features = [r[0] for r in nodes.where("feature is not null").select("feature").distinct().collect()]
-    values = F.create_map(*[x for c in features for x in (F.lit(c), F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in rows.columns else F.lit(0.0))]) if features else F.create_map().cast("map<string,double>")
-    at = rows.select(F.col(id).alias("id"), values.alias("x")).join(F.broadcast(nodes.where("node_id = 0")), F.lit(True)).withColumn("depth", F.lit(0))
+    pairs = [x for c in features for x in (F.lit(c), F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in rows.columns else F.lit(0.0))]
+    values = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
+    small = F.broadcast(nodes.select("tree_id", "node_id", "left", "right", "feature", "threshold", "value", "weight"))
+    start = rows.select(F.col(id).alias("id"), values.alias("x"))
+    levels = [start.crossJoin(small.where("node_id = 0"))]
+    for _ in range(max_depth):
+        at = levels[-1]
+        went = F.when(F.col("x")[F.col("feature")] <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
+        moved = at.where("left >= 0").select("id", "x", F.col("tree_id").alias("_t"), went.alias("_n"), F.col("feature").alias("_from"), F.col("value").alias("_before"))
+        levels.append(moved.join(small, (F.col("_t") == F.col("tree_id")) & (F.col("_n") == F.col("node_id"))).drop("_t", "_n"))
+    return levels
+
+
+def _depth(nodes: DataFrame) -> int:
+    """How deep the deepest tree is."""
+    return int(tree_paths(nodes).agg(F.max("depth")).first()[0] or 0)
+
+
+def trace(nodes: DataFrame, rows: DataFrame, id: str) -> DataFrame:
+    """``(id, tree_id, leaf_id, depth, value)``: where each row ends in each tree."""
     done = None
-    kept = nodes.columns
-    for _ in range(max_depth + 1):
-        ended = at.where("left < 0").select("id", "tree_id", F.col("node_id").alias("leaf_id"), "depth", "value")
+    for depth, at in enumerate(_walk(nodes, rows, id, _depth(nodes))):
+        ended = at.where("left < 0").select("id", "tree_id", F.col("node_id").alias("leaf_id"), F.lit(depth).alias("depth"), (F.col("value") * F.col("weight")).alias("value"))
         done = ended if done is None else done.unionByName(ended)
-        moved = at.where("left >= 0").select("id", "x", F.col("tree_id").alias("_t"), (F.col("depth") + 1).alias("depth"), F.when(F.col("x")[F.col("feature")] <= F.col("threshold"), F.col("left")).otherwise(F.col("right")).alias("_n"))
-        at = moved.join(F.broadcast(nodes), (F.col("_t") == F.col("tree_id")) & (F.col("_n") == F.col("node_id"))).select("id", "x", *kept, "depth")
     return done
+
+
+def explain(nodes: DataFrame, rows: DataFrame, id: str) -> DataFrame:
+    """``(id, feature, contribution)``: each step of a path credits its feature with the change in the node's value.
+
+    With the weighted values of the roots, a row's contributions sum to its margin.
+    """
+    steps = None
+    for at in _walk(nodes, rows, id, _depth(nodes))[1:]:
+        step = at.select("id", F.col("_from").alias("feature"), ((F.col("value") - F.col("_before")) * F.col("weight")).alias("change"))
+        steps = step if steps is None else steps.unionByName(step)
+    if steps is None:
+        return rows.sparkSession.createDataFrame([], f"id {dict(rows.dtypes)[id]}, feature string, contribution double")
+    return steps.groupBy("id", "feature").agg(F.sum("change").alias("contribution"))
+
+
+def global_importance(explained: DataFrame) -> DataFrame:
+    """``(feature, importance)``: the mean size of the contributions over the explained rows."""
+    rows = explained.agg(F.count_distinct("id").alias("_rows"))
+    return explained.groupBy("feature").agg(F.sum(F.abs("contribution")).alias("_sum")).crossJoin(F.broadcast(rows)).select("feature", (F.col("_sum") / F.col("_rows")).alias("importance")).orderBy(F.desc("importance"), "feature")

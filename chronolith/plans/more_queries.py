@@ -65,6 +65,14 @@ def tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.tree_rules(models.tree_paths(nodes))
 
 
+@query()
+def tree_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, val = _halves(spark, sf_dir)
+    classifier = models.fit(train, ["amt", "t"], "y", "gbt", maxIter=5, maxDepth=3)
+    nodes = written(models.tree_nodes(classifier, spark, new_path(spark, "trees")), "nodes")
+    return models.explain(nodes, val, "id")
+
+
 @query()
 def train_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = orders(spark, sf_dir).select("id", "key", "t", "amt", "y")

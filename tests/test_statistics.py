@@ -86,7 +86,15 @@ def test_trees(spark, tmp_path):
     paths = models.tree_paths(nodes).cache()
     assert paths.count() == nodes.where("left < 0").count() and models.tree_rules(paths, 2).groupBy("tree_id").count().where("count > 2").count() == 0
     assert models.tree_depths(nodes, paths).where("feature = 'x'").count() == 1 and models.tree_interactions(paths, 1).count() == 1
-    assert models.trace(nodes, df.limit(3), "id").count() == 9
+    some = df.where("id < 5")
+    traced = {r["id"]: r["m"] for r in models.trace(nodes, some, "id").groupBy("id").agg(F.sum("value").alias("m")).collect()}
+    explained = models.explain(nodes, some, "id")
+    base = nodes.where("node_id = 0").agg(F.sum(F.col("value") * F.col("weight"))).first()[0]
+    summed = {r["id"]: r["s"] + base for r in explained.groupBy("id").agg(F.sum("contribution").alias("s")).collect()}
+    scores = {r["id"]: r["p"] for r in classifier.score(some).collect()}
+    for k, margin in traced.items():
+        assert math.isclose(summed[k], margin, abs_tol=1e-9) and math.isclose(scores[k], 1 / (1 + math.exp(-2 * margin)), abs_tol=1e-9)
+    assert {r["feature"] for r in models.global_importance(explained).collect()} <= {"x", "z"}
     assert metrics.roc_auc(classifier.score(df), "p", "y").first()[0] > 0.99
     with pytest.raises(ValueError):
         models.make_model("other")
