@@ -274,6 +274,22 @@ def test_similar_documents_against_brute_force(spark, odd):
     assert out.columns == odd.columns and {r["doc_id"] for r in out.collect()} == {None, 1, 2, 3, 4, 5, 6, 8}
 
 
+def test_many_copies_of_one_original_meet_it(spark):
+    rng = np.random.default_rng(12)
+    base = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(200)]
+    rows = []
+    for k in range(150):
+        text = list(base)
+        if k != 77:  # the original is neither first nor last
+            for _ in range(4):
+                text[int(rng.integers(200))] = "y" + str(rng.integers(10**6))
+        rows.append((k, " ".join(text)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for _, t in rows]
+    near = [len(s & sets[77]) / len(s | sets[77]) for s in sets]
+    assert min(near) >= 0.8 and np.mean([len(a & b) / len(a | b) >= 0.8 for a, b in itertools.combinations(sets[:40], 2)]) < 0.1
+    assert simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == 1
+
+
 # --- 7: token counts ---
 
 
