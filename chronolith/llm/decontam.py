@@ -15,7 +15,6 @@ benchmark leaves everything clean.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,11 +150,6 @@ def _one_block(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
     return map_batches(docs, judge, StructType([*docs.schema.fields, *docs.sparkSession.createDataFrame([], RESULT).schema.fields]))
 
 
-def items_sha256(item_ids: list[str]) -> str:
-    """The digest of sorted, comma-joined item ids (for tests)."""
-    return hashlib.sha256(",".join(sorted(item_ids)).encode()).hexdigest()
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The rows of ``docs`` that share no window with the benchmark, with their columns."""
     names = ["text" if c == "text" else f"chronolith_{k}" for k, c in enumerate(docs.columns)]
