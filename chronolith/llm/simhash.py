@@ -40,7 +40,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: A bucket with more different fingerprints than this is linked through neighbours instead of pairs.
 PAIRED = 32
 SEED = 42
-#: Members of a large bucket that all others are compared with.
+#: Members of a large bucket, besides its ends, that all others are compared with.
 CENTRES = 3
 
 
@@ -191,18 +191,19 @@ def similar_pairs(docs: DataFrame, width: int, bands: int, rows: int) -> DataFra
     nodes = keyed.groupBy("print").agg(F.min("doc_id").alias("rep"))
     same_print = keyed.join(nodes, "print").where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     each = keyed.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
-    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).where("n > 1")
     met = written(each.join(counts, "key"), "met")
     small = met.where(F.col("n") <= PAIRED)
     left, right = small.select("key", F.col("node").alias("src")), small.select("key", F.col("node").alias("dst"))
     pairs = left.join(right, "key").where("src < dst").select("src", "dst")
-    # in a large bucket, the members that meet most others over all their buckets are its centres: an
-    # original meets each of its copies, however the copies differ from each other
+    # in a large bucket, the members that meet most others over all their buckets are its centres, so that
+    # an original meets each of its copies, however the copies differ from each other; so are both ends
     weights = met.groupBy("node").agg(F.sum("n").alias("w"))
     large = met.where(F.col("n") > PAIRED).select("key", "node")
     third = F.pmod(F.xxhash64("node"), F.lit(CENTRES)).alias("third")
     centres = large.join(weights, "node").groupBy("key", third).agg(F.max(F.struct("w", "node")).alias("c")).select("key", F.col("c.node").alias("src"))
-    stars = large.join(centres, "key").select("src", F.col("node").alias("dst"))
+    ends = met.where(F.col("n") > PAIRED).select(F.explode(F.array("least", "most")).alias("src"), F.col("node").alias("dst"))
+    stars = large.join(centres, "key").select("src", F.col("node").alias("dst")).unionByName(ends)
     found = pairs.unionByName(stars).unionByName(same_print).unionByName(close_pairs(nodes))
     return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
 
