@@ -23,7 +23,7 @@ def held_out(doc_id: Column | str, remainder: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 5 == remainder, F.lit(False))
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]], schema: str | StructType, slice_bytes: int = 8 << 20) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]], schema: str | StructType, slice_bytes: int = 3 << 20) -> DataFrame:
     """Run ``function`` over Arrow batches cut to about ``slice_bytes``; it yields columns by name.
 
     The cut bounds a task's memory by the longest single row, not by the batch.

@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, per
 class _Scorer:
     """A worker's words with their push."""
 
-    def __init__(self, model: Model, limit: int = 500_000):
+    def __init__(self, model: Model, limit: int = 250_000):
         self.model, self.limit, self.known = model, limit, {}
 
     def score(self, text: str) -> float:
