@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -42,6 +43,8 @@ PAIRED = 32
 SEED = 42
 #: Members of a large bucket, besides its ends, that all others are compared with.
 CENTRES = 3
+#: Sets that share a frequent shingle are compared in one task by twice as many at most.
+BLOCK = 256
 
 
 @lru_cache(maxsize=1)
@@ -179,8 +182,11 @@ def sampled_prints(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
     return out
 
 
-def similar_pairs(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """Candidate ``(src, dst)`` ids: fuzzy SimHash links, and shared sampled prints."""
+def similar_pairs(docs: DataFrame, width: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate ``(src, dst)`` ids: fuzzy SimHash links, and shared sampled prints; and the large buckets (key, node).
+
+    Members of large buckets are candidates of some of each other only; :func:`missed_links` finds their other links.
+    """
 
     def keys(batch: pa.RecordBatch) -> Iterator[dict]:
         hashes = [np.array(shingle_hashes(words_of(t), width), np.uint64) for t in texts_of(batch)]
@@ -205,7 +211,95 @@ def similar_pairs(docs: DataFrame, width: int, bands: int, rows: int) -> DataFra
     ends = met.where(F.col("n") > PAIRED).select(F.explode(F.array("least", "most")).alias("src"), F.col("node").alias("dst"))
     stars = large.join(centres, "key").select("src", F.col("node").alias("dst")).unionByName(ends)
     found = pairs.unionByName(stars).unionByName(same_print).unionByName(close_pairs(nodes))
-    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
+    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct(), large
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``(src, dst)`` whose whole sets (doc_id, hashes) have a Jaccard similarity of ``similarity`` or more."""
+    one, two = (sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(h)) for c, h in (("src", "a"), ("dst", "b")))
+    both = F.size(F.array_intersect("a", "b"))
+    sized = pairs.join(one, "src").join(two, "dst").where(F.least(F.size("a"), F.size("b")) >= F.greatest(F.size("a"), F.size("b")) * similarity)
+    return sized.where((both > 0) & (both >= (F.size("a") + F.size("b") - both) * similarity)).select("src", "dst")
+
+
+def block_links(block: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links ``(src, dst)`` that join the parts of all similar sets of a block (part, hashes)."""
+    part, own = block["part"].to_numpy(), [np.asarray(h, np.int64) for h in block["hashes"]]
+    n, sizes = len(own), np.array([len(h) for h in own], np.int64)
+    names, column = np.unique(np.concatenate(own), return_inverse=True)
+    owner, met = np.repeat(np.arange(n), sizes), np.bincount(column) > 1
+    shared = met[column]
+    owner, column = owner[shared], (np.cumsum(met) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((n, n), np.float64)
+    step = 4096
+    for start in range(0, int(met.sum()), step):
+        low, high = np.searchsorted(column, (start, start + step))
+        marks = np.zeros((n, step), np.float32)
+        marks[owner[low:high], column[low:high] - start] = 1
+        both += marks @ marks.T
+    similar = (both > 0) & (both >= (sizes[:, None] + sizes[None, :] - both) * similarity) & (part[:, None] < part[None, :])
+    src, dst = np.nonzero(similar)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for a, b in np.unique(np.stack([part[src], part[dst]], 1), axis=0).tolist():
+        one, two = find(a), find(b)
+        if one != two:
+            root[one] = two
+            out.append((a, b))
+    return pd.DataFrame(out, columns=["src", "dst"]).astype("int64")
+
+
+def missed_links(large: DataFrame, sets: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(src, dst)`` between the classes that meet in a large bucket, from all similar pairs of those buckets' members.
+
+    An exact set-similarity join of the members of buckets that hold several
+    classes: equal sets are one; two similar sets share one of the shingles that
+    are first of ``1 - similarity`` of each, rare ones first.  Few sets with such a
+    shingle are paired; many are dealt to blocks, and each two blocks compared
+    in one task.  Pairs of one class need no comparison.
+    """
+    named = large.join(classes.select(F.col("doc_id").alias("node"), "component_id"), "node", "left").select("key", "node", F.coalesce("component_id", "node").alias("part"))
+    mixed = named.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
+    members = written(named.join(mixed, "key", "left_semi").select(F.col("node").alias("doc_id"), "part").distinct(), "open-members")
+    equal = sets.join(members, "doc_id").groupBy("hashes").agg(F.sort_array(F.collect_set("part")).alias("parts"))
+    one = written(equal.select(F.monotonically_increasing_id().alias("doc_id"), F.col("parts")[0].alias("part"), "parts", "hashes", F.size("hashes").alias("size")), "open-sets")
+    same = one.select(F.col("part").alias("src"), F.explode("parts").alias("dst")).where("src <> dst")
+    each = one.select("doc_id", F.explode("hashes").alias("token"))
+    shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = each.join(shared, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    # shingles of no other set come first and meet nothing
+    length = (F.floor(F.col("size") * (1 - similarity) + 1e-6) + 1 - F.col("size") + F.size("ranked")).cast("int")
+    first = one.select("doc_id", "part", "size").join(ranked, "doc_id").withColumn("length", length).where("length > 0")
+    prefixes = written(first.select("doc_id", "part", "size", F.explode(F.slice("ranked", F.lit(1), F.col("length"))["token"]).alias("token")), "prefixes")
+    signs = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"sign{k}") for k in range(2)]
+    groups = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("a"), F.max("part").alias("b"), *signs).where("a <> b")
+    # shingles of the same sets ask for the same comparisons
+    groups = written(groups.groupBy("n", "sign0", "sign1").agg(F.min("token").alias("token")).select("token", "n"), "prefix-groups")
+    few = prefixes.join(groups.where(F.col("n") <= PAIRED), "token")
+    left, right = (few.select("token", F.col("doc_id").alias(c), F.col("part").alias(p), F.col("size").alias(s)) for c, p, s in (("src", "p", "s"), ("dst", "q", "z")))
+    near = (F.col("p") != F.col("q")) & (F.least("s", "z") >= F.greatest("s", "z") * (similarity - 1e-6))
+    pairs = written(left.join(right, "token").where("src < dst").where(near).select("src", "dst").distinct(), "prefix-pairs")
+    parts = one.select("doc_id", "part")
+    ends = [parts.select(F.col("doc_id").alias(c), F.col("part").alias(p)) for c, p in (("src", "p"), ("dst", "q"))]
+    few_links = verified(pairs, one, similarity).join(ends[0], "src").join(ends[1], "dst").select(F.col("p").alias("src"), F.col("q").alias("dst"))
+    many = prefixes.join(groups.where(F.col("n") > PAIRED), "token").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    dealt = many.select("token", "doc_id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("token", "doc_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(one.select("doc_id", "part", "hashes"), "doc_id")
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        return block_links(block, similarity)
+
+    many_links = dealt.select("token", "i", "j", "part", "hashes").groupBy("token", "i", "j").applyInPandas(compare, "src long, dst long")
+    return same.unionByName(few_links).unionByName(many_links)
 
 
 def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 10, rows: int = 3) -> DataFrame:
@@ -216,18 +310,19 @@ def similar_classes(docs: DataFrame, width: int = 5, similarity: float = 0.8, ba
     that share an id are one document and linked if any of them is.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    pairs = written(similar_pairs(known, width, bands, rows), "candidates")
+    pairs, large = similar_pairs(known, width, bands, rows)
+    pairs = written(pairs, "candidates")
     wanted = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
 
     def sets(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {"doc_id": batch.column("doc_id"), "hashes": [np.unique(np.array(shingle_hashes(words_of(t), width), np.uint64)).view(np.int64).tolist() for t in texts_of(batch)]}
 
     own = written(map_batches(by_ids(known, wanted, "left_semi"), sets, "doc_id long, hashes array<long>"), "shingle-sets")
-    one, two = (own.select(F.col("doc_id").alias(c), F.col("hashes").alias(h)) for c, h in (("src", "a"), ("dst", "b")))
-    both = F.size(F.array_intersect("a", "b"))
-    sized = pairs.join(one, "src").join(two, "dst").where(F.least(F.size("a"), F.size("b")) >= F.greatest(F.size("a"), F.size("b")) * similarity)
-    links = sized.where((both > 0) & (both >= (F.size("a") + F.size("b") - both) * similarity)).select("src", "dst")
-    return connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    found = connected_components(verified(pairs, own, similarity)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    merged = connected_components(missed_links(large, own, found, similarity))
+    joined = found.join(merged, found["component_id"] == merged["node"], "left").select("doc_id", F.coalesce("component", "component_id").alias("component_id"))
+    alone = merged.join(found, merged["node"] == found["doc_id"], "left_anti").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    return joined.unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -293,6 +293,42 @@ def test_many_copies_of_one_original_meet_it(spark):
 # --- 7: token counts ---
 
 
+def brute_force_classes(texts):
+    """The number of classes of texts with a Jaccard similarity of 0.8 or more."""
+    sets = [set(simhash.shingle_hashes(simhash.words_of(t), 5)) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            root[find(i)] = find(j)
+    return len({find(i) for i in range(len(sets))})
+
+
+def test_drift_chain_in_large_buckets_is_one_class(spark):
+    # each copy is similar to the one before and the one after only, and all share a passage
+    core, stream = [f"c{i}" for i in range(176)], [f"s{i}" for i in range(16 * 400 + 28)]
+    texts = [" ".join(core + stream[16 * k : 16 * k + 28]) for k in range(400)]
+    assert brute_force_classes(texts) == 1 and brute_force_classes(texts[::2]) == 200
+    rows = [((7919 * k) % 400, t) for k, t in enumerate(texts)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in kept] == [0]
+
+
+def test_families_that_share_a_passage_keep_one_each(spark):
+    core, texts = [f"c{i}" for i in range(176)], []
+    for family, members in enumerate([120, *[2] * 60]):
+        first = [f"f{family}w{i}" for i in range(12)]
+        texts += [" ".join(core + first + [f"f{family}m{m}w{i}" for i in range(16)]) for m in range(members)]
+    assert brute_force_classes(texts) == 61
+    rows = [((7919 * k) % len(texts), t) for k, t in enumerate(texts)]
+    assert simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count() == 61
+
+
 def test_token_counts_are_the_librarys(spark, odd, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
