@@ -73,8 +73,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     gone = judged.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"), F.lit(True).alias("gone")).distinct()
     stay = judged.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha")).distinct()
     text_sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE + "+", ""), 256)
-    # an id can both stay and go only where rows repeat it; those few rows are reduced by themselves
-    mixed = judged.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("mixed_id"))
+    # an id can both stay and go only where rows repeat it, and a null id equals none; those few rows are reduced by themselves
+    mixed = judged.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("mixed_id"))
     if mixed.isEmpty():
         return by_ids(docs, gone.select(F.col("gone_id").alias("doc_id")), "left_anti")
     single = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["mixed_id"]), "left_anti")

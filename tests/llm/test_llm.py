@@ -94,6 +94,15 @@ def test_exact_groups_against_brute_force(spark, odd, empty):
     assert kept.columns == odd.columns and sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 4, 5, 6, 8]
 
 
+def test_one_copy_without_an_id_goes(spark):
+    docs = spark.createDataFrame([(1, "same text"), (None, "same  text"), (2, "other")], "doc_id long, text string")
+    assert sorted(r["doc_id"] or 0 for r in chunks.deduplicate(docs).collect()) == [0, 2]
+    docs = spark.createDataFrame([(1, "same text"), (None, "same text"), (2, "other")], "doc_id long, text string")
+    assert sorted(r["doc_id"] or 0 for r in chunks.deduplicate(docs).collect()) == [1, 2]
+    docs = spark.createDataFrame([(1, "same text"), (None, "alone")], "doc_id long, text string")
+    assert sorted(r["doc_id"] or 0 for r in chunks.deduplicate(docs).collect()) == [0, 1]
+
+
 def test_shared_chunk_hashes_are_told_apart(spark, monkeypatch):
     # all chunks share one short hash: only digests can part the documents
     real = F.xxhash64
