@@ -9,7 +9,8 @@ longest ones, with their places.
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lowered.  A
 window is ``width`` consecutive words of an item, or all words of a shorter
 item.  Null and empty texts have no words; a document without words is clean; an
-item without words matches nothing; rows that repeat are judged each; an empty
+item without words matches nothing; the words of items with a null id count as
+hits, but these items are not listed; rows that repeat are judged each; an empty
 benchmark leaves everything clean.
 """
 
@@ -35,12 +36,17 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().translate(_KEEP).split()
 
 
+def _named(item: str | None) -> tuple[bool, str]:
+    """Order of items: those without an id first."""
+    return item is not None, item or ""
+
+
 class Index:
     """A block of benchmark items: word numbers and distinct windows by length."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int):
+    def __init__(self, items: list[tuple[str | None, str]], width: int):
         self.width, self.code = width, {}
-        self.windows: dict[int, dict[bytes, set[str]]] = {}
+        self.windows: dict[int, dict[bytes, set[str | None]]] = {}
         for item_id, text in items:
             words = words_of(text)
             if not words:
@@ -52,11 +58,11 @@ class Index:
                 own.setdefault(codes[at : at + n].tobytes(), set()).add(item_id)
         self.lengths = sorted(self.windows)
         self.keys = {n: np.array(sorted(self.windows[n]), f"S{4 * n}") for n in self.lengths}
-        self.items = {n: [sorted(self.windows[n][k]) for k in sorted(self.windows[n])] for n in self.lengths}
+        self.items = {n: [sorted(self.windows[n][k], key=_named) for k in sorted(self.windows[n])] for n in self.lengths}
         del self.windows
 
 
-def search(index: Index, docs: list[list[bytes]]) -> Iterator[tuple[int, np.ndarray, int, list[str]]]:
+def search(index: Index, docs: list[list[bytes]]) -> Iterator[tuple[int, np.ndarray, int, list[str | None]]]:
     """For one shard: (length, places in the shard, window number, its items) of each window that occurs."""
     sizes = np.array([len(d) for d in docs], np.int64)
     total = int(sizes.sum()) if len(sizes) else 0
@@ -83,12 +89,12 @@ def search(index: Index, docs: list[list[bytes]]) -> Iterator[tuple[int, np.ndar
 
 
 def judge_shard(index: Index, texts: list[str]) -> dict[str, list]:
-    """The columns of RESULT for the documents of one shard."""
+    """The columns of RESULT for the documents of one shard; matches of items without an id are among them."""
     docs = [words_of(t) for t in texts]
     sizes = [len(d) for d in docs]
     ends = np.cumsum(sizes) if sizes else np.zeros(0, np.int64)
     edge = np.zeros((int(ends[-1]) if len(ends) else 0) + 1, np.int64)
-    by_item: dict[tuple[int, str], list[np.ndarray]] = {}
+    by_item: dict[tuple[int, str | None], list[np.ndarray]] = {}
     for n, places, _, items in search(index, docs):
         np.add.at(edge, places, 1)
         np.add.at(edge, places + n, -1)
@@ -102,8 +108,9 @@ def judge_shard(index: Index, texts: list[str]) -> dict[str, list]:
     sums = np.concatenate([[0], np.cumsum(hit)])
     starts = ends - np.array(sizes, np.int64) if sizes else ends
     out: dict[str, list] = {"n_words": sizes, "hit_words": [int(sums[e] - sums[s]) for s, e in zip(starts, ends, strict=True)], "item_ids": [[] for _ in sizes], "matches": [[] for _ in sizes]}
-    for (doc, item), spans in sorted(by_item.items()):
-        out["item_ids"][doc].append(item)
+    for (doc, item), spans in sorted(by_item.items(), key=lambda e: (e[0][0], _named(e[0][1]))):
+        if item is not None:
+            out["item_ids"][doc].append(item)
         s = np.concatenate(spans)
         s = s[np.argsort(s[:, 0], kind="stable")]
         reach = np.maximum.accumulate(s[:, 1])
@@ -122,24 +129,25 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_w
     n_words = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))
     total = benchmark.agg(F.sum(n_words)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_words))
+    listed = F.filter("matches", lambda m: m["item_id"].isNotNull())
     if blocks == 1:
-        return _one_block(docs, benchmark, width)
+        return _one_block(docs, benchmark, width).withColumn("matches", listed)
     from chronolith.storage import written
 
     base = written(docs.withColumn("chronolith_row", F.monotonically_increasing_id()), "numbered")
     found = None
     for k in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        part = benchmark.where(F.pmod(F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item_id")), F.lit(blocks)) == k)
         one = _one_block(base.select("chronolith_row", "text"), part, width).drop("text")
         found = one if found is None else found.unionByName(one)
     merged = found.groupBy("chronolith_row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.flatten(F.collect_list("matches")).alias("matches"))
     ordered = F.array_sort(F.transform("matches", lambda m: F.struct(m["start"].alias("s"), (m["start"] + m["length"]).alias("e"))))
     covered = F.aggregate(ordered, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), lambda a, m: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), m["e"] - F.greatest(a["to"], m["s"]))).alias("n"), F.greatest(a["to"], m["e"]).alias("to")))["n"]
-    return base.join(merged.withColumn("hit_words", covered), "chronolith_row").select(*docs.columns, "n_words", "hit_words", "item_ids", "matches")
+    return base.join(merged.withColumn("hit_words", covered), "chronolith_row").select(*docs.columns, "n_words", "hit_words", "item_ids", listed.alias("matches"))
 
 
 def _one_block(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
-    items = [(str(r[0]), r[1] or "") for r in benchmark.where("item_id is not null").select("item_id", "text").collect()]
+    items = [(None if r[0] is None else str(r[0]), r[1] or "") for r in benchmark.select("item_id", "text").collect()]
     sent = docs.sparkSession.sparkContext.broadcast(Index(items, width))
 
     own = docs.columns

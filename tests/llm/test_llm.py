@@ -428,6 +428,16 @@ def test_decontamination_against_brute_force(spark, odd, empty):
     assert decontam.decontaminate(odd, benchmark.limit(0)).count() == len(ODD) and decontam.find_matches(empty, benchmark).count() == 0
 
 
+def test_items_without_an_id_count_hits(spark):
+    docs = spark.createDataFrame([(1, "aa bb cc dd ee"), (2, "ff"), (3, "aa bb xx")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, "bb cc dd"), (7, "cc dd ee"), (None, "xx"), (None, None)], "item_id long, text string")
+    for words in (2_000_000, 3):  # in one block, and in several
+        got = {r["doc_id"]: r for r in decontam.find_matches(docs, benchmark, 3, block_words=words).collect()}
+        assert {d: (r["hit_words"], r["item_ids"]) for d, r in got.items()} == {1: (4, ["7"]), 2: (0, []), 3: (1, [])}
+        assert [tuple(m) for m in got[1]["matches"]] == [("7", 2, 3)] and got[3]["matches"] == []
+    assert [r["doc_id"] for r in decontam.decontaminate(docs, benchmark, 3).collect()] == [2]
+
+
 # --- 10: packing ---
 
 
