@@ -44,36 +44,41 @@ def distinct_before(df: DataFrame, roles: Roles, groups: dict[str, Sequence[str]
     return counted.withColumn(f"{key}_entity_diversity", sum((F.col(k) for k in out), F.lit(0)).cast("long"))
 
 
-def component_size(df: DataFrame, roles: Roles, entities: Sequence[str]) -> DataFrame:
+def component_size(df: DataFrame, roles: Roles, entities: Sequence[str], segment_rows: int = 200_000) -> DataFrame:
     """``component_size``: nodes in the key's component before the row's own edges are added; 1 for a new key, 0 without one.
 
-    Final components come from the distributed star algorithm.  Earlier merges
-    never leave a final component, so each is replayed by itself in order, with
-    one component in memory at a time.
+    Rows are dealt to segments of time of about ``segment_rows``.  From halves of
+    the time line down to single segments, the edges of each earlier half are
+    merged by distributed components, and the later half gets the class and size
+    of its nodes from them.  Each segment is then replayed in order, from the
+    classes at its start, so no task holds more than a segment, whatever the
+    size of a component.
     """
     nodes = [roles.key, *entities]
     names = [F.when(F.col(c).isNotNull(), F.concat_ws(":", F.lit(c), F.col(c).cast("string"))) for c in nodes]
     listed = F.array_compact(F.array(*names))
-    rows = written(df.select(F.col(roles.id).alias("_id"), F.col(roles.time).alias("_t"), names[0].alias("_key"), listed.alias("_nodes")), "graph-rows")
-    some = rows.where(F.size("_nodes") > 0)
-    edges = some.select(F.col("_nodes")[0].alias("src"), F.explode("_nodes").alias("dst"))
-    classes = connected_components(edges)
-    anchor = F.col("_nodes")[0]
-    named = some.join(classes, anchor == F.col("node"), "left").select("_id", "_t", "_key", "_nodes", F.coalesce("component", anchor).alias("_component"))
-
-    def replay(batch: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[str, str] = {}
-        size: dict[str, int] = {}
+    some = df.select(F.col(roles.id).alias("_id"), F.col(roles.time).alias("_t"), names[0].alias("_key"), listed.alias("_nodes")).where(F.size("_nodes") > 0)
+    segments = max(1, -(-some.count() // segment_rows))
+    ranged = some.repartitionByRange(segments, F.col("_t").asc_nulls_last(), F.col("_id").asc_nulls_last())
+    rows = written(ranged.withColumn("_segment", F.spark_partition_id()), "graph-rows")
+    last = rows.agg(F.max("_segment")).first()[0] or 0
+    state = rows.select("_segment", F.explode("_nodes").alias("node")).distinct().select("_segment", "node", F.col("node").alias("label"), F.lit(1).cast("long").alias("size"))
+    edges = written(rows.select("_segment", F.col("_nodes")[0].alias("src"), F.explode("_nodes").alias("dst")).where("src <> dst").distinct(), "graph-edges") if last else None
+    for bit in reversed(range(int(last).bit_length())):
+        state = written(_carried(state, edges, bit), "graph-state")
+
+    def replay(batch: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        parent: dict[str, str] = dict(zip(start["node"], start["label"], strict=True))
+        size: dict[str, int] = dict(zip(start["label"], start["size"].tolist(), strict=True))
+        parent.update((label, label) for label in start["label"])
 
         def root(x: str) -> str:
-            parent.setdefault(x, x)
-            size.setdefault(x, 1)
             while parent[x] != x:
                 parent[x] = parent[parent[x]]
                 x = parent[x]
             return x
 
-        out = []
+        batch, out = batch.sort_values(["_t", "_id"], kind="stable"), []
         for key, members in zip(batch["_key"], batch["_nodes"], strict=True):
             out.append(size[root(key)] if isinstance(key, str) else 0)
             for other in members[1:]:
@@ -84,9 +89,26 @@ def component_size(df: DataFrame, roles: Roles, entities: Sequence[str]) -> Data
                     size[a] += size[b]
         return pd.DataFrame({"_id": batch["_id"], "component_size": out})
 
-    def ordered(batch: pd.DataFrame) -> pd.DataFrame:
-        return replay(batch.sort_values(["_t", "_id"], kind="stable"))
-
-    sizes = named.groupBy("_component").applyInPandas(ordered, f"_id {dict(df.dtypes)[roles.id]}, component_size long")
+    sizes = rows.groupBy("_segment").cogroup(state.groupBy("_segment")).applyInPandas(replay, f"_id {dict(df.dtypes)[roles.id]}, component_size long")
     return df.join(sizes, df[roles.id] == sizes["_id"], "left").select(*[df[c] for c in df.columns], F.coalesce("component_size", F.lit(0).cast("long")).alias("component_size"))
 
+
+def _carried(state: DataFrame, edges: DataFrame, bit: int) -> DataFrame:
+    """``state`` (_segment, node, label, size) with the edges of each earlier half of ``2 << bit`` segments merged for the later half.
+
+    A label is the node that names a class; it and the class's size hold at the
+    start of the two halves, and afterwards at the start of each half.
+    """
+    block = F.shiftright("_segment", bit + 1)
+    later = F.shiftright("_segment", bit).bitwiseAND(1) == 1
+    placed = state.withColumn("place", F.concat_ws(":", F.lpad(block.cast("string"), 10, "0"), "label"))
+    early = placed.where(~later)
+    src, dst = (early.select("_segment", F.col("node").alias(c), F.col("place").alias(p)) for c, p in (("src", "a"), ("dst", "b")))
+    met = edges.join(src, ["_segment", "src"]).join(dst, ["_segment", "dst"]).select("a", "b")
+    classes = connected_components(met, "a", "b").withColumnRenamed("node", "place")
+    sizes = early.select("place", "size").distinct().join(classes, "place").groupBy("component").agg(F.sum("size").alias("merged"))
+    # one row for each class that later nodes are in: a large class repeats on the other side only, which can be split
+    asked = placed.where(later).select("place").distinct().join(classes, "place").join(sizes, "component")
+    out = placed.join(asked.withColumn("found", F.lit(True)), "place", "left")
+    label = F.when(F.col("found") & later, F.expr("substring(component, 12)")).otherwise(F.col("label"))
+    return out.select("_segment", "node", label.alias("label"), F.when(F.col("found") & later, F.col("merged")).otherwise(F.col("size")).alias("size"))

@@ -379,3 +379,9 @@ def graph_distinct_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 def component_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = events(spark, sf_dir).select("id", "key", "t", F.when(F.col("id") % 4 == 0, F.concat_ws("-", "kind", (F.col("key") % 40).cast("string"))).alias("kind"))
     return graph.component_size(base, ORDERS, ["kind"]).select("id", "component_size")
+
+
+@query()
+def component_size_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = sparse_orders(spark, sf_dir).select("id", "key", "t", "addr1", "P_emaildomain")
+    return graph.component_size(base, ORDERS, ["addr1", "P_emaildomain"]).select("id", "component_size")

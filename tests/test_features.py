@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from chronolith.functions import rows
@@ -98,6 +100,22 @@ def test_component_size(spark):
     assert column(graph.component_size(df, ROLES, ["addr"]), "component_size") == [1, 2, 1, 1, 2, 0]
 
 
+def test_component_size_of_a_giant_component_in_bounded_tasks(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.choice([None, *[f"K{i}" for i in range(60)]]), rng.randrange(90), rng.choice([None, None, "hub", "a", "b", "c"]), rng.choice([None, *"uvwxyz"])) for k in range(300)]
+    parts, want = {}, {}
+    for k, key, _, addr, mail in sorted(rows, key=lambda r: (r[2], r[0])):
+        own = [n for n in (key and f"key:{key}", addr and f"addr:{addr}", mail and f"mail:{mail}") if n]
+        want[k] = len(parts.get(own[0], own[:1])) if key else 0
+        whole = set().union(*[parts.get(n, {n}) for n in own]) if own else set()
+        parts |= dict.fromkeys(whole, whole)
+    assert max(want.values()) > 50
+    df = spark.createDataFrame(rows, "id long, key string, t long, addr string, mail string")
+    for n in (11, 100, 1000):
+        out = graph.component_size(df, ROLES, ["addr", "mail"], segment_rows=n)
+        assert {r["id"]: r["component_size"] for r in out.collect()} == want
+
+
 def test_connected_components_against_union_find(spark):
     import random
 
