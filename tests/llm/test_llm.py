@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -164,7 +166,7 @@ def _luhn(digits):
 
 
 def test_pseudonyms_keep_their_format_and_link(spark, odd):
-    text = "a 4111 1111 1111 1111 b 9807915762804491 +1 (017) 555-7713 97.51.17.173 123-45-6789 2024-02-29 1999/12/31 und.34@mail7.example.com b44e15e09fd311c3cf3163b66d5a9875b883d8ce end 2024-13-01 999.1.1.1"
+    text = "a 4111 1111 1111 1111 b 9807915762804490 +1 (017) 555-7713 97.51.17.173 123-45-6789 2024-02-29 1999/12/31 und.34@mail7.example.com b44e15e09fd311c3cf3163b66d5a9875b883d8ce end 2024-13-01 999.1.1.1"
     docs = spark.createDataFrame([(1, text), (2, text.replace("a ", "z ")), (3, None), (4, ""), (5, "nothing 12")], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in feistel.pseudonymise(docs, "k").collect()}
     found = {p["kind"]: p for p in rows[1]["pii"]}
@@ -191,6 +193,112 @@ def test_feistel_is_a_permutation(spark):
     assert moved.count() == 3000 and moved.where("y < '1900-01-01' or y > '2099-12-31'").count() == 0
 
 
+def _network(left, right, left_size, right_size, key, kind):
+    """The Feistel network in plain Python."""
+
+    def noise(step, half, below):
+        return int(hashlib.sha256(f"{key}|{kind}|{step}|{half}".encode()).hexdigest()[:15], 16) % below
+
+    for step in range(1, feistel.ROUNDS + 1):
+        if step % 2:
+            left = (left + noise(step, right, left_size)) % left_size
+        else:
+            right = (right + noise(step, left, right_size)) % right_size
+    return left, right
+
+
+def _digits(number, base, n):
+    out = ""
+    for _ in range(n):
+        number, d = divmod(number, base)
+        out = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + out
+    return out
+
+
+def _run(run, base, key, kind):
+    a = len(run) // 2
+    l, r = _network(int(run[:a] or "0", base), int(run[a:], base), base**a, base ** (len(run) - a), key, kind)
+    return _digits(l, base, a) + _digits(r, base, len(run) - a)
+
+
+def _long(run, base, size, key, kind):
+    return "".join(_run(run[at : at + size], base, key, f"{kind}-{len(run)}-{at // size}") for at in range(0, len(run), size))
+
+
+def _plain_pseudonym(kind, value, key):
+    only = re.sub("[^0-9]", "", value)
+    if kind == "card":
+        head = _run(only[:-1], 10, key, "card")
+        moved = head + next(c for c in "0123456789" if _luhn(head + c)) if _luhn(only) else only
+    elif kind == "phone":
+        code = re.match(r"\+\d{1,3}?[ .\-(]|\+\d", value).group()
+        only = re.sub("[^0-9]", "", value[len(code) :])
+        moved = re.sub("[^0-9]", "", code) + _long(only, 10, 16, key, "phone")
+    elif kind == "ssn":
+        area, group, serial = map(int, value.split("-"))
+        l, r = _network(area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn")
+        return f"{l + 1 + (l >= 665):03d}-{r // 9999 + 1:02d}-{r % 9999 + 1:04d}"
+    elif kind == "ipv4":
+        b = [int(x) for x in value.split(".")]
+        l, r = _network(b[0] * 256 + b[1], b[2] * 256 + b[3], 65536, 65536, key, "ipv4")
+        return f"{l >> 8}.{l & 255}.{r >> 8}.{r & 255}"
+    elif kind == "date":
+        number = (datetime.date.fromisoformat(value.replace("/", "-")) - datetime.date(1900, 1, 1)).days
+        while True:
+            l, r = _network(number // 270, number % 270, 271, 270, key, "date")
+            number = l * 270 + r
+            if number < feistel.DAYS:
+                return (datetime.date(1900, 1, 1) + datetime.timedelta(number)).isoformat().replace("-", value[4])
+    elif kind == "email":
+        local, domain = value.split("@")
+        return re.sub("[a-z0-9]+", lambda m: _long(m.group(), 36, 12, key, "mail"), local.lower()) + "@" + domain
+    else:
+        moved = _long(value.lower(), 16, 12, key, "secret")
+        return moved.upper() if re.search("[A-F]", value) else moved
+    digit = iter(moved)
+    return re.sub("[0-9]", lambda _: next(digit), value)
+
+
+def test_pseudonyms_are_those_of_a_plain_network(spark):
+    rng = np.random.default_rng(11)
+    n = lambda k: "".join(rng.choice(list("0123456789"), k))
+    values = []
+    for _ in range(60):
+        head = n(int(rng.integers(12, 19)))
+        card = head + next(c for c in "0123456789" if _luhn(head + c))
+        values += [("card", card), ("phone", f"+{rng.integers(1, 999)} ({n(3)}) {n(3)}-{n(4)}"), ("ssn", f"{rng.integers(1, 666):03d}-{rng.integers(1, 100):02d}-{rng.integers(1, 9999):04d}"), ("ipv4", ".".join(str(x) for x in rng.integers(0, 256, 4)))]
+        values += [("date", f"{rng.integers(1900, 2100)}/{rng.integers(1, 13):02d}/{rng.integers(1, 29):02d}"), ("email", "".join(rng.choice(list("abXZ09._+"), int(rng.integers(1, 20)))).strip("._+") + "q@sub.example.org"), ("secret", "".join(rng.choice(list("0123456789abcdef"), int(rng.integers(32, 70)))) + "a")]
+    docs = spark.createDataFrame([(k, f"see {v} now") for k, (_, v) in enumerate(values)], "doc_id long, text string")
+    for r in feistel.pseudonymise(docs, "key").collect():
+        kind, value = values[r["doc_id"]]
+        assert [tuple(p) for p in r["pii"]] == [(kind, value, _plain_pseudonym(kind, value, "key"))] and r["text"] == f"see {r['pii'][0]['pseudonym']} now"
+
+
+def test_short_values_stay_different(spark):
+    letters = "0123456789abcdefghijklmnopqrstuvwxyz"
+    names = [a for a in letters] + [a + b for a in letters for b in letters]
+    docs = spark.createDataFrame([(k, f"{a}@x.org") for k, a in enumerate(names)], "doc_id long, text string")
+    assert feistel.pseudonymise(docs, "k").select("text").distinct().count() == len(names)
+    ssn = spark.createDataFrame([(k, f"{a:03d}-{b:02d}-{c:04d}") for k, (a, b, c) in enumerate(itertools.product([1, 665, 667, 899], [1, 50, 99], [1, 2, 9999]))], "doc_id long, text string")
+    moved = [r["text"] for r in feistel.pseudonymise(ssn, "k").collect()]
+    assert len(set(moved)) == 36 and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in moved)
+
+
+def test_what_fails_its_check_is_left_alone(spark, empty):
+    text = "9807915762804491 9780306406158 000-12-3456 666-12-3456 901-12-3456 123-00-4567 123-45-0000 2023-02-30 1899-01-01 256.1.1.1 @x.org a@b"
+    out = feistel.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert out["text"] == text and out["pii"] == []
+    assert feistel.pseudonymise(empty, "k").count() == 0
+
+
+def test_long_runs_take_linear_time(spark):
+    runs = ["1@" + "a." * 100_000 + "com", "1 " + "z" * 5_000_000, "f" * 3_000_000 + "z", "a@" * 1_000_000, "a." * 1_000_000 + "@x.org", "9" * 2_000_000, "0f" * 200_000, "1-" * 1_000_000, "+1 " * 1_000_000, "9 " * 1_000_000]
+    docs = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string").repartition(4)
+    began = time.monotonic()
+    assert feistel.pseudonymise(docs, "k").where(F.length("text") > 100_000).count() == len(runs)
+    assert time.monotonic() - began < 120
+
+
 # --- 6: near duplicates ---
 
 
