@@ -134,6 +134,10 @@ class Words(dict):
         """The text's ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
+    def count(self, text: str) -> int:
+        """How many ids the text has."""
+        return sum(map(len, map(self.__getitem__, text.replace("\n", " ").split(" ")))) // 4
+
     def trim(self) -> None:
         if len(self) > self.limit:
             self.clear()
@@ -210,6 +214,18 @@ def encode(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None
     dealt.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
+def token_lengths(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFrame:
+    """``(doc_id, n_tokens)`` of every row: how many ids :func:`encode` writes for it; no shuffle."""
+    tail = int(end_id is not None)
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        words = _words(tokenizer)
+        words.trim()
+        yield {"doc_id": batch.column("doc_id"), "n_tokens": [words.count(t) + tail for t in texts_of(batch)]}
+
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long", slice_bytes=2 << 20)
+
+
 def _arrow_schema() -> pa.Schema:
     block = pa.struct([("n_tokens", pa.int32()), ("lanes", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("words", pa.binary()), ("checkpoints", pa.binary()), ("words_crc", pa.int64()), ("ids_crc", pa.int64())])
     return pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("scale_bits", pa.int32()), ("symbols", pa.binary()), ("counts", pa.binary()), ("blocks", pa.list_(block))])

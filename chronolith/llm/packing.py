@@ -6,12 +6,13 @@ Documents are then numbered inside their bucket, in parallel, and every
 ``budget // bound`` of them form a batch whose padded size keeps to the token
 budget.
 
-Lengths up to ``exact`` are histogram rows of their own; longer ones are rounded
-up by less than 1 in 4096, so the histogram has a bounded number of rows however
-long documents get.  Nothing is cut or dropped: a document longer than the
-budget is a batch alone.  Null and empty texts have length 0 and form a bucket
-of bound 0 in batches of ``budget`` rows.  Rows that repeat are packed each; an
-empty table gives no rows.
+The histogram is exact at every size.  ``h`` different lengths need ``h * h / 2``
+tokens at least, so it has at most the square root of twice the corpus's tokens
+as rows, 16 bytes each, and no more than the longest document has tokens.
+Nothing is cut or dropped: a document longer than the budget is a batch alone.
+Rows of length 0 form a bucket of bound 0 in batches of ``budget`` rows.  Rows
+that repeat are packed each, and a null id like any other; a null length counts
+as 0; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,42 +23,48 @@ from pyspark.sql import functions as F
 
 from chronolith.storage import shuffle_partitions, written
 
-STEPS = 4096
 
-
-def grid(length: Column, exact: int) -> Column:
-    """``length`` itself up to ``exact``, else rounded up to its first 13 binary digits."""
-    digits = F.length(F.bin(length))
-    step = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), digits - 13))
-    return F.when(length <= exact, length).otherwise(F.ceil(length / step).cast("long") * step)
+def least_of_ranges(cost: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, price) -> tuple[np.ndarray, np.ndarray]:
+    """For each right end ``at``, the least total over split points ``first`` to ``last``, and the first such point."""
+    sizes = last - first + 1
+    begins = np.cumsum(sizes) - sizes
+    options = np.arange(int(sizes.sum())) + np.repeat(first - begins, sizes)
+    totals = cost[options] + price(options, np.repeat(at, sizes))
+    least = np.minimum.reduceat(totals, begins)
+    hits = np.flatnonzero(totals == np.repeat(least, sizes))
+    return least, options[hits[np.searchsorted(hits, begins)]]
 
 
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds, at most ``buckets``, with the least total padding.
 
-    Divide and conquer over the histogram: the best split point moves with the
-    right end, so each layer takes O(h log h).
+    The best split point moves with the right end, so each layer halves the
+    right ends and looks between the neighbours' split points: O(h log h).
     """
     h = len(lengths)
     if not h:
         return []
     lengths = lengths.astype(np.int64)
     n, total = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), np.concatenate([[0], np.cumsum(counts * lengths)]).astype(np.int64)
-    cost = np.array([lengths[j - 1] * n[j] - total[j] if j else 0 for j in range(h + 1)], np.int64)
+    upper = np.concatenate([[0], lengths])
+
+    def price(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The padding of the lengths numbered i to j - 1, in one bucket."""
+        return upper[j] * (n[j] - n[i]) - (total[j] - total[i])
+
+    cost = price(np.zeros(h + 1, np.int64), np.arange(h + 1))
     back: list[np.ndarray] = []
     for _ in range(1, min(buckets, h)):
         new, split = cost.copy(), np.zeros(h + 1, np.int64)
-        ranges = [(1, h, 0, h)]
-        while ranges:
-            low, high, first, last = ranges.pop()
-            if low > high:
-                continue
-            mid = (low + high) // 2
-            options = np.arange(first, min(mid, last + 1))
-            costs = cost[options] + lengths[mid - 1] * (n[mid] - n[options]) - (total[mid] - total[options])
-            k = int(np.argmin(costs))
-            new[mid], split[mid] = costs[k], options[k]
-            ranges += [(low, mid - 1, first, int(options[k])), (mid + 1, high, int(options[k]), last)]
+        # right ends known so far, in order, with their split points; the outer two bound all
+        step = 1 << (h.bit_length() - 1)
+        while step:
+            at = np.arange(step, h + 1, 2 * step)
+            first = split[at - step]
+            after = at + step
+            last = np.minimum(np.where(after <= h, split[np.minimum(after, h)], h), at - 1)
+            new[at], split[at] = least_of_ranges(cost, at, np.minimum(first, last), last, price)
+            step //= 2
         back.append(split)
         cost = new
     bounds, at = [], h
@@ -71,16 +78,16 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
     return sorted(bounds)
 
 
-def pack(docs: DataFrame, length: Column, buckets: int = 16, budget: int = 65_536, exact: int = 8192) -> DataFrame:
+def pack(docs: DataFrame, length: Column, buckets: int = 16, budget: int = 65_536) -> DataFrame:
     """``(doc_id, length, bucket, bound, batch, slot, padding)`` of every row of ``docs``.
 
     ``batch`` numbers the batches of a bucket from 0, ``slot`` the rows of a
     batch; ``padding`` is what the row wastes.
     """
     spark = docs.sparkSession
-    rows = written(docs.select("doc_id", length.cast("long").alias("length")), "lengths")
-    histogram = rows.groupBy(grid(F.col("length"), exact).alias("length")).count().orderBy("length").toPandas()
-    bounds = best_bounds(histogram["length"].to_numpy(), histogram["count"].to_numpy(), buckets) or [0]
+    rows = written(docs.select("doc_id", F.coalesce(length.cast("long"), F.lit(0).cast("long")).alias("length")), "lengths")
+    histogram = rows.groupBy("length").count().orderBy("length").toArrow()
+    bounds = best_bounds(histogram.column("length").to_numpy(), histogram.column("count").to_numpy(), buckets) or [0]
     listed = F.array(*[F.lit(b).cast("long") for b in bounds])
     over = F.filter(listed, lambda b: b >= F.col("length"))
     placed = rows.withColumn("bound", F.element_at(over, 1)).withColumn("bucket", (F.lit(len(bounds)) - F.size(over)).cast("int"))
@@ -94,8 +101,3 @@ def pack(docs: DataFrame, length: Column, buckets: int = 16, budget: int = 65_53
     per_batch = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(F.col("bound"), F.lit(1))).cast("long"))
     numbered = dealt.withColumn("local", local).join(before, ["bucket", "part"])
     return numbered.select("doc_id", "length", "bucket", "bound", F.floor(place / per_batch).cast("long").alias("batch"), F.pmod(place, per_batch).cast("long").alias("slot"), (F.col("bound") - F.col("length")).alias("padding"))
-
-
-def word_count(text: Column) -> Column:
-    """How many words between white space ``text`` has; null has none."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))

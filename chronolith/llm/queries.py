@@ -71,7 +71,8 @@ def op9_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), packing.word_count(F.col("text")))
+    lengths = ans.token_lengths(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return packing.pack(lengths, F.col("n_tokens"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ans_tokens, op2_chunk_recipes, op3_redirect_urls, op4_subword_toxicity, op5_feistel_pseudonyms, op6_golay_simhash, op7_token_counts, op8_suffix_tree_scores, op9_suffix_decontamination, op10_length_buckets)}

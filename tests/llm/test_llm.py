@@ -564,9 +564,57 @@ def test_bucket_bounds_are_optimal():
             assert len(bounds) <= k and _padding(lengths, counts, bounds) == best
 
 
+def _plain_bounds(lengths, counts, buckets):
+    """The least padding by the plain quadratic recurrence."""
+    h = len(lengths)
+    price = lambda i, j: sum(int(n) * int(lengths[j - 1] - x) for x, n in zip(lengths[i:j], counts[i:j], strict=True))
+    cost = [0] + [price(0, j) for j in range(1, h + 1)]
+    for _ in range(1, buckets):
+        cost = [0] + [min([cost[j]] + [cost[i] + price(i, j) for i in range(1, j)]) for j in range(1, h + 1)]
+    return cost[h]
+
+
+def test_bounds_are_optimal_over_long_lengths():
+    rng = np.random.default_rng(19)
+    for h in (1, 2, 31, 32, 33, 40):
+        lengths = np.sort(rng.choice(2_000_000, h, replace=False))
+        counts = rng.integers(1, 1000, h)
+        for k in (1, 2, 4, 7):
+            bounds = packing.best_bounds(lengths, counts, k)
+            assert len(bounds) <= k and _padding(lengths, counts, bounds) == _plain_bounds(lengths, counts, k)
+    many = np.unique(rng.integers(1, 10**7, 200_000))
+    bounds = packing.best_bounds(many, rng.integers(1, 9, len(many)), 16)
+    assert len(bounds) == 16 and bounds[-1] == many[-1]
+
+
+def test_token_lengths_are_what_is_written(spark, odd, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    want = Counter((d, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for d, t in ODD)
+    assert Counter(tuple(r) for r in ans.token_lengths(odd, path, 2).collect()) == want
+    assert ans.token_lengths(empty, path).count() == 0
+
+
+def test_batches_match_plain_packing(spark):
+    rng = np.random.default_rng(23)
+    lengths = [int(x) for x in rng.choice([1, 5, 9, 300, 9000, 9001, 40_000], 400)]
+    docs = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long")
+    rows = packing.pack(docs, F.col("n"), buckets=3, budget=20_000).collect()
+    kinds, counts = np.unique(lengths, return_counts=True)
+    assert sum(r["padding"] for r in rows) == _plain_bounds(kinds, counts, 3)
+    bounds = sorted({r["bound"] for r in rows})
+    for r in rows:
+        assert r["length"] == lengths[r["doc_id"]] and r["bound"] == min(b for b in bounds if b >= r["length"]) and r["bucket"] == bounds.index(r["bound"])
+    sizes = Counter((r["bucket"], r["batch"]) for r in rows)
+    for b, bound in enumerate(bounds):
+        own, most = [n for (k, _), n in sizes.items() if k == b], max(1, 20_000 // bound)
+        assert len(own) == -(-sum(own) // most) and max(own) <= most
+
+
 def test_batches_hold_every_row_within_budget(spark, odd, empty):
     docs = odd.unionByName(spark.range(100, 600).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 37).cast("int")).alias("text")), allowMissingColumns=True)
-    rows = packing.pack(docs, packing.word_count(F.col("text")), buckets=4, budget=128).collect()
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^ ]+"))
+    rows = packing.pack(docs, words, buckets=4, budget=128).collect()
     assert len(rows) == docs.count()
     sizes, places = Counter((r["bucket"], r["batch"]) for r in rows), Counter((r["bucket"], r["batch"], r["slot"]) for r in rows)
     assert max(places.values()) == 1 and all(r["padding"] >= 0 for r in rows)
@@ -575,7 +623,7 @@ def test_batches_hold_every_row_within_budget(spark, odd, empty):
     full = Counter(b for b, _ in sizes)
     for bucket, batches in full.items():
         assert sorted(b for k, b in sizes if k == bucket) == list(range(batches))
-    assert packing.pack(empty, packing.word_count(F.col("text"))).count() == 0
+    assert packing.pack(empty, F.length("text")).count() == 0
 
 
 def test_crc_rule_of_held_out_rows(spark):
