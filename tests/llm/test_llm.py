@@ -542,10 +542,50 @@ def test_items_without_an_id_count_hits(spark):
     for words in (2_000_000, 3):  # in one block, and in several
         got = {r["doc_id"]: r for r in decontam.find_matches(docs, benchmark, 3, block_words=words).collect()}
         assert {d: (r["hit_words"], r["item_ids"]) for d, r in got.items()} == {1: (4, ["7"]), 2: (0, []), 3: (1, [])}
-        assert [tuple(m) for m in got[1]["matches"]] == [("7", 2, 3)] and got[3]["matches"] == []
+        assert [tuple(m) for m in got[1]["matches"]] == [("7", 2, 0, 3)] and got[3]["matches"] == []
     assert [r["doc_id"] for r in decontam.decontaminate(docs, benchmark, 3).collect()] == [2]
 
 
+def _brute_matches(text, items, width):
+    """For each item and place in it where a match begins that can't begin earlier: the longest in the text, the first of these."""
+    words, best = text.split(), {}
+    for item, t in items:
+        w = t.split()
+        n = min(width, len(w))
+        for i, j in itertools.product(range(len(w)), range(len(words))):
+            if i and j and w[i - 1] == words[j - 1]:
+                continue
+            k = 0
+            while i + k < len(w) and j + k < len(words) and w[i + k] == words[j + k]:
+                k += 1
+            if n and k >= n and item is not None:
+                best[item, i] = min(best.get((item, i), (0, 0)), (-k, j))
+    return sorted((str(item), j, i, -k) for (item, i), (k, j) in best.items())
+
+
+def test_longest_matches_against_brute_force(spark):
+    rng = np.random.default_rng(29)
+    item = [f"q{i}" for i in range(30)]
+    items = [(0, " ".join(item)), (1, "aa bb aa bb aa bb aa bb"), (2, "cc"), (3, " ".join(item[5:20])), (None, "dd ee ff"), (4, "aa " * 9), (None, None)]
+    texts = [" ".join(item[:10] + item[20:]), " ".join(item[:10] + ["xx"] + item[20:] + item[3:17] + item[3:18]), "aa bb " * 9, "aa aa aa bb aa bb", "zz cc dd ee ff cc", "", " ".join(item * 2), "aa " * 30]
+    vocabulary = ["aa", "bb", "cc", "q5", "q6", "q7", "q8", "zz"]
+    texts += [" ".join(rng.choice(vocabulary, int(rng.integers(1, 40)))) for _ in range(60)]
+    docs, benchmark = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (2_000_000, 12):
+        for r in decontam.find_matches(docs.withColumn("n_words", F.lit(1)), benchmark, 4, block_words=block).collect():
+            want = _brute_matches(r["text"], [(d, t) for d, t in items if t], 4)
+            assert sorted((m["item_id"], m["start"], m["item_start"], m["length"]) for m in r["matches"]) == want
+            assert (r["n_words"], r["hit_words"], sorted(r["item_ids"])) == _brute_hits(r["text"], [(d, t) for d, t in items if d is not None and t], 4)[:1] + (_brute_hits(r["text"], items, 4)[1], sorted({str(m[0]) for m in want}))
+
+
+def test_suffix_array_is_in_order():
+    rng = np.random.default_rng(31)
+    for n, kinds in ((1, 1), (50, 2), (200, 3), (300, 1), (400, 90)):
+        codes = rng.integers(1, kinds + 1, n)
+        plain = sorted(range(n), key=lambda i: codes[i:].tolist())
+        assert decontam.suffix_array(codes, n + 1).tolist() == plain
+
+
 # --- 10: packing ---
 
 
