@@ -1,7 +1,7 @@
 """Exact duplicates by content-defined chunk recipes, in DataFrame functions only.
 
-A text without white space is cut where its own characters say so, so equal
-stretches give equal chunks wherever they stand.  A chunk's identifier is its
+A text without white space is cut where its own characters say so, in any script,
+so equal stretches give equal chunks wherever they stand.  A chunk's identifier is its
 64-bit hash, verified over the whole corpus against the chunk's SHA-256: where
 two chunks share a hash, their documents are told apart by the digests.  A
 document becomes the ordered list of its chunks' identifiers, and documents are
@@ -23,14 +23,28 @@ from chronolith.llm.common import SPACE, by_ids
 from chronolith.storage import written
 
 
+#: Stretches of code points (from, to, how many in a row) of which every fifth such row is in the boundary class.
+CLASS_ROWS = ((0x21, 0x590, 1), (0x590, 0x3200, 8), (0x3200, 0x10000, 64), (0x10000, 0x1F000, 1024), (0x1F000, 0x20000, 64), (0x20000, 0x110000, 4096))
+
+
 def boundary_class(modulus: int = 5, rest: int = 2) -> str:
-    """A pattern class with every ``modulus``-th character from ``!`` to the end of Latin-1."""
-    return "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x21, 0x100) if c % modulus == rest) + "]"
+    """A pattern class with about one in ``modulus`` characters of every script.
+
+    Single characters where alphabets are small, rows of neighbours elsewhere, so
+    that the class stays short.  Latin-1 comes first, so its characters need no
+    look at the rest.
+    """
+    latin, others = [], []
+    for low, high, row in CLASS_ROWS:
+        for k, at in enumerate(range(low, high, row)):
+            if (k + low) % modulus == rest:
+                (latin if at < 0x100 else others).append(f"\\x{{{at:x}}}" + (f"-\\x{{{at + row - 1:x}}}" if row > 1 else ""))
+    return "[" + "".join(latin) + "[[^\\x00-\\xff]&&[" + "".join(others) + "]]]"
 
 
 def chunk_pattern(least: int = 128, most: int = 4096, marks: int = 3) -> str:
     """A chunk ends after ``marks`` characters of the class, ``least`` characters on, or at ``most``."""
-    return f"(?s).{{{least},{most}}}?{boundary_class() * marks}|.{{1,{most}}}"
+    return f"(?s).{{{least},{most}}}?{boundary_class()}{{{marks}}}|.{{1,{most}}}"
 
 
 def recipes(docs: DataFrame) -> DataFrame:
@@ -42,14 +56,14 @@ def recipes(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     bare = docs.select("doc_id", F.char_length(text).alias("n"), F.regexp_replace(text, SPACE + "+", "").alias("bare"))
     cut = bare.select("doc_id", "n", F.sha2("bare", 256).alias("text_sha256"), F.regexp_extract_all("bare", F.lit(chunk_pattern()), F.lit(0)).alias("chunks"))
-    marked = cut.select("doc_id", "n", "text_sha256", F.transform("chunks", lambda c: F.struct(F.xxhash64(c).alias("h"), F.unhex(F.sha2(c, 256)).alias("d"))).alias("marks"))
-    # the outer form: the inner one adds a filter that would cut every text twice
-    each = marked.select(F.explode_outer("marks").alias("m")).select("m.h", "m.d").distinct()
+    # written once: texts are cut and hashed one time, and are not needed again
+    marked = written(cut.select("doc_id", "n", "text_sha256", F.transform("chunks", lambda c: F.struct(F.xxhash64(c).alias("h"), F.unhex(F.sha2(c, 256)).alias("d"))).alias("marks")), "chunk-marks")
+    each = marked.select(F.explode("marks").alias("m")).select("m.h", "m.d").distinct()
     shared = written(each.groupBy("h").count().where("count > 1").select("h"), "shared-hashes")
     rows = marked.select("doc_id", "n", "text_sha256", F.col("marks.h").alias("ids"))
     if shared.isEmpty():
         return rows.withColumn("exact", F.lit(None).cast("array<struct<pos:int,d:binary>>"))
-    touched = marked.select("doc_id", "text_sha256", F.posexplode_outer("marks").alias("pos", "m")).select("doc_id", "text_sha256", "pos", F.col("m.h").alias("h"), F.col("m.d").alias("d")).distinct()
+    touched = marked.select("doc_id", "text_sha256", F.posexplode("marks").alias("pos", "m")).select("doc_id", "text_sha256", "pos", F.col("m.h").alias("h"), F.col("m.d").alias("d")).distinct()
     exact = touched.join(shared, "h").groupBy("doc_id", "text_sha256").agg(F.sort_array(F.collect_list(F.struct("pos", "d"))).alias("exact"))
     same = rows["doc_id"].eqNullSafe(exact["doc_id"]) & (rows["text_sha256"] == exact["text_sha256"])
     return rows.join(exact, same, "left").select(rows["*"], "exact")

@@ -114,6 +114,20 @@ def test_shared_chunk_hashes_are_told_apart(spark, monkeypatch):
     assert got == {1: 3, 2: 2, 3: 3}
 
 
+def test_chunks_survive_an_insertion_in_any_script(spark):
+    rng = np.random.default_rng(37)
+    alphabets = {"latin": (0x61, 0x7B), "cyrillic": (0x430, 0x450), "arabic": (0x620, 0x64B), "hindi": (0x905, 0x93A), "kana": (0x3041, 0x3097), "han": (0x4E00, 0x9FFF), "hangul": (0xAC00, 0xD7A4), "emoji": (0x1F300, 0x1F600)}
+    rows = []
+    for name, (low, high) in alphabets.items():
+        text = "".join(chr(c) for c in rng.integers(low, high, 12_000))
+        rows += [(name, 0, text), (name, 1, text[:700] + "X" + text[700:])]
+    found = {(r["name"], r["k"]): r["c"] for r in spark.createDataFrame(rows, "name string, k int, text string").select("name", "k", F.regexp_extract_all("text", F.lit(chunks.chunk_pattern()), F.lit(0)).alias("c")).collect()}
+    for name in alphabets:
+        one, two = found[name, 0], found[name, 1]
+        assert "".join(one) == next(t for n, k, t in rows if n == name and k == 0)
+        assert len(one) > 10 and len(set(one) & set(two)) >= 0.8 * len(one), name
+
+
 # --- 3: urls ---
 
 
