@@ -94,13 +94,13 @@ def device_features(df: DataFrame, buckets: int = 64) -> DataFrame:
 
     os_text, browser_text, info, kind = (cleaned(c) for c in ("id_30", "id_31", "DeviceInfo", "DeviceType"))
     either = F.lower(F.coalesce(os_text, info))
-    patterns = {"android": r"android|build/", "ios": "ios", "windows": "windows", "mac": r"\bmac(?:\s|os|_)"}
+    patterns = {"android": r"android|build/", "ios": "ios", "windows": "windows", "macos": r"\bmac(?:\s|os|_)"}
     systems = {name: F.coalesce(either.rlike(p), F.lit(False)) for name, p in patterns.items()}
-    any_system = systems["android"] | systems["ios"] | systems["windows"] | systems["mac"]
+    any_system = systems["android"] | systems["ios"] | systems["windows"] | systems["macos"]
 
     def code(text: Column, android: str) -> Column:
         low = F.lower(text)
-        return F.when(low.rlike(android), 0).when(low.rlike("ios"), 1).when(low.rlike("windows"), 2).when(low.rlike(patterns["mac"]), 3)
+        return F.when(low.rlike(android), 0).when(low.rlike("ios"), 1).when(low.rlike("windows"), 2).when(low.rlike(patterns["macos"]), 3)
 
     from_os, from_info = code(os_text, "android"), code(info, r"android|build/")
     kind_low = F.lower(kind)
@@ -125,29 +125,32 @@ def device_features(df: DataFrame, buckets: int = 64) -> DataFrame:
     no_device = info.isNull()
     for c in ids:
         no_device = no_device & cleaned(c).isNull() if c in ("id_30", "id_31") else no_device & F.col(c).isNull()
-    out = {f"dev_os_{k}": v.cast("int") for k, v in systems.items()}
+    out = {f"device_os_{k}": v.cast("int") for k, v in systems.items()}
     out |= {
-        "dev_os_unknown": (~any_system).cast("int"),
-        "dev_type_mobile": mobile.cast("int"),
-        "dev_type_desktop": desktop.cast("int"),
+        "device_os_unknown": (~any_system).cast("int"),
+        "device_type_mobile": mobile.cast("int"),
+        "device_type_desktop": desktop.cast("int"),
         "dev_multi_os_hit": (hits > 1).cast("int"),
         "id30_missing_but_devinfo_ok": (os_text.isNull() & info.isNotNull()).cast("int"),
         "dev_os_devinfo_mismatch": _flag(from_os != from_info),
-        "dev_os_devicetype_conflict": (((systems["android"] | systems["ios"]) & desktop) | ((systems["windows"] | systems["mac"]) & mobile)).cast("int"),
+        "dev_os_devicetype_conflict": (((systems["android"] | systems["ios"]) & desktop) | ((systems["windows"] | systems["macos"]) & mobile)).cast("int"),
     }
-    out |= {f"dev_browser_{k}": v.cast("int") for k, v in found.items()}
+    out |= {f"browser_{k}": v.cast("int") for k, v in found.items()}
     out |= {
-        "dev_browser_unknown": (~any_browser).cast("int"),
+        "browser_unknown": (~any_browser).cast("int"),
         "dev_browser_os_mismatch": (any_system & ((found["samsung"] & ~systems["android"]) | (mobile_safari & ~systems["ios"]))).cast("int"),
-        "android_tier": tier(os_version, 8, 13),
-        "ios_tier": tier(ios, 12, 16),
-        "chrome_tier": tier(chrome, 80, 100),
+        "os_android_ver_major": os_version,
+        "os_ios_ver_major": ios,
+        "browser_chrome_ver_major": chrome,
+        "os_android_ver_tier": tier(os_version, 8, 13),
+        "os_ios_ver_tier": tier(ios, 12, 16),
+        "browser_chrome_ver_tier": tier(chrome, 80, 100),
         "os_is_very_old": _flag((systems["android"] & (os_version <= 7)) | (systems["ios"] & (ios <= 11))),
-        "devinfo_length": F.coalesce(F.length(info), F.lit(0)),
-        "devinfo_has_build": _flag(F.lower(info).contains("build/")),
+        "devinfo_str_len": F.coalesce(F.length(info), F.lit(0)),
+        "devinfo_has_build_tag": _flag(F.lower(info).contains("build/")),
         "devinfo_has_samsung": _flag(F.lower(info).contains("samsung")),
         "devinfo_has_iphone": _flag(F.lower(info).contains("iphone")),
-        "devinfo_bucket": hash_bucket(info, buckets),
+        "devinfo_hash_bucket": hash_bucket(info, buckets),
         "device_info_missing": no_device.cast("int"),
     }
     return df.select("*", *[v.alias(k) for k, v in out.items()])

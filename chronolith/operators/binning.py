@@ -16,6 +16,22 @@ def quantile_edges(df: DataFrame, features: Sequence[str], n_bins: int) -> dict[
     return {c: sorted(set(row[c] or [])) for c in features}
 
 
+def width_edges(df: DataFrame, features: Sequence[str], n_bins: int) -> dict[str, list[float]]:
+    """Edges of ``n_bins`` bins of equal width; around a single value they span a thousandth of it to each side."""
+    ends = df.agg(*[F.min(F.col(c).cast("double")).alias(f"lo_{c}") for c in features], *[F.max(F.col(c).cast("double")).alias(f"hi_{c}") for c in features]).first() if features else None
+    out: dict[str, list[float]] = {}
+    for c in features:
+        low, high = ends[f"lo_{c}"], ends[f"hi_{c}"]
+        if low is None:
+            out[c] = []
+            continue
+        if low == high:
+            off = 0.001 * abs(low) if low else 0.001
+            low, high = low - off, high + off
+        out[c] = [low + (high - low) * k / n_bins for k in range(n_bins)] + [high]
+    return out
+
+
 def bin_of(value: Column, edges: Sequence[float], right: bool = True) -> Column:
     """The number of the bin, from 0: ``(l, r]`` with the first closed, or ``[l, r)`` with the last closed; null outside."""
     n = len(edges) - 1
@@ -38,8 +54,10 @@ def long_form(df: DataFrame, edges: dict[str, Sequence[float]], keep: Sequence[s
 
 def woe_table(df: DataFrame, features: Sequence[str], target: str, n_bins: int = 10, bins: dict[str, Sequence[float]] | None = None) -> DataFrame:
     """Counts, shares, weight of evidence and IV part of each bin; empty bins count as a share of 1e-10."""
-    edges = {c: list(e) for c, e in (bins or quantile_edges(df.where(F.col(target).isNotNull()), features, n_bins)).items()}
-    edges = {c: e if len(e) > 1 else [e[0], e[0]] if e else [] for c, e in edges.items()}
+    known = df.where(F.col(target).isNotNull())
+    edges = {c: list(e) for c, e in (bins or quantile_edges(known, features, n_bins)).items()}
+    # quantiles that all fall together give no bin: those features are cut in equal widths
+    edges |= width_edges(known, [c for c, e in edges.items() if len(e) == 1], n_bins)
     edges = {c: e for c, e in edges.items() if e}
     spark = df.sparkSession
     if not edges:

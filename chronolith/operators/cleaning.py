@@ -91,8 +91,17 @@ def profile(df: DataFrame) -> DataFrame:
     return out
 
 
-def feature_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Missing rate, distinct values, mean, population deviation, range, median and 95 % quantile of numeric columns."""
+def feature_stats(df: DataFrame, columns: Sequence[str] | None = None, target: str | None = None) -> DataFrame:
+    """Missing rate, distinct values, mean, population deviation, range, median and 95 % quantile of numeric columns.
+
+    With a ``target``, also ``iv_score``, the information value.
+    """
     columns = list(columns or numeric_columns(df))
     structs = [F.struct(F.lit(c).alias("feature"), F.avg(F.col(c).isNull().cast("double")).alias("missing_rate"), F.count_distinct(c).alias("n_unique"), F.avg(F.col(c).cast("double")).alias("mean"), F.stddev_pop(F.col(c).cast("double")).alias("std"), F.min(F.col(c).cast("double")).alias("min_value"), F.max(F.col(c).cast("double")).alias("max_value"), F.percentile(F.col(c).cast("double"), 0.5).alias("p50"), F.percentile(F.col(c).cast("double"), 0.95).alias("p95")) for c in columns]
-    return df.agg(F.array(*structs).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    found = df.agg(F.array(*structs).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    if target is None:
+        return found
+    from chronolith.operators.binning import information_values
+
+    iv = information_values(df, columns, target).select(F.col("feature").alias("_feature"), F.col("iv").alias("iv_score"))
+    return found.join(iv, F.col("feature") == F.col("_feature"), "left").drop("_feature")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.storage import written
+from chronolith.storage import forget, new_path, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,13 +36,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
     now = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
+    seen, last, spark = None, None, edges.sparkSession
     for _ in range(max_rounds):
         mark = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if mark[0] == 0 or mark == seen:
             break
         seen = mark
-        now = written(_small_star(_large_star(now)), "stars")
+        path = new_path(spark, "stars")
+        _small_star(_large_star(now)).write.parquet(path)
+        now = spark.read.schema(now.schema).parquet(path)
+        # the round before is read no more; the last one is the result's
+        if last:
+            forget(spark, last)
+        last = path
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()

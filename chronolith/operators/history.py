@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,22 +74,73 @@ def prior_aggregates(df: DataFrame, roles: Roles, group_keys: Sequence[Sequence[
     return df.select("*", *[v.alias(k) for k, v in out.items()])
 
 
-def prior_sums_in_chunks(df: DataFrame, roles: Roles, chunk: int, column: str | None = None) -> DataFrame:
-    """Count and sum of the rows before, for keys too hot for one task.
+def _by_chunk(df: DataFrame, roles: Roles, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with a key, numbered by chunk of time; and the rows without one."""
+    return df.where(F.col(roles.key).isNotNull()).withColumn("_chunk", F.floor(F.col(roles.time) / chunk)), df.where(F.col(roles.key).isNull())
+
+
+def prior_in_chunks(df: DataFrame, roles: Roles, chunk: int, columns: Sequence[str] | None = None, stats: Sequence[str] = STATS) -> DataFrame:
+    """What :func:`prior_aggregates` gives by the entity, for keys too hot for one task.
 
     An entity's rows are parted by time into chunks of ``chunk`` ticks; each
-    chunk is summed by itself, and what the earlier chunks hold is added.
+    chunk is reduced by itself, and what the earlier chunks hold is added, so a
+    task has the rows of one chunk, or one row for each chunk.  Deviations are
+    taken around the entity's mean.  Rows without a key need no window.
     """
-    column = column or roles.amount
-    parted = df.withColumn("_chunk", F.floor(F.col(roles.time) / chunk))
-    value = F.coalesce(F.col(column), F.lit(0.0))
-    sums = parted.where(F.col(roles.key).isNotNull()).groupBy(roles.key, "_chunk").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
+    _checked(stats)
+    columns = [roles.amount] if columns is None else columns
+    parted, rest = _by_chunk(df, roles, chunk)
+    means = parted.groupBy(roles.key).agg(*[F.avg(c).alias(f"_centre_{k}") for k, c in enumerate(columns)])
+    parted = parted.join(means, roles.key)
+    parts: dict[str, tuple] = {"_n": (F.count, F.lit(1))}
+    for k, c in enumerate(columns):
+        off = F.col(c) - F.col(f"_centre_{k}")
+        parts |= {f"_n_{k}": (F.count, F.col(c)), f"_s_{k}": (F.sum, F.col(c)), f"_o_{k}": (F.sum, off), f"_q_{k}": (F.sum, off * off), f"_l_{k}": (F.min, F.col(c)), f"_h_{k}": (F.max, F.col(c))}
+    merge = {"_n": F.sum, "_s": F.sum, "_o": F.sum, "_q": F.sum, "_l": F.min, "_h": F.max}
+    sums = parted.groupBy(roles.key, "_chunk").agg(*[f(x).alias(name) for name, (f, x) in parts.items()])
     earlier = Window.partitionBy(roles.key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(roles.key, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)).alias("_s0"))
-    local = Window.partitionBy(roles.key, "_chunk").orderBy(roles.time, roles.id)
-    n, s = F.row_number().over(local) - 1, F.coalesce(F.sum(value).over(local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    joined = parted.withColumn("_n", n).withColumn("_s", s).join(before, [roles.key, "_chunk"], "left")
-    return joined.select(*df.columns, F.coalesce(F.col("_n0") + F.col("_n"), F.lit(0)).cast("long").alias("prior_count"), F.coalesce(F.col("_s0") + F.col("_s"), F.lit(0.0)).alias("prior_sum"))
+    before = sums.select(roles.key, "_chunk", *[merge[name[:2]](name).over(earlier).alias(f"{name}_before") for name in parts])
+    local = Window.partitionBy(roles.key, "_chunk").orderBy(roles.time, roles.id).rowsBetween(Window.unboundedPreceding, -1)
+    joined = parted.select(*parted.columns, *[f(x).over(local).alias(f"{name}_local") for name, (f, x) in parts.items()]).join(before, [roles.key, "_chunk"])
+
+    def both(name: str) -> Column:
+        one, two = F.col(f"{name}_before"), F.col(f"{name}_local")
+        if name[:2] in ("_l", "_h"):
+            return F.coalesce((F.least if name[:2] == "_l" else F.greatest)(one, two), F.lit(0.0))
+        return F.coalesce(one, F.lit(0)) + F.coalesce(two, F.lit(0))
+
+    out: dict[str, Column] = {}
+    for k, c in enumerate(columns):
+        n, known = both("_n"), both(f"_n_{k}")
+        spread = both(f"_q_{k}") - both(f"_o_{k}") * both(f"_o_{k}") / known
+        values = {"count": n.cast("long"), "sum": both(f"_s_{k}").cast("double"), "mean": F.when(n > 0, both(f"_s_{k}") / n).otherwise(0.0), "std": F.when((known > 1) & (spread > 1e-12 * both(f"_q_{k}")), F.sqrt(spread / (known - 1))).otherwise(0.0), "min": both(f"_l_{k}"), "max": both(f"_h_{k}")}
+        out |= {f"{roles.key}_{c}_{stat}": values[stat] for stat in stats}
+    found = joined.select(*df.columns, *[v.alias(k) for k, v in out.items()])
+    return found.unionByName(rest.select("*", *[F.lit(0).cast(found.schema[k].dataType).alias(k) for k in out]))
+
+
+def prior_sums_in_chunks(df: DataFrame, roles: Roles, chunk: int, column: str | None = None) -> DataFrame:
+    """Count and sum of the rows before, by :func:`prior_in_chunks`."""
+    column = column or roles.amount
+    found = prior_in_chunks(df, roles, chunk, [column], ["count", "sum"])
+    return found.withColumnsRenamed({f"{roles.key}_{column}_count": "prior_count", f"{roles.key}_{column}_sum": "prior_sum"})
+
+
+def history_in_chunks(df: DataFrame, roles: Roles, width: int, stats: Sequence[str] = ("count", "sum", "mean"), columns: Sequence[str] | None = None) -> DataFrame:
+    """The statistics of :func:`history_features` for one window, for keys too hot for one task.
+
+    The last ``width`` ticks of a row lie in its own chunk of ``width`` ticks and
+    the one before, so each row is dealt to its chunk and, to be looked back at,
+    to the next; the window then runs inside a chunk.  Rows without a key need
+    no window.
+    """
+    parted, rest = _by_chunk(df, roles, width)
+    dealt = parted.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
+    dealt = dealt.withColumn("_part", F.struct(F.col(roles.key).alias("k"), (F.col("_chunk") + F.when(F.col("_own"), 0).otherwise(1)).alias("c")))
+    found = history_features(dealt, replace(roles, key="_part"), [width], stats, [roles.amount] if columns is None else columns)
+    found = found.where("_own").drop("_own", "_part", "_chunk", "time_since_last", "cumulative_spend")
+    new = [c for c in found.columns if c not in df.columns]
+    return found.unionByName(rest.select("*", *[F.lit(0).cast(found.schema[c].dataType).alias(c) for c in new]))
 
 
 def amount_features(df: DataFrame, roles: Roles) -> DataFrame:

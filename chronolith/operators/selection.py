@@ -53,12 +53,10 @@ def vif(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, values, strict=True)], "feature string, vif double")
 
 
-def filter_by_vif(df: DataFrame, columns: Sequence[str], threshold: float = 10.0, iv: dict[str, float] | None = None, max_rounds: int = 50) -> tuple[list[str], list[tuple[str, float]]]:
+def filter_by_vif(df: DataFrame, columns: Sequence[str], threshold: float = 10.0, iv: dict[str, float] | None = None) -> tuple[list[str], list[tuple[str, float]]]:
     """Columns left, and those dropped with their VIF: infinite ones first, lowest IV first, one a round."""
     left, matrix, dropped = list(columns), correlation(df, columns), []
-    for _ in range(max_rounds):
-        if len(left) < 2:
-            break
+    while len(left) > 1:
         values = vif_of(matrix)
         over = [k for k, v in enumerate(values) if v > threshold]
         if not over:
@@ -71,7 +69,7 @@ def filter_by_vif(df: DataFrame, columns: Sequence[str], threshold: float = 10.0
     return left, dropped
 
 
-def adversarial_validation(train: DataFrame, current: DataFrame, columns: Sequence[str], id: str, threshold: float = 0.7, top: int = 10, rows: int = 50_000, permute: bool = False) -> tuple[DataFrame, DataFrame]:
+def adversarial_validation(train: DataFrame, current: DataFrame, columns: Sequence[str], id: str, threshold: float = 0.7, top: int = 10, rows: int = 50_000, permute: bool = False, repeats: int = 3) -> tuple[DataFrame, DataFrame]:
     """Can a linear model tell the two tables apart?  ``(auc, shifted)`` and the telling features.
 
     A sampling operator: at most ``rows`` rows of each side, drawn by a hash of the id.
@@ -88,7 +86,8 @@ def adversarial_validation(train: DataFrame, current: DataFrame, columns: Sequen
     base = auc(scaled)
     weights = np.abs(model.coefficients.toArray())
     if permute:
-        weights = np.array([base - auc(_shuffled(scaled, k)) for k in range(len(columns))])
+        # the mean drop of the AUC over some seeded permutations of each column
+        weights = np.array([np.mean([base - auc(_shuffled(scaled, k, seed)) for seed in range(repeats)]) for k in range(len(columns))])
     spark = train.sparkSession
     order = np.argsort(-weights, kind="stable")[:top]
     found = spark.createDataFrame([(columns[int(k)], float(weights[int(k)])) for k in order], "feature string, importance double")
@@ -96,12 +95,12 @@ def adversarial_validation(train: DataFrame, current: DataFrame, columns: Sequen
     return spark.createDataFrame([(float(base), bool(base > threshold))], "auc double, shifted boolean"), found
 
 
-def _shuffled(df: DataFrame, column: int) -> DataFrame:
+def _shuffled(df: DataFrame, column: int, seed: int) -> DataFrame:
     """``df`` with one entry of the vector dealt anew in a seeded order (of the bounded sample)."""
     from pyspark.ml.functions import array_to_vector
 
     values = df.select(vector_to_array("features").alias("_v"), "_side", F.row_number().over(Window.orderBy(F.xxhash64("features", "_side"))).alias("_k"))
-    other = values.select(F.col("_v")[column].alias("_w"), F.row_number().over(Window.orderBy(F.xxhash64("_v", F.lit(7)))).alias("_k"))
+    other = values.select(F.col("_v")[column].alias("_w"), F.row_number().over(Window.orderBy(F.xxhash64("_v", F.lit(7 + seed)))).alias("_k"))
     swapped = F.transform("_v", lambda x, k: F.when(k == column, F.col("_w")).otherwise(x))
     return values.join(other, "_k").select(array_to_vector(swapped).alias("features"), "_side")
 

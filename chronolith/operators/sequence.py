@@ -7,13 +7,14 @@ in for recurrent and convolutional encoders and is marked as a substitution.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith.spec import Roles
@@ -56,6 +57,17 @@ class SequenceEncoder:
         return out.select(roles.key, "n", F.transform("embedding", lambda v: v.cast("float")).alias("embedding"), anomaly.alias("anomaly"))
 
 
+    def save(self, path: str) -> None:
+        """Write the encoder as one JSON text below ``path``."""
+        value = {"features": self.features, "length": self.length, "mean": self.mean.tolist(), "scale": self.scale.tolist(), "components": self.components.tolist()}
+        SparkSession.getActiveSession().createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> SequenceEncoder:
+        value = json.loads(spark.read.text(path).first()[0])
+        return SequenceEncoder(value["features"], value["length"], *[np.array(value[k]) for k in ("mean", "scale", "components")])
+
+
 def fit_encoder(df: DataFrame, roles: Roles, features: Sequence[str], length: int = 20, size: int = 8) -> SequenceEncoder:
     """Fit the encoder on the sequences of ``df``."""
     width = length * len(features)

@@ -143,13 +143,13 @@ _CODE = "case when {a} then 0 when contains({x}, 'ios') then 1 when contains({x}
 d as (select *, lower(coalesce(o, i)) as e, lower(o) as lo, lower(i) as li from c),
 f as (select *, {", ".join(f"{v} as {k}" for k, v in _HAS.items())}, coalesce(contains(b, 'chrome'), false) as chrome, coalesce(contains(b, 'safari'), false) as safari, coalesce(contains(b, 'samsung browser'), false) as samsung, coalesce(contains(b, 'firefox'), false) as firefox, coalesce(contains(b, 'edge'), false) as edge,
  try_cast(nullif(regexp_extract(coalesce(o, i), '(\\d+)', 1), '') as double) as v, try_cast(nullif(regexp_extract(b, '(\\d+)', 1), '') as double) as bv, {_CODE.format(a="contains(lo, 'android')", x="lo")} as co, {_CODE.format(a="regexp_matches(li, 'android|build/')", x="li")} as ci from d)
-select id, android::int as dev_os_android, ios::int as dev_os_ios, windows::int as dev_os_windows, mac::int as dev_os_mac, (not (android or ios or windows or mac))::int as dev_os_unknown, coalesce(k = 'mobile', false)::int as dev_type_mobile, coalesce(k = 'desktop', false)::int as dev_type_desktop,
+select id, android::int as device_os_android, ios::int as device_os_ios, windows::int as device_os_windows, mac::int as device_os_macos, (not (android or ios or windows or mac))::int as device_os_unknown, coalesce(k = 'mobile', false)::int as device_type_mobile, coalesce(k = 'desktop', false)::int as device_type_desktop,
  (android::int + ios::int + windows::int + mac::int > 1)::int as dev_multi_os_hit, (o is null and i is not null)::int as id30_missing_but_devinfo_ok, coalesce(co <> ci, false)::int as dev_os_devinfo_mismatch,
- (((android or ios) and coalesce(k = 'desktop', false)) or ((windows or mac) and coalesce(k = 'mobile', false)))::int as dev_os_devicetype_conflict, chrome::int as dev_browser_chrome, safari::int as dev_browser_safari, samsung::int as dev_browser_samsung, firefox::int as dev_browser_firefox, edge::int as dev_browser_edge,
- (not (chrome or safari or samsung or firefox or edge))::int as dev_browser_unknown, ((android or ios or windows or mac) and ((samsung and not android) or (coalesce(contains(b, 'mobile safari'), false) and not ios)))::int as dev_browser_os_mismatch,
- case when v is null then 'none' when v < 8 then 'low' when v < 13 then 'mid' else 'high' end as android_tier, case when not ios or v is null then 'none' when v < 12 then 'low' when v < 16 then 'mid' else 'high' end as ios_tier, case when not chrome or bv is null then 'none' when bv < 80 then 'low' when bv < 100 then 'mid' else 'high' end as chrome_tier,
- coalesce((android and v <= 7) or (ios and v <= 11), false)::int as os_is_very_old, coalesce(length(i), 0)::int as devinfo_length, coalesce(contains(li, 'build/'), false)::int as devinfo_has_build, coalesce(contains(li, 'samsung'), false)::int as devinfo_has_samsung, coalesce(contains(li, 'iphone'), false)::int as devinfo_has_iphone,
- case when i is null then -1 else cast(('0x' || substr(md5(i), 31, 2)) as int) % 64 end as devinfo_bucket, (o is null and b is null and i is null)::int as device_info_missing from f""")
+ (((android or ios) and coalesce(k = 'desktop', false)) or ((windows or mac) and coalesce(k = 'mobile', false)))::int as dev_os_devicetype_conflict, chrome::int as browser_chrome, safari::int as browser_safari, samsung::int as browser_samsung, firefox::int as browser_firefox, edge::int as browser_edge,
+ (not (chrome or safari or samsung or firefox or edge))::int as browser_unknown, ((android or ios or windows or mac) and ((samsung and not android) or (coalesce(contains(b, 'mobile safari'), false) and not ios)))::int as dev_browser_os_mismatch,
+ case when v is null then 'none' when v < 8 then 'low' when v < 13 then 'mid' else 'high' end as os_android_ver_tier, case when not ios or v is null then 'none' when v < 12 then 'low' when v < 16 then 'mid' else 'high' end as os_ios_ver_tier, case when not chrome or bv is null then 'none' when bv < 80 then 'low' when bv < 100 then 'mid' else 'high' end as browser_chrome_ver_tier, v as os_android_ver_major, case when ios then v end as os_ios_ver_major, case when chrome then bv end as browser_chrome_ver_major,
+ coalesce((android and v <= 7) or (ios and v <= 11), false)::int as os_is_very_old, coalesce(length(i), 0)::int as devinfo_str_len, coalesce(contains(li, 'build/'), false)::int as devinfo_has_build_tag, coalesce(contains(li, 'samsung'), false)::int as devinfo_has_samsung, coalesce(contains(li, 'iphone'), false)::int as devinfo_has_iphone,
+ case when i is null then -1 else cast(('0x' || substr(md5(i), 31, 2)) as int) % 64 end as devinfo_hash_bucket, (o is null and b is null and i is null)::int as device_info_missing from f""")
 def device_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = sparse_orders(spark, sf_dir).select("id", "id_30", "id_31", "DeviceInfo", "DeviceType")
     return rowf.device_features(base.withColumnRenamed("id", "row")).drop("id_30", "id_31", "DeviceInfo", "DeviceType").withColumnRenamed("row", "id")

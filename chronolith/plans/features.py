@@ -23,7 +23,7 @@ class Step:
     fit: Callable[..., object] | None = None
     params: dict = field(default_factory=dict)
     uses_target: bool = False
-    streaming: bool = False
+    instance: str | None = None
 
     @property
     def stateful(self) -> bool:
@@ -60,15 +60,25 @@ STEPS: dict[str, tuple[Callable, Callable | None, bool]] = {
 }
 
 
+#: Steps that look at an entity's earlier rows: scoring an event alone gives them no history.
+HISTORY = frozenset({"amount", "history", "aggregation", "velocity", "graph_history", "graph_distinct", "component_size", "uid"})
+
+
 def configure(spec: Sequence[str | dict]) -> list[Step]:
-    """Steps from names or ``{name: params}``; an unknown name is an error, and so is an unknown parameter on use."""
+    """Steps from names or ``{name: params}``; an unknown name is an error, and so is an unknown parameter on use.
+
+    The parameter ``instance`` names one of several steps of a kind: its columns
+    end in ``_<instance>``.
+    """
     out = []
     for item in spec:
         name, params = (item, {}) if isinstance(item, str) else next(iter(item.items()))
         if name not in STEPS:
             raise ValueError(f"unknown feature step {name!r}: {', '.join(sorted(STEPS))}")
         apply, fit, target = STEPS[name]
-        out.append(Step(name, apply, fit, dict(params), target))
+        params = dict(params)
+        instance = params.pop("instance", None)
+        out.append(Step(name, apply, fit, params, target, instance))
     return out
 
 
@@ -94,8 +104,28 @@ class FeaturePlan:
             df = self._apply(k, step, df)
         return df
 
+    @property
+    def needs_history(self) -> bool:
+        """Whether events scored alone lack the history that the steps were trained on."""
+        return any(s.name in HISTORY for s in self.steps)
+
     def _apply(self, k: int, step: Step, df: DataFrame) -> DataFrame:
-        return step.apply(df, self.state[k], self.roles, **step.params) if step.stateful else step.apply(df, self.roles, **step.params)
+        """The step's columns beside those of ``df``; a column that is there already is an error, unless the step is a named instance."""
+        made = {c for step_made in self.made.values() for c in step_made} if step.instance else set()
+        kept = {c: f"_kept_{c}" for c in df.columns if c in made}
+        base = df.withColumnsRenamed(kept)
+        out = step.apply(base, self.state[k], self.roles, **step.params) if step.stateful else step.apply(base, self.roles, **step.params)
+        if step.instance:
+            new = {c: f"{c}_{step.instance}" for c in out.columns if c not in base.columns}
+            out = out.withColumnsRenamed(new).withColumnsRenamed({v: c for c, v in kept.items()})
+        twice = sorted({c for c in out.columns if out.columns.count(c) > 1})
+        if twice:
+            raise ValueError(f"step {k} ({step.name}) makes columns that are there already: {', '.join(twice)}")
+        return out
+
+    def entries(self) -> list[dict]:
+        """What each step made, as plain values for a :class:`chronolith.plans.feature_catalog.FeatureCatalog`."""
+        return [{"source": s.instance or s.name, "feature_names": self.made.get(f"{k}:{s.name}", []), "depends_on_target": s.uses_target, "is_stateful": s.stateful} for k, s in enumerate(self.steps)]
 
     def catalog(self, spark: SparkSession) -> DataFrame:
         """``(step, feature, stateful, uses_target)`` of every column made."""

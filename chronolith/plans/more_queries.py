@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.operators import binning, models, selection, sequence, tables
+from chronolith.operators import binning, history, models, selection, sequence, tables
 from chronolith.plans import store, training
 from chronolith.plans.catalog import HOUR_US, MONTH, _halves, _recent, query, rounded
-from chronolith.plans.views import EVENTS_SQL, ORDERS, ORDERS_SQL, orders, scored_orders, sparse_orders, table
+from chronolith.plans.views import EVENTS_SQL, ORDERS, ORDERS_SQL, events, orders, scored_orders, sparse_orders, table
 from chronolith.sources.tables import fitted_types
 from chronolith.storage import new_path, written
 from chronolith.streaming import stateful
@@ -105,13 +105,37 @@ def lineage_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s,) for s in store.upstream(low.unionByName(high), "c:1", True)], "source string")
 
 
+_HOT = "from (select event_id as id, 1 as key, epoch_us(ts) as t, value as amt from events)"
+_HOT_PRIOR = "over (order by t, id rows between unbounded preceding and 1 preceding)"
+
+
+@query(f"select id, count(*) {_HOT_PRIOR} as n, round(coalesce(sum(amt) {_HOT_PRIOR}, 0), 3) as total, floor(coalesce(avg(amt) {_HOT_PRIOR}, 0) * 10000 + 0.3137)::bigint as mean_steps, round(coalesce(stddev_samp(amt) {_HOT_PRIOR}, 0), 3) as std, coalesce(min(amt) {_HOT_PRIOR}, 0) as lo, coalesce(max(amt) {_HOT_PRIOR}, 0) as hi {_HOT}")
+def agg_prior_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events under one key: every expanding statistic, summed in chunks of a day; means in steps whose edges no mean of cents hits."""
+    base = events(spark, sf_dir).withColumn("key", F.lit(1))
+    found = history.prior_in_chunks(base, ORDERS, 24 * HOUR_US)
+    named = found.select("id", F.col("key_amt_count").alias("n"), F.col("key_amt_sum").alias("total"), F.floor(F.col("key_amt_mean") * 10000 + 0.3137).cast("long").alias("mean_steps"), F.col("key_amt_std").alias("std"), F.col("key_amt_min").alias("lo"), F.col("key_amt_max").alias("hi"))
+    return rounded(rounded(named, 3, "total"), 3, "std")
+
+
+_HOT_HOUR, _HOT_TIED = f"over (order by t range between {HOUR_US} preceding and current row)", "over (partition by t order by id rows between current row and unbounded following)"
+
+
+@query(f"select id, count(*) {_HOT_HOUR} - count(*) {_HOT_TIED} as n, round(coalesce(sum(amt) {_HOT_HOUR}, 0) - coalesce(sum(amt) {_HOT_TIED}, 0), 3) as total {_HOT}")
+def history_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events under one key: the last hour of each, in chunks."""
+    base = events(spark, sf_dir).withColumn("key", F.lit(1))
+    found = history.history_in_chunks(base, ORDERS, HOUR_US, ["count", "sum"])
+    return rounded(found.select("id", F.col(f"tx_count_last_{HOUR_US}s").alias("n"), F.col(f"amt_sum_last_{HOUR_US}s").alias("total")), 3, "total")
+
+
 @query(f"select id, {_recent(24 * HOUR_US)} + 1 as n_recent from {EVENTS_SQL}")
 def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = stateful.read_events(spark, f"{sf_dir}/events.parque[t]", schema)
     shaped = stream.select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")).alias("t"))
     sink, checkpoint = new_path(spark, "stream"), new_path(spark, "stream-checkpoint")
-    counted = stateful.velocity_counts(shaped, ORDERS, 24 * HOUR_US)
+    counted = stateful.velocity_counts(shaped, ORDERS, 24 * HOUR_US, tick="microsecond")
     counted.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("id long, key long, t long, n_recent long").parquet(sink).select("id", "n_recent")
 
@@ -140,6 +164,6 @@ def upsert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select event_type as kind, time_bucket(interval '1 hour', ts) as start, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def windowed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("kind"), "value")
-    hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
-    return base.groupBy("kind", hour.alias("start")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    found = stateful.windowed_totals(base, "ts", ["kind"], "value", "1 hour")
+    return found.select("kind", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 

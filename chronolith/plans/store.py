@@ -20,7 +20,7 @@ SCHEMAS = {
     "features": "name string, entity string, description string, owner string, feature_type string, created_date double, is_archived boolean",
     "feature_versions": "version_id long, feature_name string, version int, created_date double, is_active boolean, schema_json string, run_id string",
     "lineage": "version_id long, source_type string, source_name string",
-    "statistics": "version_id long, column string, missing_rate double, n_unique long, mean double, std double, min_value double, max_value double, p50 double, p95 double, computed_at double",
+    "statistics": "version_id long, column string, missing_rate double, iv_score double, n_unique long, mean double, std double, min_value double, max_value double, p50 double, p95 double, computed_at double",
 }
 
 
@@ -138,18 +138,18 @@ class FeatureStore:
 
     # --- statistics ---
 
-    def record_statistics(self, name: str, df: DataFrame, columns: Sequence[str] | None = None) -> None:
-        """Statistics of a feature's columns: the column of its name, else those that begin with it."""
+    def record_statistics(self, name: str, df: DataFrame, columns: Sequence[str] | None = None, target: str | None = None) -> None:
+        """Statistics of a feature's columns: the column of its name, else those that begin with it; ``iv_score`` needs a ``target``."""
         version = self.active(name)
         if not version:
             raise KeyError(name)
         columns = columns or ([name] if name in df.columns else [c for c in df.columns if c.startswith(name)])
-        stats = feature_stats(df, columns).select(F.lit(version["version_id"]).cast("long").alias("version_id"), F.col("feature").alias("column"), "missing_rate", "n_unique", "mean", "std", "min_value", "max_value", "p50", "p95", F.lit(time.time()).alias("computed_at"))
+        stats = feature_stats(df, columns, target).withColumns({} if target else {"iv_score": F.lit(None).cast("double")}).select(F.lit(version["version_id"]).cast("long").alias("version_id"), F.col("feature").alias("column"), "missing_rate", "iv_score", "n_unique", "mean", "std", "min_value", "max_value", "p50", "p95", F.lit(time.time()).alias("computed_at"))
         self._write("statistics", upsert(self.table("statistics"), stats, ["version_id", "column"]))
 
 
 def upstream(edges: DataFrame, name: str, recursive: bool = False, max_depth: int = 100) -> list[str]:
-    """Sources of ``name`` in an edge table (name, source_name), level by level."""
+    """Sources of ``name`` in an edge table (name, source_name), level by level; an error if there are more levels than ``max_depth``."""
     found: set[str] = set()
     frontier = [name]
     for _ in range(max_depth if recursive else 1):
@@ -158,4 +158,7 @@ def upstream(edges: DataFrame, name: str, recursive: bool = False, max_depth: in
         found.update(frontier)
         if not frontier:
             break
+    else:
+        if recursive:
+            raise ValueError(f"the lineage of {name} is deeper than {max_depth} levels")
     return sorted(found)

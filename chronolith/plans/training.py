@@ -37,11 +37,21 @@ class Trained:
         tiered = metrics.assign_tiers(scored, "probability", *self.tiers)
         return tiered.select(F.col(self.roles.id).alias("id"), "probability", "risk_level", "action", (F.col("probability") > self.tiers[1]).cast("int").alias("binary_prediction"), F.lit(version).alias("model_version"), F.current_timestamp().alias("scored_at"))
 
-    def score_with_rules(self, df: DataFrame, engine: rules.RuleEngine) -> DataFrame:
-        """Rules first; only rows that no rule decides take the model's probability."""
+    def score_with_rules(self, df: DataFrame, engine: rules.RuleEngine, history: DataFrame | None = None) -> DataFrame:
+        """Rules first; only rows that no rule decides take the model's probability.
+
+        ``history`` holds earlier rows of the same columns, which windows may
+        look at; ``features_degraded`` marks rows that the model scored without
+        any though its features need it.
+        """
+        if history is not None:
+            both = df.withColumn("_new", F.lit(True)).unionByName(history.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+            new = both.where("_new").select(F.col(self.roles.id).alias("_id"))
+            return self.score_with_rules(both.drop("_new"), engine).drop("features_degraded").join(new, F.col("id") == F.col("_id"), "left_semi").withColumn("features_degraded", F.lit(False))
         ruled = engine.evaluate(df, self.roles).select(F.col(self.roles.id).alias("_id"), "rule", "rule_action")
         scored = self.score(df).select("id", F.col("probability").alias("score"))
-        return rules.decide(scored.join(ruled, F.col("id") == F.col("_id")).drop("_id"), "score", *self.tiers)
+        decided = rules.decide(scored.join(ruled, F.col("id") == F.col("_id")).drop("_id"), "score", *self.tiers)
+        return decided.withColumn("features_degraded", F.col("rule").isNull() & F.lit(self.plan.needs_history))
 
     def save(self, path: str) -> None:
         """``online_artifacts`` (fitted steps, model, settings) and ``reports`` (metrics) below ``path``."""

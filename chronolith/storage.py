@@ -1,7 +1,8 @@
 """Where intermediate tables go: the folder that the cluster shares.
 
 Lineage is cut with tables written below ``spark.checkpoint.dir``.  That folder
-is read from the session; one is made only where none is set, as in tests.
+is read from the session.  Where none is set, a local session gets one of its own, as
+in tests; on a cluster that is an error, since no local folder is shared.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="chronolith-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -36,6 +39,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing will read again."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

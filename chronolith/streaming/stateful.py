@@ -1,13 +1,15 @@
 """Rules and sequences over streams: what a batch would say, event by event.
 
 A stream gives the batch result when no event is later than the watermark:
-later ones are dropped.  State is keyed by entity and bounded by time.
+later ones are dropped.  State is keyed by entity, bounded by time or length,
+and goes when an entity is idle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,9 @@ from pyspark.sql.types import StructType
 from chronolith.sources.tables import read_list
 from chronolith.spec import Roles
 
+#: Microseconds of a tick.
+TICKS = {"second": 1_000_000, "millisecond": 1000, "microsecond": 1}
+
 
 def read_events(spark, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
     """A stream of Parquet files, in the order in which they were written."""
@@ -31,30 +36,84 @@ def parse_events(stream: DataFrame, schema: StructType | str, column: str = "val
     return stream.select(F.from_json(F.col(column).cast("string"), schema).alias("e")).select("e.*")
 
 
-def velocity_counts(stream: DataFrame, roles: Roles, width: int, keep: Sequence[str] = ()) -> DataFrame:
+def _timed(stream: DataFrame, roles: Roles, late: str, tick: str) -> DataFrame:
+    """``stream`` with its ticks as event time ``_at``, and a watermark on it."""
+    at = F.timestamp_micros((F.col(roles.time) * TICKS[tick]).cast("long"))
+    return stream.withColumn("_at", at).withWatermark("_at", late)
+
+
+def velocity_counts(stream: DataFrame, roles: Roles, width: int, keep: Sequence[str] = (), late: str = "1 hour", tick: str = "second", reset: str | None = None) -> DataFrame:
     """``(id, key, t, *keep, n_recent)``: events of the key in the last ``width`` ticks, this one included.
 
-    State holds the key's times of the last ``width`` ticks in order.  Events of
-    a micro-batch are counted by time and id.
+    State holds the key's times of the last ``width`` ticks before its latest
+    event, in order; it goes when the watermark is ``width`` past that event.
+    Events of a micro-batch are counted by time and id, all of a key at once.  A
+    row whose boolean column ``reset`` is true empties the key's state before the
+    events of its micro-batch, and is no event itself.  ``tick`` is second,
+    millisecond or microsecond.
     """
     types = dict(stream.dtypes)
     columns = [roles.id, roles.key, roles.time, *keep]
     out = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", n_recent long"
+    empty = np.zeros(0, np.int64)
 
     def count(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values([roles.time, roles.id], kind="stable")
-        counts = []
-        for t in rows[roles.time]:
-            times.append(int(t))
-            # a late event goes to its place; only what is too old for it goes
-            times.sort()
-            counts.append(sum(1 for x in times if int(t) - width <= x <= int(t)))
-            times = [x for x in times if x >= max(times) - width]
-        state.update((times,))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches))
+        old = np.asarray(state.get[0], np.int64) if state.exists else empty
+        if reset is not None:
+            gone = rows[reset].fillna(False).astype(bool)
+            old, rows = (empty if gone.any() else old), rows[~gone]
+        rows = rows.sort_values([roles.time, roles.id], kind="stable")
+        new = rows[roles.time].to_numpy(np.int64)
+        # those held from before, and those of this batch up to the event
+        counts = np.searchsorted(old, new, "right") - np.searchsorted(old, new - width, "left") + np.arange(1, len(new) + 1) - np.searchsorted(new, new - width, "left")
+        held = np.sort(np.concatenate([old, new]), kind="stable")
+        held = held[held >= held[-1] - width] if len(held) else held
+        if len(held):
+            state.update((held.tolist(),))
+            due = int(held[-1] + width) * TICKS[tick] // 1000 + 1
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield rows[columns].assign(n_recent=counts)
 
-    return stream.where(F.col(roles.key).isNotNull()).groupBy(roles.key).applyInPandasWithState(count, out, "times array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    timed = _timed(stream, roles, late, tick).where(F.col(roles.key).isNotNull())
+    return timed.groupBy(roles.key).applyInPandasWithState(count, out, "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def read_state(spark, checkpoint: str) -> DataFrame:
+    """The state that a stopped or running query holds: ``(key, value)`` of each entity, from its checkpoint."""
+    return spark.read.format("statestore").load(checkpoint).select("key", "value")
+
+
+def ruled(batch: DataFrame, history: DataFrame, engine, roles: Roles) -> DataFrame:
+    """A micro-batch judged by the rules in order, each counting only what the rules before it let through.
+
+    ``history`` holds the rows of earlier micro-batches with the same columns;
+    a rule that looks back sees those of them that it is to count.
+    """
+    both = batch.withColumn("_new", F.lit(True)).unionByName(history.select(*batch.columns).withColumn("_new", F.lit(False)))
+    return engine.evaluate(both, roles).where("_new").drop("_new")
+
+
+def rule_stream(stream: DataFrame, engine, roles: Roles, sink: str, checkpoint: str, width: int):
+    """Judge each micro-batch by rules in order and write it below ``sink``; a replayed batch overwrites itself.
+
+    Earlier rows of the last ``width`` ticks are read back from the sink, so what
+    is looked at does not grow with the stream's age.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        schema = batch.withColumn("rule", F.lit(None).cast("string")).withColumn("rule_action", F.lit(None).cast("string")).schema
+        first = batch.agg(F.min(roles.time)).first()[0]
+        done = spark.read.schema(schema).parquet(f"{sink}/batch=*").where((F.col(roles.time) >= first - width) & (F.input_file_name().rlike(f"batch={number}/") == F.lit(False))) if number and first is not None else batch.sparkSession.createDataFrame([], schema)
+        ruled(batch, done, engine, roles).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def blocked(stream: DataFrame, column: str, path: str) -> DataFrame:

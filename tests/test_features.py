@@ -45,9 +45,9 @@ def test_device(spark):
     kind = ["desktop", "mobile", "desktop", "desktop", "mobile", "mobile", "desktop"]
     df = spark.createDataFrame([(k, os_[k], info[k], kind[k], None) for k in range(7)], "id long, id_30 string, DeviceInfo string, DeviceType string, id_31 string")
     out = rows.device_features(df)
-    assert column(out, "dev_os_android") == [1, 0, 0, 0, 0, 1, 0] and column(out, "dev_os_ios") == [0, 1, 0, 0, 1, 0, 0] and column(out, "dev_os_mac") == [0, 0, 0, 1, 0, 0, 0] and column(out, "dev_os_unknown")[6] == 1
-    assert column(out, "android_tier")[0] == "low" and column(out, "os_is_very_old")[0] == 1 and column(out, "dev_os_devicetype_conflict")[0] == 1
-    assert column(out, "id30_missing_but_devinfo_ok")[4] == 1 and column(out, "dev_browser_unknown")[4] == 1 and column(out, "devinfo_has_build")[5] == 1
+    assert column(out, "device_os_android") == [1, 0, 0, 0, 0, 1, 0] and column(out, "device_os_ios") == [0, 1, 0, 0, 1, 0, 0] and column(out, "device_os_macos") == [0, 0, 0, 1, 0, 0, 0] and column(out, "device_os_unknown")[6] == 1
+    assert column(out, "os_android_ver_tier")[0] == "low" and column(out, "os_is_very_old")[0] == 1 and column(out, "dev_os_devicetype_conflict")[0] == 1
+    assert column(out, "id30_missing_but_devinfo_ok")[4] == 1 and column(out, "browser_unknown")[4] == 1 and column(out, "devinfo_has_build_tag")[5] == 1
 
 
 def test_hash_bucket_is_the_md5_number(spark):

@@ -91,3 +91,19 @@ def test_later_amounts_do_not_leak(spark):
         return [tuple(r) for r in out.orderBy("id").collect()][:-1]
 
     assert earlier(30) == earlier(999999)
+
+
+def test_chunked_history_is_the_plain_one(spark):
+    rows = [(k, None if k % 17 == 0 else k % 2, (k * 7) % 90 if k % 3 else 50, None if k % 5 == 0 else float((k * 31) % 40) + 1e6) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, key long, t long, amt double").withColumn("extra", F.lit("x"))
+    plain = {r["id"]: r for r in history.prior_aggregates(df, ROLES, [["key"]], stats=history.STATS).collect()}
+    chunked = history.prior_in_chunks(df, ROLES, 20).collect()
+    assert len(chunked) == 200
+    for r in chunked:
+        for stat in history.STATS:
+            assert abs(r[f"key_amt_{stat}"] - plain[r["id"]][f"key_amt_{stat}"]) < 1e-4, (r["id"], stat)
+    whole = {r["id"]: r for r in history.history_features(df, ROLES, [25], history.STATS).collect()}
+    for r in history.history_in_chunks(df, ROLES, 25, history.STATS).collect():
+        for name in ("tx_count_last_25s", *[f"amt_{s}_last_25s" for s in ("sum", "mean", "std", "min", "max")]):
+            assert abs(r[name] - whole[r["id"]][name]) < 1e-3, (r["id"], name)
+    assert history.prior_in_chunks(df.limit(0), ROLES, 20).count() == 0
