@@ -10,23 +10,27 @@ w as (select doc_id, bare, first_value(doc_id) over (partition by bare order by
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(bare) as text_sha256 from w
 """
 
+_HOST, _REST = _LOWER.format("regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1)"), "regexp_extract({u}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+
 ORACLE_SQL["op3_redirect_urls"] = rf"""
 with recursive p as (
-  select page_id, html, coalesce({_LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') as host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+  select page_id, html, coalesce({_HOST.format(u="url")}, '') as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path,
+    nullif(coalesce({_HOST.format(u="url")}, ''), '') || {_REST.format(u="url")} as node from pages),
 rules(h, q, v) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 fit as (select distinct host, path, h || q as rule, v from (select distinct host, path from p), rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, q)),
 best as (select host, path, first(rule order by length(rule) desc, v) as rule, first(v order by length(rule) desc, v) as v from fit group by host, path),
+tag as (select host, path, node, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) as t from p where node is not null),
 link as (
-  select host, host || path as src, unnest([regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
-    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) as l from p where host <> ''),
-target as (select src, case when contains(l, '://') then l when starts_with(l, '//') then 'x:' || l when starts_with(l, '/') then 'x://' || host || l else 'x://' || host || '/' || l end as u from link where l <> ''),
-edge as (select src, {_LOWER.format("regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1)")} || regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as dst from target),
-both_ways as (select src, dst from edge union select dst, src from edge),
+  select host, path, node, replace(regexp_extract(t, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1), '&amp;', '&') as l from tag where regexp_matches(t, '(?is)^<link\b') and regexp_matches(t, '(?is)\brel\s*=\s*("[^"]*\bcanonical\b|''[^'']*\bcanonical\b|canonical\b)')
+  union all
+  select host, path, node, replace(regexp_extract(t, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1), '&amp;', '&') from tag where regexp_matches(t, '(?is)^<meta\b') and regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')),
+target as (select node, case when contains(l, '://') then l when starts_with(l, '//') then 'x:' || l when starts_with(l, '/') then 'x://' || host || l when starts_with(l, '?') then 'x://' || host || path || l
+    else 'x://' || host || case when path = '' then '/' else regexp_replace(path, '[^/]*$', '') end || l end as u from link where l <> '' and not starts_with(l, '#')),
+edge as (select node as src, nullif({_HOST.format(u="u")}, '') || {_REST.format(u="u")} as dst from target),
+both_ways as (select src, dst from edge where src <> dst union select dst, src from edge where src <> dst),
 reach(node, seen) as (select src, src from both_ways union select r.node, b.dst from reach r join both_ways b on r.seen = b.src),
 class as (select node, min(seen) as component from reach group by node),
-named as (select p.page_id, p.host, p.path, b.rule, b.v, c.component from p left join best b on p.host = b.host and p.path = b.path left join class c on p.host <> '' and c.node = p.host || p.path),
+named as (select p.page_id, p.host, p.path, b.rule, b.v, c.component from p left join best b on p.host = b.host and p.path = b.path left join class c on c.node = p.node),
 vote as (select component, bool_or(v = 'allow') as a, bool_or(v = 'block') as b from named where component is not null and v is not null group by component)
 select n.page_id, n.host, n.path, n.rule, coalesce(n.v, case when o.a then 'allow' when o.b then 'block' else 'allow' end) as verdict
 from named n left join vote o on n.component = o.component

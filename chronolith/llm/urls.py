@@ -6,9 +6,17 @@ A page that a rule fits gets the rule's verdict; among the rest, a class with an
 explicitly allowed member is allowed, else a class with a blocked member is
 blocked, else the page is allowed.
 
+A page's name in the graph is its host, path and query, so pages that differ in
+the query are different pages.  Every canonical and refresh link of a page
+counts; ``&amp;`` in it is read as ``&``; a relative link starts at the page's
+directory, one that begins with ``/`` at the host's root and one with ``?`` at the
+page's own path; dot segments stay as they are; a link to a place in the page
+itself joins nothing.  Only pages of the table have a say in their class.
+
 A null url, or one without ``://``, has an empty host and path, belongs to no
-class and is allowed.  Rows that repeat are judged each; pages with the same
-host and path are one node.  Empty tables give empty results.
+class and is allowed.  Null HTML has no links.  Rows that repeat are judged each;
+pages with the same host, path and query are one node.  Other columns are not
+read.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,8 +31,11 @@ RULES_SCHEMA = "rule_host string, rule_path string, rule_verdict string"
 #: Above this many rules, the rule table is shuffled instead of broadcast.
 BROADCAST_RULES = 100_000
 
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+#: Tags that may hold an alias, what marks them, and the attribute with the link.
+ALIAS_TAGS = (
+    (r"(?is)<link\b[^>]*>", r"""(?is)\brel\s*=\s*("[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)""", r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""),
+    (r"(?is)<meta\b[^>]*>", r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b""", r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)"""),
+)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,9 +47,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def node_of(host: Column, path: Column) -> Column:
-    """A page's name in the alias graph: host and path; null for a url without a host."""
-    return F.when(host != "", F.concat(host, path))
+def rest_of(url: Column) -> Column:
+    """Path and query, without what follows ``#``."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1), F.lit(""))
+
+
+def node_of(url: Column) -> Column:
+    """A page's name in the alias graph: host, path and query; null for a url without a host."""
+    host = host_of(url)
+    return F.when(host != "", F.concat(host, rest_of(url)))
 
 
 def with_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -62,17 +79,35 @@ def with_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """``(src, dst)`` nodes of the canonical links and redirects in the pages' HTML.
+    """``(src, dst)`` nodes of the canonical links and redirects in the HTML of ``pages`` (url, html)."""
+
+    def links(tag: str, mark: str, attribute: str) -> Column:
+        tags = F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: t.rlike(mark))
+        return F.transform(tags, lambda t: F.replace(F.regexp_extract(t, attribute, 1), F.lit("&amp;"), F.lit("&")))
+
+    hints = F.col("html").rlike(r"(?i)canonical|http-equiv\s*=\s*[\"']?refresh")
+    url, link = F.col("url"), F.col("link")
+    each = pages.where(hints & node_of(url).isNotNull()).select("url", node_of(url).alias("src"), F.explode(F.concat(*[links(*a) for a in ALIAS_TAGS])).alias("link")).where((link != "") & ~link.startswith("#"))
+    here, path = F.concat(F.lit("x://"), host_of(url)), path_of(url)
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    full = F.when(link.contains("://"), link).when(link.startswith("//"), F.concat(F.lit("x:"), link)).when(link.startswith("/"), F.concat(here, link)).when(link.startswith("?"), F.concat(here, path, link)).otherwise(F.concat(here, folder, link))
+    return each.select("src", node_of(full).alias("dst")).where("dst is not null and src <> dst").distinct()
+
+
+def alias_classes(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` of every node with an alias; a class is named by its smallest node.
 
-    ``pages`` holds host, path and html.  Links without a host are taken from
-    the page's own host; relative paths from the host's root.
+    The graph runs over 64-bit hashes of the names.  The names are read once to
+    see that no two share a hash; should two do, it runs over the names.
     """
-    node = node_of(F.col("host"), F.col("path"))
-    hints = F.col("html").rlike(r"(?i)\brel\s*=\s*[\"']?canonical|http-equiv\s*=\s*[\"']?refresh")
-    links = pages.where(hints & node.isNotNull()).select("host", node.alias("src"), F.explode(F.array(F.regexp_extract("html", CANONICAL, 1), F.regexp_extract("html", REFRESH, 1))).alias("link")).where("link <> ''")
-    same_host = F.concat(F.lit("//"), "host", F.when(F.col("link").startswith("/"), "").otherwise("/"), "link")
-    full = F.when(F.col("link").contains("://"), F.col("link")).when(F.col("link").startswith("//"), F.concat(F.lit("x:"), "link")).otherwise(F.concat(F.lit("x:"), same_host))
-    return links.select("src", node_of(host_of(full), path_of(full)).alias("dst")).where("dst is not null")
+    edges = written(edges, "alias-edges")
+    names = written(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("id", F.xxhash64("node")), "alias-names")
+    if not names.groupBy("id").count().where("count > 1").isEmpty():
+        return connected_components(edges)
+    found = connected_components(edges.select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst")))
+    named = names.join(found, names["id"] == found["node"]).select(names["node"], F.col("component").alias("number"))
+    least = named.groupBy("number").agg(F.min("node").alias("component"))
+    return named.join(least, "number").select("node", "component")
 
 
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
@@ -81,15 +116,17 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     ``redirects`` may hold further ``(src, dst)`` urls.  ``component`` names the
     alias class by its smallest node, null for a page without aliases.
     """
-    spread = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
-    edges = alias_edges(spread)
+    spread = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
+    edges = alias_edges(pages.select("url", "html"))
     if redirects is not None:
-        ends = [node_of(host_of(F.col(c)), path_of(F.col(c))).alias(c) for c in ("src", "dst")]
-        edges = edges.unionByName(redirects.select(*ends).where("src is not null and dst is not null"))
-    classes = written(connected_components(edges), "aliases")
-    ruled = with_rules(spread.select("page_id", "host", "path"), rules).withColumn("node", node_of(F.col("host"), F.col("path")))
+        ends = [node_of(F.col(c)).alias(c) for c in ("src", "dst")]
+        edges = edges.unionByName(redirects.select(*ends).where("src is not null and dst is not null and src <> dst"))
+    classes = written(alias_classes(edges), "aliases")
+    ruled = with_rules(spread, rules)
     named = ruled.join(classes, "node", "left")
     votes = named.where("component is not null and rule is not null").groupBy("component").agg(F.bool_or(F.col("rule_verdict") == "allow").alias("any_allow"), F.bool_or(F.col("rule_verdict") == "block").alias("any_block"))
-    judged = named.join(votes, "component", "left")
+    # pages without aliases have no class and are not joined: they would be one key with most rows
+    alone = named.where("component is null").withColumns({"any_allow": F.lit(None).cast("boolean"), "any_block": F.lit(None).cast("boolean")})
+    judged = named.where("component is not null").join(votes, "component", "left").unionByName(alone)
     of_class = F.when(F.col("any_allow"), "allow").when(F.col("any_block"), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", of_class).alias("verdict"), "component")
