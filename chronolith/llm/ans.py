@@ -79,8 +79,8 @@ def encode_block(index: np.ndarray, freq: np.ndarray, bits: int, lanes: int, eve
     return words.tobytes(), kept
 
 
-def decode_block(words: bytes, checkpoints: bytes, n: int, lanes: int, freq: np.ndarray, bits: int, every: int, mark: int = 0) -> np.ndarray:
-    """Symbol indexes from the checkpoint ``mark`` to the block's end."""
+def decode_block(words: bytes, checkpoints: bytes, n: int, lanes: int, freq: np.ndarray, bits: int, every: int, mark: int = 0, count: int | None = None) -> np.ndarray:
+    """Symbol indexes from the checkpoint ``mark`` on: ``count`` of them, or all to the block's end."""
     lanes = max(1, min(lanes, n))
     kept = np.frombuffer(checkpoints, "<u8").reshape(-1, lanes + 1)
     stream = np.frombuffer(words, "<u4").astype(np.uint64)
@@ -88,7 +88,8 @@ def decode_block(words: bytes, checkpoints: bytes, n: int, lanes: int, freq: np.
     slots = np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
     at, state = int(kept[mark, 0]), kept[mark, 1:].copy()
     shift, mask = np.uint64(bits), np.uint64((1 << bits) - 1)
-    out = np.empty(n - mark * every * lanes, np.uint32)
+    rest = n - mark * every * lanes
+    out = np.empty(rest if count is None else min(count, rest), np.uint32)
     done = 0
     while done < len(out):
         live = state[: len(out) - done]
@@ -252,6 +253,15 @@ def segment_row(part: int, segment: int, first: int, docs: list[tuple[int | None
     return pa.RecordBatch.from_pylist([row], schema=_arrow_schema())
 
 
+def read_from(block: dict, symbols: np.ndarray, freq: np.ndarray, bits: int, first: int, count: int, checkpoint_steps: int = 64) -> np.ndarray:
+    """``count`` ids of a block from place ``first`` on, decoded from the checkpoint before it; checksums need whole blocks."""
+    per_mark = checkpoint_steps * max(1, min(block["lanes"], block["n_tokens"]))
+    mark = first // per_mark
+    last = min(-(-(first + count) // per_mark) * per_mark, block["n_tokens"])
+    index = decode_block(block["words"], block["checkpoints"], block["n_tokens"], block["lanes"], freq, bits, checkpoint_steps, mark, last - mark * per_mark)
+    return symbols[index][first - mark * per_mark :][:count]
+
+
 def decode(spark: SparkSession, path: str, checkpoint_steps: int = 64) -> DataFrame:
     """``(doc_id, start, ids)`` of each document: ids as little-endian unsigned 32-bit integers.
 

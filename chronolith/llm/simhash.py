@@ -13,6 +13,11 @@ of many different fingerprints are not paired out: their members are linked
 through the 65 words within one bit of each, which joins exactly what differs in
 2 bits or fewer.  Links become classes by distributed connected components.
 
+Documents with 0.8 or more of their 5-word shingles in common have fingerprints up
+to 16 bits apart, out of reach of any Golay key.  :func:`similar_classes` therefore
+takes MinHash bands as candidates beside the fuzzy links, and verifies all of them
+with whole shingle sets.
+
 Null texts are empty; texts without words have the fingerprint zero and are
 linked like any other; equal fingerprints are one node, so copies cost nothing;
 rows that repeat get the same class; null ids join a class but never name it; an
@@ -163,11 +168,11 @@ def near_classes(docs: DataFrame, width: int = 3) -> DataFrame:
 # --- near duplicates by similarity --------------------------------------------
 
 
-def sampled_prints(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
-    """Per band, the SimHash of the ``rows`` shingles that come first under each of its seeded orders.
+def minhash_bands(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
+    """Per band, one hash of the ``rows`` shingles that come first under its seeded orders: MinHash banding.
 
-    Sampled so, a print stays as it is when the same shingles are drawn from
-    both documents, which happens with the power ``rows`` of their similarity.
+    A band stays as it is when the same shingles are drawn from both documents,
+    which happens with the power ``rows`` of their Jaccard similarity.
     """
     out = []
     for band in range(bands):
@@ -183,7 +188,7 @@ def sampled_prints(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
 
 
 def similar_pairs(docs: DataFrame, width: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate ``(src, dst)`` ids: fuzzy SimHash links, and shared sampled prints; and the large buckets (key, node).
+    """Candidate ``(src, dst)`` ids: fuzzy SimHash links, and shared MinHash bands; and the large buckets (key, node).
 
     Members of large buckets are candidates of some of each other only; :func:`missed_links` finds their other links.
     """
@@ -191,7 +196,7 @@ def similar_pairs(docs: DataFrame, width: int, bands: int, rows: int) -> tuple[D
     def keys(batch: pa.RecordBatch) -> Iterator[dict]:
         hashes = [np.array(shingle_hashes(words_of(t), width), np.uint64) for t in texts_of(batch)]
         prints = np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64)
-        yield {"doc_id": batch.column("doc_id"), "print": prints, "bands": [np.array(sampled_prints(h, bands, rows), np.uint64).view(np.int64).tolist() if len(h) else [] for h in hashes]}
+        yield {"doc_id": batch.column("doc_id"), "print": prints, "bands": [np.array(minhash_bands(h, bands, rows), np.uint64).view(np.int64).tolist() if len(h) else [] for h in hashes]}
 
     keyed = written(map_batches(docs.select("doc_id", "text"), keys, "doc_id long, print long, bands array<long>"), "sampled")
     nodes = keyed.groupBy("print").agg(F.min("doc_id").alias("rep"))

@@ -50,6 +50,16 @@ def test_ans_coder_round_trip_and_checkpoints():
             assert (ans.decode_block(words, marks, n, 64, freq, bits, 16, mark) == index[mark * 16 * lanes :]).all()
 
 
+def test_ans_blocks_are_read_from_any_place():
+    rng = np.random.default_rng(41)
+    ids = rng.integers(0, 900, 50_000).astype("<u4")
+    row = ans.segment_row(0, 0, 0, [(1, ids)], 1 << 20, 64, 16).to_pylist()[0]
+    symbols, freq = np.frombuffer(row["symbols"], "<u4"), np.frombuffer(row["counts"], "<u4").astype(np.uint64)
+    for first, count in ((0, 1), (0, 50_000), (1023, 2), (1024, 1024), (31_111, 4000), (49_999, 1), (49_000, 5000)):
+        got = ans.read_from(row["blocks"][0], symbols, freq, row["scale_bits"], first, count, 16)
+        assert (got == ids[first : first + count]).all() and len(got) == min(count, 50_000 - first)
+
+
 def test_ans_files_hold_the_ids_in_order(spark, odd, empty, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     ans.encode(odd, str(tmp_path / "a"), path, 2, block_tokens=64, segment_tokens=256, lanes=8, checkpoint_steps=4)
@@ -142,10 +152,20 @@ def test_url_rules_and_alias_classes(spark):
     assert got[6][3] == "allow" and got[9][3] == "allow" and got[7] == ("d.net", "/home", "d.net/h", "block") and got[8][3] == "allow" and got[10][3] == "allow"
     none = urls.judge(spark.createDataFrame([], "page_id long, url string, html string"), rules)
     assert none.count() == 0
-    more = spark.createDataFrame([("http://lone.net/bad", "http://a.bad.com/x")], "src string, dst string")
+    more = spark.createDataFrame([("http://lone.net/bad", "http://a.bad.com/x?q")], "src string, dst string")
     assert {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules, more).collect()}[10] == "block"
 
 
+def test_aliases_keep_queries_apart_and_take_every_link(spark):
+    pages = [(1, "http://s.net/index?id=1", ""), (2, "http://s.net/index?id=2", '<link rel="alternate canonical" href="http://bad.com/a?x=1&amp;y=2"><link rel=stylesheet href=canonical.css>'), (3, "http://bad.com/a?x=1&y=2", ""), (4, "http://d.net/a/b.html", "<link rel='canonical' href='c.html'>"), (5, "http://d.net/a/c.html", '<meta http-equiv=refresh content="0;url=?p=1"><META HTTP-EQUIV="refresh" content="3; URL=\'http://bad.com/z\'">'), (6, "http://d.net/a/c.html?p=1", "<link rel=canonical href=#top>"), (7, "http://d.net/canonical.css", None), (1, "http://s.net/index?id=1", ""), (8, "http://s.net/index", "<p " + "x" * 300_000 + ">"), (9, "http://bad.com/z", "")]
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("component", F.lit(1)).withColumn("verdict", F.lit("x"))
+    rules = spark.createDataFrame([("bad.com", "/", "block")], urls.RULES_SCHEMA)
+    rows = urls.judge(docs, rules).collect()
+    got = {r["page_id"]: r["verdict"] for r in rows}
+    assert len(rows) == 10 and got == {1: "allow", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "block"}
+    assert {r["component"] for r in rows if r["page_id"] in (2, 3)} == {"bad.com/a?x=1&y=2"} and {r["component"] for r in rows if r["page_id"] in (1, 7, 8)} == {None}
+
+
 # --- 4: toxicity ---
 
 
@@ -171,6 +191,34 @@ def test_toxicity_learns_stems_and_misspellings(spark, odd, empty):
     assert toxicity.scores(empty, toxicity.fit(empty, marks.limit(0))).count() == 0
 
 
+def test_toxicity_scores_are_those_of_the_plain_rule(spark):
+    rng = np.random.default_rng(43)
+    model = toxicity.Model(rng.normal(0, 3, 512).astype(np.float32), -0.4)
+    texts = ["", "The cat, the CAT!", "naïve 9 z", " ".join(rng.choice(["ab", "abc", "abcd", "häß"], 300))]
+    want = []
+    for t in texts:
+        words = [w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", t.lower()) if w]
+        value = 0.0
+        for w in words:
+            marked = f"<{w}>"
+            grams = {marked} | {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
+            value += np.mean([float(model.push[zlib.crc32(g.encode()) % 512]) for g in grams]) / len(words)
+        want.append(1 / (1 + np.exp(-(value - 0.4))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, model).collect()}
+    assert all(abs(got[k] - w) < 1e-5 for k, w in enumerate(want))
+
+
+def test_toxicity_training_descends_the_joint_loss():
+    # two classes told apart by one bucket each: the fitted vectors must give both texts their label
+    text, bucket, share = np.array([0, 0, 1, 1]), np.array([3, 5, 4, 5]), np.array([0.5, 0.5, 0.5, 0.5])
+    model = toxicity.train(text, bucket, share, np.array([0, 1]), 0.5, 8)
+    push = model.push
+    logits = [(push[3] + push[5]) / 2 + model.bias, (push[4] + push[5]) / 2 + model.bias]
+    assert logits[0] < -5 and logits[1] > 5 and (push[[0, 1, 2, 6, 7]] == 0).all()
+    assert toxicity.train(text, bucket, share, np.array([1, 1]), 0.9, 8).bias > 2
+
+
 # --- 5: pseudonyms ---
 
 
@@ -518,6 +566,58 @@ def test_suffix_tree_distributions_sum_to_one(spark):
     assert 10 ** tree.log10(np.array([int.from_bytes(b" tac"[::1], "big") << 8 | ord("s")], np.uint64))[0] > 0.5
 
 
+def _plain_tree(spelt, depth, least, divergence):
+    """Contexts, escapes and shares by a plain walk over all contexts, and the log10 score of a text."""
+    counts = {}
+    for s in spelt:
+        full = b"\n" * depth + s + b"\n"
+        for i in range(depth, len(full)):
+            for k in range(depth + 1):
+                counts.setdefault(full[i - k : i], Counter())[full[i]] += 1
+    root = np.full(256, 0.5)
+    for s, n in counts[b""].items():
+        root[s] += n if n >= least else 0
+    root /= root.sum()
+    kept = {}
+
+    def p(context, symbol):
+        out = root[symbol]
+        for k in range(1, len(context) + 1):
+            if context[-k:] not in kept:
+                break
+            shares, escape = kept[context[-k:]]
+            out = shares.get(symbol, 0.0) + escape * out
+        return out
+
+    for k in range(1, depth + 1):
+        new = {}
+        for context, own in counts.items():
+            if len(context) != k or (k > 1 and context[1:] not in kept) or sum(own.values()) < least:
+                continue
+            total, listed = sum(own.values()), {s: n for s, n in own.items() if n >= least}
+            before = {s: p(context[1:], s) for s in listed}
+            gain = sum(n * np.log(n / total / before[s]) for s, n in listed.items())
+            rest = total - sum(listed.values())
+            if rest:
+                gain += rest * np.log(rest / total / max(1 - sum(before.values()), 1e-12))
+            if listed and gain >= divergence:
+                room = total + len(own)
+                new[context] = {s: n / room for s, n in listed.items()}, (rest + len(own)) / room
+        kept |= new
+    return lambda s: sum(np.log10(p((b"\n" * depth + s)[i : i + depth], (s + b"\n")[i])) for i in range(len(s) + 1))
+
+
+def test_suffix_tree_scores_are_those_of_a_plain_tree(spark):
+    rng = np.random.default_rng(47)
+    words = ["the", "then", "cat", "cats", "sat", "mat", "é", "on"]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 30)))) for _ in range(60)] + ["", "zzz the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in pst.score(docs, F.col("doc_id") % 3 != 0, depth=4, least_share=1e-9, divergence=3.0).collect()}
+    plain = _plain_tree([t.encode() for k, t in enumerate(texts) if k % 3], 4, 2, 3.0)
+    for k, t in enumerate(texts):
+        assert abs(got[k] - plain(" ".join(t.split()).encode())) < 1e-6 * max(1, abs(got[k])), t
+
+
 # --- 9: decontamination ---
 
 
