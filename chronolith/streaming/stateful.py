@@ -21,6 +21,8 @@ from chronolith.spec import Roles
 
 #: Microseconds of a tick.
 TICKS = {"second": 1_000_000, "millisecond": 1000, "microsecond": 1}
+#: Added to event times, about 32 years: a watermark starts at 1970, and events of that time or before would count as late.
+SHIFT = 10**15
 
 
 def read_events(spark, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -38,7 +40,7 @@ def parse_events(stream: DataFrame, schema: StructType | str, column: str = "val
 
 def _timed(stream: DataFrame, roles: Roles, late: str, tick: str) -> DataFrame:
     """``stream`` with its ticks as event time ``_at``, and a watermark on it."""
-    at = F.timestamp_micros((F.col(roles.time) * TICKS[tick]).cast("long"))
+    at = F.timestamp_micros((F.col(roles.time) * TICKS[tick] + SHIFT).cast("long"))
     return stream.withColumn("_at", at).withWatermark("_at", late)
 
 
@@ -74,7 +76,7 @@ def velocity_counts(stream: DataFrame, roles: Roles, width: int, keep: Sequence[
         held = held[held >= held[-1] - width] if len(held) else held
         if len(held):
             state.update((held.tolist(),))
-            due = int(held[-1] + width) * TICKS[tick] // 1000 + 1
+            due = (int(held[-1] + width) * TICKS[tick] + SHIFT) // 1000 + 1
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
