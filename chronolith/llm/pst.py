@@ -6,17 +6,23 @@ bytes of that spelling; its contexts are byte strings of up to ``depth``, so
 words never seen still get a probability from their letters.
 
 Learning (Ron, Singer and Tishby, "The Power of Amnesia", 1996): all strings of
-``depth + 1`` bytes of the training texts are counted, with a combine in every
-task and one shuffle.  A context is kept if it is frequent (a share of
-``least_share`` of all symbols at least, so there are at most ``1 / least_share``
-of each length) and its next-symbol distribution diverges from that of its
-longest kept suffix by ``divergence`` nats in all, weighted by its count.
-Next-symbol counts below the same share go to the shorter context.  This bounds
-the tree whatever the corpus, so it can be sent to all tasks.
+``depth + 1`` bytes are counted, with a combine in every task and one shuffle.  A
+context is kept if it occurs ``least`` times in training rows and its next-symbol
+distribution diverges from that of its longest kept suffix by ``divergence`` nats
+in all, weighted by its count; symbols seen fewer than ``least`` times after it go
+to the shorter context.  Both bounds are counts, so the tree grows with the corpus.
+
+The tree is never in one place.  Contexts that end in the same two bytes form a
+subtree, and a task builds whole subtrees from their counted strings; above them
+are the contexts of no byte and one, 65,536 counts at most, which all tasks get.
+The task then gives each string of the corpus its log10 probability.  A subtree's
+rows are distinct strings, so a line that fills the corpus makes none of them hot.
 
 Each kept context's distribution is smoothed with its suffix's (Witten-Bell), so
 it sums to 1; a text's score adds, symbol by symbol, the log10 probability at
-the longest kept suffix of what came before.
+the longest kept suffix of what came before.  The ``common_strings`` most frequent
+strings go to the tasks with their scores; texts meet all others in a join, where
+no key is frequent by that choice.
 
 ``base_score`` is the unigram baseline over words.  Counts of at most ``common``
 of the most frequent words, of at most 64 bytes each, go to the tasks; all others
@@ -33,11 +39,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import map_batches, texts_of
-from chronolith.storage import written
+from chronolith.storage import shuffle_partitions, written
 
 END = b"\n"
 SHORT = 64
@@ -98,8 +105,27 @@ class Tree:
         return np.log10(p)
 
 
+def listed(gram: np.ndarray, n: np.ndarray, pairs: np.ndarray, depth: int, least: int) -> list[np.ndarray]:
+    """``level << 56 | context << 8 | symbol`` of all symbols seen ``least`` times or more, with their counts
+    and their contexts' totals and kinds: levels 0 and 1 from ``pairs`` (by last byte and symbol), the others from whole subtrees."""
+    found = []
+    for k in range(depth + 1):
+        if k < 2:
+            table = pairs if k else pairs.sum(0, keepdims=True)
+            key = np.flatnonzero(table).astype(np.uint64)
+            counts = table.ravel()[key.astype(np.int64)]
+        else:
+            key, place = np.unique((gram >> np.uint64(8 * (depth - k + 1)) << np.uint64(8)) | (gram & np.uint64(255)), return_inverse=True)
+            counts = np.bincount(place, n, len(key)).astype(np.int64)
+        _, context = np.unique(key >> np.uint64(8), return_inverse=True)
+        total, kinds = np.bincount(context, counts)[context].astype(np.int64), np.bincount(context)[context]
+        often = counts >= least
+        found.append((np.uint64(k << 56) | key[often], counts[often], total[often], kinds[often]))
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
 def build(key: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray, depth: int, divergence: float) -> Tree:
-    """The tree from listed symbols: ``level << 56 | context << 8 | symbol``, its count, and the context's total and kinds.
+    """The tree from what ``listed`` gives.
 
     Symbols that are not listed are one rest when a context is compared with its
     suffix, so the divergence is never overstated.
@@ -134,76 +160,115 @@ def build(key: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray,
 
 
 def count(docs: DataFrame, trains: Column, depth: int) -> DataFrame:
-    """``(word, gram, n)`` of the training rows: one of ``word`` and ``gram`` is set; ends count as the word LF."""
+    """``(word, gram, n, seen)``: one of ``word`` and ``gram`` is set; ``n`` counts training rows, ``seen`` all.
+    Words are those of training rows, strings those of all rows; ends count as the word LF."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts = [words_of(t) for t in texts_of(batch)]
-        words = Counter()
-        for t in texts:
-            words.update(t)
-        words[END] += len(texts)
-        keys, n = np.unique(grams([b" ".join(t) for t in texts], depth)[0], return_counts=True)
-        yield {"word": list(words), "gram": pa.nulls(len(words), pa.int64()), "n": list(words.values())}
-        yield {"word": pa.nulls(len(keys), pa.binary()), "gram": keys.view(np.int64), "n": n}
-
-    counted = map_batches(docs.where(trains).select("text"), run, "word binary, gram long, n long", slice_bytes=3 << 20)
-    return counted.groupBy("word", "gram").agg(F.sum("n").alias("n"))
-
-
-def learn(grams_counted: DataFrame, depth: int, least_share: float, divergence: float) -> Tree:
-    """Cut the counted strings to frequent contexts on the executors, and build the tree from those."""
-    total = grams_counted.agg(F.sum("n")).first()[0] or 0
-    least = max(2.0, least_share * total)
-    symbol = F.col("gram").bitwiseAND(255)
-    context = F.shiftrightunsigned("gram", 8)
-    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftrightunsigned(context, 8 * (depth - k)).alias("context")) for k in range(depth + 1)])
-    each = grams_counted.select(F.explode(levels).alias("l"), symbol.alias("symbol"), "n").groupBy("l.level", "l.context", "symbol").agg(F.sum("n").alias("n"))
-    each = written(each, "levels")
-    # a listed symbol's context is at least as frequent, so no context with one is missed
-    totals = each.groupBy("level", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where(F.col("total") >= least)
-    packed = F.shiftleft(F.col("level").cast("long"), 56).bitwiseOR(F.shiftleft("context", 8)).bitwiseOR(F.col("symbol"))
-    found = each.where(F.col("n") >= least).join(totals, ["level", "context"]).select(packed.alias("key"), "n", "total", F.col("kinds").cast("int").alias("kinds")).toArrow()
-    key, n, total, kinds = (found.column(c).to_numpy() for c in ("key", "n", "total", "kinds"))
-    return build(key.view(np.uint64), n, total, kinds, depth, divergence)
-
-
-def frequent_words(words: DataFrame, most: int) -> DataFrame:
-    """The rows (word, n) of words of at most ``SHORT`` bytes down to a count that at most ``most`` of them reach.
-
-    The cut is read from a histogram of counts, 256 steps to each power of two,
-    so no task and no table sends more than is kept.
-    """
-    short = words.where(F.octet_length("word") <= SHORT)
-    step = F.floor(F.log2(F.col("n").cast("double")) * 256).cast("int")
+        for trained, part in ((True, batch.filter(batch.column("trains"))), (False, batch.filter(pc.invert(batch.column("trains"))))):
+            if not part.num_rows:
+                continue
+            texts = [words_of(t) for t in texts_of(part)]
+            keys, n = np.unique(grams([b" ".join(t) for t in texts], depth)[0], return_counts=True)
+            yield {"word": pa.nulls(len(keys), pa.binary()), "gram": keys.view(np.int64), "n": n * trained, "seen": n}
+            if trained:
+                words = Counter()
+                for t in texts:
+                    words.update(t)
+                words[END] += len(texts)
+                counts = list(words.values())
+                yield {"word": list(words), "gram": pa.nulls(len(words), pa.int64()), "n": counts, "seen": counts}
+
+    marked = docs.select("text", F.coalesce(trains, F.lit(False)).alias("trains"))
+    counted = map_batches(marked, run, "word binary, gram long, n long, seen long", slice_bytes=3 << 20)
+    return counted.groupBy("word", "gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+
+
+def whole_subtrees(batches: Iterator[pa.RecordBatch], depth: int, rows: int = 1 << 19) -> Iterator[pa.Table]:
+    """A sorted partition in pieces of about ``rows`` rows that end where the last two bytes change."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            table = pa.Table.from_batches(held)
+            owner = table.column("gram").to_numpy() >> (8 * (depth - 1))
+            end = int(np.searchsorted(owner, owner[-1]))
+            if end:
+                yield table.slice(0, end)
+                held = table.slice(end).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def string_scores(counted: DataFrame, depth: int, least: int, divergence: float) -> DataFrame:
+    """``(gram, seen, log10)`` of each counted string: subtrees are dealt to tasks by their last two bytes."""
+    if not 2 <= depth <= 6:
+        raise ValueError("depth is from 2 to 6 bytes")
+    ends = counted.groupBy(F.shiftrightunsigned("gram", 8 * depth).alias("last"), F.col("gram").bitwiseAND(255).alias("symbol"))
+    rows = ends.agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros((256, 256), np.int64)
+    pairs[rows.column("last").to_numpy(), rows.column("symbol").to_numpy()] = rows.column("n").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_subtrees(batches, depth):
+            gram, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()
+            tree = build(*listed(gram[n > 0], n[n > 0], pairs, depth, least), depth, divergence)
+            out = pa.table({"gram": table.column("gram"), "seen": table.column("seen"), "log10": tree.log10(gram)})
+            yield from out.to_batches(max_chunksize=1 << 16)
+
+    dealt = counted.repartition(shuffle_partitions(counted.sparkSession), F.shiftrightunsigned("gram", 8 * (depth - 1)))
+    return dealt.sortWithinPartitions("gram").mapInArrow(run, "gram long, seen long, log10 double")
+
+
+def step_of(n: str) -> Column:
+    """The place of a count on a scale of 256 steps to each power of two."""
+    return F.floor(F.log2(F.col(n).cast("double")) * 256).cast("int")
+
+
+def frequent_from(table: DataFrame, n: str, most: int) -> int:
+    """The step of ``n`` from which on at most ``most`` rows of ``table`` lie, read from a histogram of steps,
+    so that no task and no table sends more than is kept."""
     total, cut = 0, 1 << 30
-    for row in short.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+    for row in table.groupBy(step_of(n).alias("step")).count().orderBy(F.desc("step")).collect():
         total += row["count"]
         if total > most:
             break
         cut = row["step"]
-    return short.where(step >= cut)
+    return cut
 
 
-def score(docs: DataFrame, trains: Column, depth: int = 5, least_share: float = 2e-7, divergence: float = 5.0, common: int = 1 << 17) -> DataFrame:
+def score(docs: DataFrame, trains: Column, depth: int = 5, least: int = 2, divergence: float = 5.0, common: int = 1 << 17, common_strings: int = 1 << 21) -> DataFrame:
     """``docs`` (doc_id, text) as ``(doc_id, n_tokens, n_known, train_tokens, base_score, score)``; ``trains`` marks rows to learn from."""
     spark = docs.sparkSession
     counted = written(count(docs, trains, depth), "counts")
     words = counted.where("word is not null").select("word", "n")
     size = words.agg(F.count(F.lit(1)), F.sum("n")).first()
     kinds, train_tokens = int(size[0] or 0), int(size[1] or 0)
-    tree = learn(counted.where("gram is not null").select("gram", "n"), depth, least_share, divergence)
-    top = frequent_words(words, common).toArrow()
+    strings = written(string_scores(counted.where("gram is not null").select("gram", "n", "seen"), depth, least, divergence), "strings")
+    cut = frequent_from(strings, "seen", common_strings)
+    often = strings.where(step_of("seen") >= cut).select("gram", "log10").toArrow()
+    order = np.argsort(often.column("gram").to_numpy())
+    known_strings = often.column("gram").to_numpy()[order].view(np.uint64), often.column("log10").to_numpy()[order]
+    short = words.where(F.octet_length("word") <= SHORT)
+    top = short.where(step_of("n") >= frequent_from(short, "n", common)).toArrow()
     known_words = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
-    sent = spark.sparkContext.broadcast((tree, known_words))
+    sent = spark.sparkContext.broadcast((known_strings, known_words))
     bottom = float(np.log10(train_tokens + 0.5 * (kinds + 1)))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        tree, known = sent.value
+        (strings, values), known = sent.value
         texts = [words_of(t) for t in texts_of(batch)]
         keys, lengths = grams([b" ".join(t) for t in texts], depth)
+        starts = np.cumsum(lengths) - lengths
         distinct, place = np.unique(keys, return_inverse=True)
-        parts = np.add.reduceat(tree.log10(distinct)[place], np.cumsum(lengths) - lengths)
-        out = {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_tokens": [len(t) + 1 for t in texts], "sure": [], "sure_sum": [], "rare": [], "score": parts}
+        value, missed = np.zeros(len(distinct)), np.ones(len(distinct), bool)
+        if len(strings):
+            at = np.minimum(np.searchsorted(strings, distinct), len(strings) - 1)
+            missed = strings[at] != distinct
+            value = np.where(missed, 0.0, values[at])
+        missed = missed[place]
+        offsets = np.concatenate(([0], np.cumsum(np.add.reduceat(missed.astype(np.int64), starts)))).astype(np.int32)
+        seldom = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[missed].view(np.int64)))
+        out = {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_tokens": [len(t) + 1 for t in texts], "sure": [], "sure_sum": [], "rare": [], "strings": seldom, "sure_score": np.add.reduceat(value[place], starts)}
         get = known.get
         for t in texts:
             found = np.array([get(w, 0) for w in t] + [get(END, 0)], np.float64)
@@ -219,10 +284,13 @@ def score(docs: DataFrame, trains: Column, depth: int = 5, least_share: float =
 
     # the row number is written with the row, so that rows which share an id stay apart
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    rows = written(map_batches(numbered, run, "row long, doc_id long, n_tokens long, sure long, sure_sum double, rare array<struct<word:binary,n:long>>, score double", slice_bytes=2 << 20), "scored")
-    met = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(words.withColumnRenamed("n", "c"), "word", "left")
-    known = F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known")
-    sums = met.groupBy("row").agg(known, F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5) * F.col("n")).alias("rare_sum"))
-    base = F.col("sure_sum") + F.coalesce("rare_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(bottom)
-    found = rows.drop("rare").join(sums, "row", "left")
-    return found.select("doc_id", "n_tokens", (F.col("sure") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    schema = "row long, doc_id long, n_tokens long, sure long, sure_sum double, rare array<struct<word:binary,n:long>>, strings array<long>, sure_score double"
+    rows = written(map_batches(numbered, run, schema, slice_bytes=2 << 20), "scored")
+    met_words = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(words.withColumnRenamed("n", "c"), "word", "left")
+    met_words = met_words.select("row", F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("known"), (F.log10(F.coalesce("c", F.lit(0)) + 0.5) * F.col("n")).alias("base"), F.lit(0.0).alias("log10"))
+    rest = strings.where(step_of("seen") < cut).select("gram", "log10")
+    met_strings = rows.select("row", F.explode("strings").alias("gram")).join(rest, "gram").select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "log10")
+    sums = met_words.unionByName(met_strings).groupBy("row").agg(*[F.sum(c).alias(f"rare_{c}") for c in ("known", "base", "log10")])
+    found = rows.drop("rare", "strings").join(sums, "row", "left")
+    base = F.col("sure_sum") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(bottom)
+    return found.select("doc_id", "n_tokens", (F.col("sure") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("sure_score") + F.coalesce("rare_log10", F.lit(0.0))).alias("score"))

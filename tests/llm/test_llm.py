@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -555,7 +556,11 @@ def test_suffix_tree_scores(spark, odd, empty):
 def test_suffix_tree_distributions_sum_to_one(spark):
     docs = spark.createDataFrame([(k, "the cat sat on the mat " * 20 + "dog" * (k % 3)) for k in range(60)], "doc_id long, text string")
     counted = pst.count(docs, F.lit(True), 4)
-    tree = pst.learn(counted.where("gram is not null").select("gram", "n"), 4, 1e-4, 1.0)
+    rows = counted.where("gram is not null").toPandas()
+    gram, n = rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    pairs = np.zeros((256, 256), np.int64)
+    np.add.at(pairs, ((gram >> np.uint64(32)).astype(int), (gram & np.uint64(255)).astype(int)), n)
+    tree = pst.build(*pst.listed(gram, n, pairs, 4, 2), 4, 1.0)
     assert any(len(c) for c in tree.contexts[2:])
     for context in (b"cat ", b"he m", b"zzzz", b"\n\n\n\n"):
         key = 0
@@ -612,10 +617,22 @@ def test_suffix_tree_scores_are_those_of_a_plain_tree(spark):
     words = ["the", "then", "cat", "cats", "sat", "mat", "é", "on"]
     texts = [" ".join(rng.choice(words, int(rng.integers(0, 30)))) for _ in range(60)] + ["", "zzz the"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in pst.score(docs, F.col("doc_id") % 3 != 0, depth=4, least_share=1e-9, divergence=3.0).collect()}
+    trains = F.col("doc_id") % 3 != 0
+    got = {r["doc_id"]: r["score"] for r in pst.score(docs, trains, depth=4, least=2, divergence=3.0).collect()}
+    joined = {r["doc_id"]: r["score"] for r in pst.score(docs, trains, depth=4, least=2, divergence=3.0, common=3, common_strings=20).collect()}
     plain = _plain_tree([t.encode() for k, t in enumerate(texts) if k % 3], 4, 2, 3.0)
     for k, t in enumerate(texts):
         assert abs(got[k] - plain(" ".join(t.split()).encode())) < 1e-6 * max(1, abs(got[k])), t
+        assert abs(got[k] - joined[k]) < 1e-6 * max(1, abs(got[k])), t
+
+
+def test_suffix_tree_pieces_hold_whole_subtrees():
+    gram = np.sort(np.random.default_rng(3).integers(0, 1 << 18, 5000)) << 14
+    batches = [pa.record_batch({"gram": gram[k : k + 100]}) for k in range(0, 5000, 100)]
+    pieces = [p.column("gram").to_numpy() for p in pst.whole_subtrees(iter(batches), 3, rows=700)]
+    assert len(pieces) > 3 and np.array_equal(np.concatenate(pieces), gram)
+    owners = [set(p >> 16) for p in pieces]
+    assert not any(a & b for a, b in zip(owners, owners[1:]))
 
 
 # --- 9: decontamination ---
