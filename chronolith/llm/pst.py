@@ -159,28 +159,30 @@ def build(key: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray,
     return tree
 
 
-def count(docs: DataFrame, trains: Column, depth: int) -> DataFrame:
-    """``(word, gram, n, seen)``: one of ``word`` and ``gram`` is set; ``n`` counts training rows, ``seen`` all.
-    Words are those of training rows, strings those of all rows; ends count as the word LF."""
+def count_words(docs: DataFrame, trains: Column) -> DataFrame:
+    """``(word, n)`` of the training rows; ends count as the word LF."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        words = Counter()
+        for t in texts_of(batch):
+            words.update(words_of(t))
+        words[END] += batch.num_rows
+        yield {"word": list(words), "n": list(words.values())}
+
+    return map_batches(docs.where(trains).select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def count_strings(docs: DataFrame, trains: Column, depth: int) -> DataFrame:
+    """``(gram, n, seen)`` of all rows: ``n`` counts training rows, ``seen`` all."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for trained, part in ((True, batch.filter(batch.column("trains"))), (False, batch.filter(pc.invert(batch.column("trains"))))):
-            if not part.num_rows:
-                continue
-            texts = [words_of(t) for t in texts_of(part)]
-            keys, n = np.unique(grams([b" ".join(t) for t in texts], depth)[0], return_counts=True)
-            yield {"word": pa.nulls(len(keys), pa.binary()), "gram": keys.view(np.int64), "n": n * trained, "seen": n}
-            if trained:
-                words = Counter()
-                for t in texts:
-                    words.update(t)
-                words[END] += len(texts)
-                counts = list(words.values())
-                yield {"word": list(words), "gram": pa.nulls(len(words), pa.int64()), "n": counts, "seen": counts}
+            if part.num_rows:
+                keys, n = np.unique(grams([b" ".join(words_of(t)) for t in texts_of(part)], depth)[0], return_counts=True)
+                yield {"gram": keys.view(np.int64), "n": n * trained, "seen": n}
 
     marked = docs.select("text", F.coalesce(trains, F.lit(False)).alias("trains"))
-    counted = map_batches(marked, run, "word binary, gram long, n long, seen long", slice_bytes=3 << 20)
-    return counted.groupBy("word", "gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+    return map_batches(marked, run, "gram long, n long, seen long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 def whole_subtrees(batches: Iterator[pa.RecordBatch], depth: int, rows: int = 1 << 19) -> Iterator[pa.Table]:
@@ -236,14 +238,13 @@ def frequent_from(table: DataFrame, n: str, most: int) -> int:
     return cut
 
 
-def score(docs: DataFrame, trains: Column, depth: int = 5, least: int = 2, divergence: float = 5.0, common: int = 1 << 17, common_strings: int = 1 << 21) -> DataFrame:
+def score(docs: DataFrame, trains: Column, depth: int = 6, least: int = 2, divergence: float = 5.0, common: int = 1 << 17, common_strings: int = 1 << 21) -> DataFrame:
     """``docs`` (doc_id, text) as ``(doc_id, n_tokens, n_known, train_tokens, base_score, score)``; ``trains`` marks rows to learn from."""
     spark = docs.sparkSession
-    counted = written(count(docs, trains, depth), "counts")
-    words = counted.where("word is not null").select("word", "n")
+    words = written(count_words(docs, trains), "words")
     size = words.agg(F.count(F.lit(1)), F.sum("n")).first()
     kinds, train_tokens = int(size[0] or 0), int(size[1] or 0)
-    strings = written(string_scores(counted.where("gram is not null").select("gram", "n", "seen"), depth, least, divergence), "strings")
+    strings = written(string_scores(written(count_strings(docs, trains, depth), "counts"), depth, least, divergence), "strings")
     cut = frequent_from(strings, "seen", common_strings)
     often = strings.where(step_of("seen") >= cut).select("gram", "log10").toArrow()
     order = np.argsort(often.column("gram").to_numpy())
