@@ -61,13 +61,15 @@ def grams(spelt: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(s) + 1 for s in spelt], np.int64)
     n = len(buffer) - depth
     key = np.zeros(max(n, 0), np.uint64)
-    for back in range(1, depth + 1):
-        key = (key << np.uint64(8)) | buffer[depth - back : depth - back + n]
-    key = (key << np.uint64(8)) | buffer[depth : depth + n]
+    for place in (*range(depth - 1, -1, -1), depth):
+        key <<= np.uint64(8)
+        key |= buffer[place : place + n]
     # the places that spell the next text's padding are no symbols
-    starts = np.cumsum(lengths + depth) - (lengths + depth)
-    place = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-    return key[place], lengths
+    symbols = np.ones(len(key), bool)
+    ends = np.cumsum(lengths + depth)[:-1]
+    for back in range(1, depth + 1):
+        symbols[ends - back] = False
+    return key[symbols], lengths
 
 
 @dataclass
@@ -182,7 +184,7 @@ def count_strings(docs: DataFrame, trains: Column, depth: int) -> DataFrame:
                 yield {"gram": keys.view(np.int64), "n": n * trained, "seen": n}
 
     marked = docs.select("text", F.coalesce(trains, F.lit(False)).alias("trains"))
-    return map_batches(marked, run, "gram long, n long, seen long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+    return map_batches(marked, run, "gram long, n long, seen long", slice_bytes=8 << 20).groupBy("gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
 
 def whole_subtrees(batches: Iterator[pa.RecordBatch], depth: int, rows: int = 1 << 19) -> Iterator[pa.Table]:
@@ -251,7 +253,7 @@ def score(docs: DataFrame, trains: Column, depth: int = 6, least: int = 2, diver
     known_strings = often.column("gram").to_numpy()[order].view(np.uint64), often.column("log10").to_numpy()[order]
     short = words.where(F.octet_length("word") <= SHORT)
     top = short.where(step_of("n") >= frequent_from(short, "n", common)).toArrow()
-    known_words = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
+    known_words = dict(zip(top.column("word").to_pylist(), np.log10(top.column("n").to_numpy() + 0.5).tolist(), strict=True))
     sent = spark.sparkContext.broadcast((known_strings, known_words))
     bottom = float(np.log10(train_tokens + 0.5 * (kinds + 1)))
 
@@ -272,13 +274,11 @@ def score(docs: DataFrame, trains: Column, depth: int = 6, least: int = 2, diver
         out = {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_tokens": [len(t) + 1 for t in texts], "sure": [], "sure_sum": [], "rare": [], "strings": seldom, "sure_score": np.add.reduceat(value[place], starts)}
         get = known.get
         for t in texts:
-            found = np.array([get(w, 0) for w in t] + [get(END, 0)], np.float64)
-            rare = Counter(w for w, n in zip(t, found.tolist(), strict=False) if not n)
-            if not found[-1]:
-                rare[END] += 1
-            sure = found[found > 0]
+            found = [get(w) for w in t] + [get(END)]
+            rare = Counter(w for w, x in zip((*t, END), found, strict=True) if x is None) if None in found else {}
+            sure = [x for x in found if x is not None] if rare else found
             out["sure"].append(len(sure))
-            out["sure_sum"].append(float(np.log10(sure + 0.5).sum()))
+            out["sure_sum"].append(float(sum(sure)))
             out["rare"].append(list(rare.items()))
         out["rare"] = [[{"word": w, "n": n} for w, n in r] for r in out["rare"]]
         yield out
