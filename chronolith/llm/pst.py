@@ -171,7 +171,7 @@ def count_words(docs: DataFrame, trains: Column) -> DataFrame:
         words[END] += batch.num_rows
         yield {"word": list(words), "n": list(words.values())}
 
-    return map_batches(docs.where(trains).select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_batches(docs.where(trains).select("text"), run, "word binary, n long", slice_bytes=8 << 20).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def count_strings(docs: DataFrame, trains: Column, depth: int) -> DataFrame:
