@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import ans, chunks, decontam, feistel, packing, pst, simhash, tokens, toxicity, urls
+from chronolith.llm import ans, chunks, decontam, feistel, merkle, packing, pst, simhash, tokens, toxicity, urls
 from chronolith.llm.common import held_out, read
 from chronolith.storage import new_path
 
@@ -75,4 +75,16 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(lengths, F.col("n_tokens"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ans_tokens, op2_chunk_recipes, op3_redirect_urls, op4_subword_toxicity, op5_feistel_pseudonyms, op6_golay_simhash, op7_token_counts, op8_suffix_tree_scores, op9_suffix_decontamination, op10_length_buckets)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    cut = F.replace("text", F.lit("\n"), F.lit(""))
+    # what tampering leaves as it is needs no second leaf
+    struck = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False)) & F.contains("text", F.lit("\n"))
+    leaves = docs.select(F.col("source").alias("grp"), F.col("doc_id").alias("order_id"), merkle.leaf(*fields, F.col("text")).alias("leaf"), F.when(struck, merkle.leaf(*fields, cut)).alias("tampered"))
+    rows = merkle.manifest(leaves, "tampered")
+    folded = rows.select(F.col("order_id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"))
+    return folded.select("*", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ans_tokens, op2_chunk_recipes, op3_redirect_urls, op4_subword_toxicity, op5_feistel_pseudonyms, op6_golay_simhash, op7_token_counts, op8_suffix_tree_scores, op9_suffix_decontamination, op10_length_buckets, op13_merkle_manifest)}

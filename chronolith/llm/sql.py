@@ -49,3 +49,42 @@ item as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct
 select d.doc_id, len(d.w) as n_words, coalesce(word.n_hit, 0) as n_hit, coalesce(item.n_items, 0) as n_items, sha256(coalesce(item.ids, '')) as items_sha256, coalesce(word.n_hit, 0) > 0 as contaminated
 from d left join word using (doc_id) left join item using (doc_id)
 """
+
+# crc32 of a decimal number's text: each byte enters on the first of its eight shifts
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split({x}::varchar, ''), lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))))"
+
+
+def _hashed(*values: str) -> str:
+    return "sha256(concat(" + ", ".join(f"coalesce(octet_length(encode({v}::varchar))::varchar || ':' || {v}::varchar, '-')" for v in values) + "))"
+
+
+ORACLE_SQL["op13_merkle_manifest"] = rf"""
+with recursive d as (
+  select *, row_number() over () as k, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos from (
+    select doc_id, source, {_hashed("doc_id", "source", "lang", "n_chars", "text")} as leaf,
+      case when {_CRC.format(x="doc_id")} % 2 = 0 then {_hashed("doc_id", "source", "lang", "n_chars", "replace(text, chr(10), '')")} end as tampered from documents)),
+up(source, lvl, pos, h) as (
+  select source, 0, pos, leaf from d
+  union all
+  select source, lvl + 1, pos // 3, sha256(string_agg(h, '' order by pos)) from (select *, count(*) over (partition by source) as n from up) where n > 1 group by source, lvl, pos // 3),
+sub as (select source, max(lvl) as height, arg_max(h, lvl) as subroot from up group by source),
+ranked as (select *, row_number() over (order by source nulls first) - 1 as place from sub),
+top(lvl, pos, h) as (
+  select 0, place, subroot from ranked
+  union all
+  select lvl + 1, pos // 3, sha256(string_agg(h, '' order by pos)) from (select *, count(*) over () as n from top) where n > 1 group by lvl, pos // 3),
+root as (select max(lvl) as height, arg_max(h, lvl) as root from top),
+power as (select k as lvl, (3 ** k)::bigint as p from range(0, 30) t(k)),
+step as (
+  select d.k, w.lvl, coalesce(string_agg(u.h, '' order by u.pos) filter (u.pos < d.pos // w.p), '') as l, coalesce(string_agg(u.h, '' order by u.pos) filter (u.pos > d.pos // w.p), '') as r
+    from d join ranked s on d.source is not distinct from s.source join power w on w.lvl < s.height join up u on u.source is not distinct from d.source and u.lvl = w.lvl and u.pos // 3 = d.pos // (3 * w.p) group by d.k, w.lvl
+  union all
+  select d.k, 100 + w.lvl, coalesce(string_agg(u.h, '' order by u.pos) filter (u.pos < s.place // w.p), ''), coalesce(string_agg(u.h, '' order by u.pos) filter (u.pos > s.place // w.p), '')
+    from d join ranked s on d.source is not distinct from s.source, root join power w on w.lvl < root.height join top u on u.lvl = w.lvl and u.pos // 3 = s.place // (3 * w.p) group by d.k, w.lvl),
+path as (select k, sha256(string_agg(l || r, '' order by lvl)) as proof, list({{'l': l, 'r': r, 'h': ''}} order by lvl) as steps from step group by k),
+folded as (
+  select d.doc_id, d.leaf, s.subroot, root.root, coalesce(p.proof, sha256('')) as proof_sha256,
+    list_reduce(list_prepend({{'l': '', 'r': '', 'h': coalesce(d.tampered, d.leaf)}}, coalesce(p.steps, [])), lambda a, s: {{'l': '', 'r': '', 'h': sha256(s.l || a.h || s.r)}}).h as folded_root
+  from d join ranked s on d.source is not distinct from s.source, root left join path p on p.k = d.k)
+select *, folded_root = root as verified from folded
+"""
