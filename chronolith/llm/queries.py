@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import ans, chunks, decontam, feistel, merkle, packing, pst, simhash, tokens, toxicity, urls
-from chronolith.llm.common import held_out, read
-from chronolith.storage import new_path
+from chronolith.llm import ans, chunks, decontam, feistel, merkle, packing, pst, simhash, tokens, toxicity, trie, urls, vectors
+from chronolith.llm.common import held_out, look_up, read
+from chronolith.storage import new_path, written
 
 #: The rules of the URL contract.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -75,6 +75,29 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(lengths, F.col("n_tokens"))
 
 
+def _rebuilt(own: DataFrame, most: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Turns (conv_id, depth, mark, chars) and sizes (conv_id, n) of conversations whose first turns come from another, by the contract."""
+    taken = F.crc32(F.col("conv_id").cast("string").cast("binary")) % most
+    model = F.col("conv_id") - F.col("conv_id") % 100
+    first = F.array_sort(F.collect_list(F.struct("pos", "mark", "chars"))).alias("first")
+    models = own.where(F.col("conv_id") % 100 == 0).where(F.col("pos") < most - 1).groupBy("conv_id").agg(first).withColumnRenamed("conv_id", "model")
+    each = own.groupBy("conv_id").agg(F.count(F.lit(1)).alias("own")).withColumn("model", model).join(models, "model", "left")
+    each = each.select("conv_id", "own", taken.alias("h"), F.coalesce(F.slice("first", F.lit(1), taken.cast("int")), F.array().cast("array<struct<pos:long,mark:binary,chars:long>>")).alias("first"))
+    each = written(each.withColumn("k", F.size("first").cast("long")), "models")
+    begun = each.select("conv_id", F.explode("first").alias("f")).select("conv_id", (F.col("f.pos") + 1).alias("depth"), "f.mark", "f.chars")
+    kept = written(own.where(F.col("pos") >= taken), "own-turns")
+    went_on = look_up(kept, each.select("conv_id", "h", "k"), ["conv_id"]).select("conv_id", (F.col("k") + F.col("pos") - F.col("h") + 1).alias("depth"), "mark", "chars")
+    return begun.unionByName(went_on), each.select("conv_id", (F.col("k") + F.greatest(F.col("own") - F.col("h"), F.lit(0))).alias("n"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.tree(*_rebuilt(written(trie.turns(read(spark, sf_dir, "conversations")), "ordered-turns")))
+
+
+def op11_sign_hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -87,4 +110,4 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("*", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ans_tokens, op2_chunk_recipes, op3_redirect_urls, op4_subword_toxicity, op5_feistel_pseudonyms, op6_golay_simhash, op7_token_counts, op8_suffix_tree_scores, op9_suffix_decontamination, op10_length_buckets, op13_merkle_manifest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ans_tokens, op2_chunk_recipes, op3_redirect_urls, op4_subword_toxicity, op5_feistel_pseudonyms, op6_golay_simhash, op7_token_counts, op8_suffix_tree_scores, op9_suffix_decontamination, op10_length_buckets, op11_sign_hash_vectors, op12_prefix_trie, op13_merkle_manifest)}

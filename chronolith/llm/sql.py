@@ -88,3 +88,30 @@ folded as (
   from d join ranked s on d.source is not distinct from s.source, root left join path p on p.k = d.k)
 select *, folded_root = root as verified from folded
 """
+
+ORACLE_SQL["op12_prefix_trie"] = rf"""
+with o as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos from conversations where conv_id is not null),
+c as (select conv_id, {_CRC.format(x="conv_id")} % 6 as h, list({{'role': role, 'text': text}} order by pos) as own from o group by conv_id),
+r as (select c.conv_id, list_concat(coalesce(m.own[1 : c.h], []), c.own[c.h + 1 :]) as t from c left join c m on m.conv_id = c.conv_id - c.conv_id % 100),
+p as (select conv_id, len(t) as n, d as depth, t[1 : d] as seq from (select conv_id, t, unnest(range(0, len(t) + 1)) as d from r)),
+node as (select depth, seq, min(conv_id) as conv_id, count(*) as n_convs, string_agg(conv_id::varchar, ',' order by conv_id) filter (n = depth) as ends,
+  (count(*) - 1) * case when depth = 0 then 0 else length(seq[depth].text) end as saved from p group by depth, seq),
+kids as (select seq[1 : depth - 1] as seq, count(*) as n from node where depth > 0 group by 1),
+whole as (select node.*, coalesce(kids.n, 0) as n_children from node left join kids on kids.seq = node.seq),
+under as (select v.depth, v.seq, sum(w.saved) as saved, count(*) filter (w.n_children = 0) as leaves from whole w, unnest(range(0, w.depth + 1)) t(d) join whole v on v.depth = t.d and v.seq = w.seq[1 : t.d] group by v.depth, v.seq)
+select w.conv_id, w.depth, q.conv_id as parent_conv_id, w.n_convs, w.n_children, u.leaves as n_leaves, u.saved::bigint as saved_tokens, sha256(coalesce(w.ends, '')) as ends_sha256
+from whole w join under u on u.depth = w.depth and u.seq = w.seq left join node q on w.depth > 0 and q.depth = w.depth - 1 and q.seq = w.seq[1 : w.depth - 1]
+"""
+
+ORACLE_SQL["op11_sign_hash_vectors"] = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
+u as (select *, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v
+  where label is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+link as (select a.vec_id as x, b.vec_id as y from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reach(x, y) as (select x, y from link union select r.x, l.y from reach r join link l on l.x = r.y),
+class as (select x, min(y) as least from reach group by x),
+n as (select x, count(*) as n from link group by x)
+select v.vec_id, coalesce(n.n, 0) as n_links, least(v.vec_id, class.least) as component_id, v.vec_id = least(v.vec_id, class.least) as kept
+from v left join n on n.x = v.vec_id left join class on class.x = v.vec_id
+"""
