@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from chronolith.plans.catalog import HOUR_US, MONTH, _halves, _recent, query, ro
 from chronolith.plans.views import EVENTS_SQL, ORDERS, ORDERS_SQL, events, orders, scored_orders, sparse_orders, table
 from chronolith.sources.tables import fitted_types
 from chronolith.storage import new_path, written
-from chronolith.streaming import stateful
+from chronolith.streaming import folds, ordered, stateful
 
 
 @query()
@@ -129,15 +131,53 @@ def history_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("id", F.col(f"tx_count_last_{HOUR_US}s").alias("n"), F.col(f"amt_sum_last_{HOUR_US}s").alias("total")), 3, "total")
 
 
+#: How late an event may come in the registered streams, in microseconds.
+_LATE_US = 6 * HOUR_US
+
+
+def _streamed(spark: SparkSession, df: DataFrame, make: Callable[[DataFrame], DataFrame], slices: int = 2) -> DataFrame:
+    """What ``make`` gives for ``df`` (id, key, t, ...) as a stream that is stopped and started again, with late events.
+
+    Rows come in ``slices`` of time, one run of the query each; every fifth of the rows in the last six
+    hours of a slice comes with the next one.  A last row ends the stream.
+    """
+    ends = df.agg(F.min("t"), F.max("t")).first()
+    first, last = (ends[0] or 0), (ends[1] or 0)
+    width = (last - first) // slices + 1
+    held = (F.xxhash64("id") % 5 == 0) & ((F.col("t") - first) % width >= width - _LATE_US)
+    arrives = F.floor((F.col("t") - first) / width) + held.cast("int")
+    sliced = written(df.withColumns({"gone": F.lit(False), "arrives": arrives}), "arrivals")
+    folder, sink, checkpoint = new_path(spark, "events"), new_path(spark, "stream"), new_path(spark, "stream-checkpoint")
+    for k in range(slices + 1):
+        part = sliced.where(F.col("arrives") == k).drop("arrives")
+        if k == slices:
+            blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]
+            end = spark.range(1).select(*blank).withColumns({"id": F.lit(-1).cast("long"), "key": F.lit(-1).cast(df.schema["key"].dataType), "t": F.lit(last + 10 * _LATE_US + width), "gone": F.lit(True)})
+            part = part.unionByName(end)
+        part.write.mode("append").parquet(folder)
+        made = make(stateful.read_events(spark, folder, part.schema))
+        made.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(sink)
+
+
 @query(f"select id, {_recent(24 * HOUR_US)} + 1 as n_recent from {EVENTS_SQL}")
 def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    stream = stateful.read_events(spark, f"{sf_dir}/events.parque[t]", schema)
-    shaped = stream.select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")).alias("t"))
-    sink, checkpoint = new_path(spark, "stream"), new_path(spark, "stream-checkpoint")
-    counted = stateful.velocity_counts(shaped, ORDERS, 24 * HOUR_US, tick="microsecond")
-    counted.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("id long, key long, t long, n_recent long").parquet(sink).select("id", "n_recent")
+    """Events of the last day, from a stream in several runs with late events."""
+    base = events(spark, sf_dir).select("id", "key", "t")
+    return _streamed(spark, base, lambda s: stateful.velocity_counts(s, ORDERS, 24 * HOUR_US, late="6 hours", tick="microsecond", reset="gone")).select("id", "n_recent")
+
+
+_STREAM_PRIOR = "over (partition by key order by t, id rows between unbounded preceding and 1 preceding)"
+
+
+@query(f"""select id, t - coalesce(lag(t) over (partition by key order by t, id), t) as time_since_last, count(*) {_STREAM_PRIOR} as n, round(coalesce(sum(amt) {_STREAM_PRIOR}, 0), 3) as total, coalesce(max(amt) {_STREAM_PRIOR}, 0) as hi,
+{_recent(HOUR_US)} as n_hour, round(amt - coalesce(lag(amt) over (partition by key order by t, id), amt), 6) as amount_delta from {EVENTS_SQL}""")
+def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History, aggregation and amount features of a stream in several runs with late events."""
+    base = events(spark, sf_dir).select("id", "key", "t", "amt")
+    made = [folds.History(ORDERS, [HOUR_US], ["count"]), folds.Aggregation(ORDERS, [["key"]], stats=["count", "sum", "max"]), folds.Amounts(ORDERS)]
+    found = _streamed(spark, base, lambda s: ordered.in_order(s, ORDERS, made, "6 hours", "microsecond", reset="gone"))
+    return found.select("id", "time_since_last", F.col("key_amt_count").alias("n"), F.round("key_amt_sum", 3).alias("total"), F.col("key_amt_max").alias("hi"), F.col(f"tx_count_last_{HOUR_US}s").alias("n_hour"), F.round("amount_delta", 6).alias("amount_delta"))
 
 
 @query(" union all ".join(f"select '{c}' as c, case when min({c}) >= -128 and max({c}) < 128 then 'tinyint' when min({c}) >= -32768 and max({c}) < 32768 then 'smallint' when max({c}) < 2147483648 then 'int' else 'bigint' end as dtype from orders" for c in ("o_orderkey", "o_custkey")))

@@ -32,7 +32,11 @@ class Trained:
     def score(self, df: DataFrame, version: str = "1") -> DataFrame:
         """``(id, probability, risk_level, action, binary_prediction, model_version, scored_at)`` of all rows at once."""
         tables.require(df, [self.roles.key, self.roles.time, self.roles.id, self.roles.amount])
-        ready = cleaning.clean(self.plan.transform(df), self.cleaner)
+        return self.score_features(self.plan.transform(df), version)
+
+    def score_features(self, featured: DataFrame, version: str = "1") -> DataFrame:
+        """:meth:`score` of rows that have the plan's columns."""
+        ready = cleaning.clean(featured, self.cleaner)
         scored = self.calibrator.transform(self.classifier.score(ready, "_raw"), "_raw", "probability")
         tiered = metrics.assign_tiers(scored, "probability", *self.tiers)
         return tiered.select(F.col(self.roles.id).alias("id"), "probability", "risk_level", "action", (F.col("probability") > self.tiers[1]).cast("int").alias("binary_prediction"), F.lit(version).alias("model_version"), F.current_timestamp().alias("scored_at"))

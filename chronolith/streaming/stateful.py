@@ -1,23 +1,21 @@
-"""Rules and sequences over streams: what a batch would say, event by event.
+"""Streams: reading and parsing events, rules, counts and sequences in the order of event time, and sinks.
 
-A stream gives the batch result when no event is later than the watermark:
-later ones are dropped.  State is keyed by entity, bounded by time or length,
-and goes when an entity is idle.
+What looks back at an entity's events runs in the order of event time
+(:mod:`chronolith.streaming.ordered`), so a stream gives the batch result when no event
+is later than the watermark; later ones are dropped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from chronolith.sources.tables import read_list
 from chronolith.spec import Roles
+from chronolith.storage import exists
 
 #: Microseconds of a tick.
 TICKS = {"second": 1_000_000, "millisecond": 1000, "microsecond": 1}
@@ -38,7 +36,7 @@ def parse_events(stream: DataFrame, schema: StructType | str, column: str = "val
     return stream.select(F.from_json(F.col(column).cast("string"), schema).alias("e")).select("e.*")
 
 
-def _timed(stream: DataFrame, roles: Roles, late: str, tick: str) -> DataFrame:
+def timed(stream: DataFrame, roles: Roles, late: str, tick: str) -> DataFrame:
     """``stream`` with its ticks as event time ``_at``, and a watermark on it."""
     at = F.timestamp_micros((F.col(roles.time) * TICKS[tick] + SHIFT).cast("long"))
     return stream.withColumn("_at", at).withWatermark("_at", late)
@@ -47,48 +45,25 @@ def _timed(stream: DataFrame, roles: Roles, late: str, tick: str) -> DataFrame:
 def velocity_counts(stream: DataFrame, roles: Roles, width: int, keep: Sequence[str] = (), late: str = "1 hour", tick: str = "second", reset: str | None = None) -> DataFrame:
     """``(id, key, t, *keep, n_recent)``: events of the key in the last ``width`` ticks, this one included.
 
-    State holds the key's times of the last ``width`` ticks before its latest
-    event, in order; it goes when the watermark is ``width`` past that event.
-    Events of a micro-batch are counted by time and id, all of a key at once.  A
-    row whose boolean column ``reset`` is true empties the key's state before the
-    events of its micro-batch, and is no event itself.  ``tick`` is second,
-    millisecond or microsecond.
+    An event is counted when the watermark has passed it, in the order of time and
+    id, so that events that come late count where they belong.  A row whose
+    boolean column ``reset`` is true empties its key's state at its place in
+    time, and is no event itself.  ``tick`` is second, millisecond or microsecond.
     """
-    types = dict(stream.dtypes)
-    columns = [roles.id, roles.key, roles.time, *keep]
-    out = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", n_recent long"
-    empty = np.zeros(0, np.int64)
-
-    def count(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches))
-        old = np.asarray(state.get[0], np.int64) if state.exists else empty
-        if reset is not None:
-            gone = rows[reset].fillna(False).astype(bool)
-            old, rows = (empty if gone.any() else old), rows[~gone]
-        rows = rows.sort_values([roles.time, roles.id], kind="stable")
-        new = rows[roles.time].to_numpy(np.int64)
-        # those held from before, and those of this batch up to the event
-        counts = np.searchsorted(old, new, "right") - np.searchsorted(old, new - width, "left") + np.arange(1, len(new) + 1) - np.searchsorted(new, new - width, "left")
-        held = np.sort(np.concatenate([old, new]), kind="stable")
-        held = held[held >= held[-1] - width] if len(held) else held
-        if len(held):
-            state.update((held.tolist(),))
-            due = (int(held[-1] + width) * TICKS[tick] + SHIFT) // 1000 + 1
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield rows[columns].assign(n_recent=counts)
-
-    timed = _timed(stream, roles, late, tick).where(F.col(roles.key).isNotNull())
-    return timed.groupBy(roles.key).applyInPandasWithState(count, out, "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def read_state(spark, checkpoint: str) -> DataFrame:
-    """The state that a stopped or running query holds: ``(key, value)`` of each entity, from its checkpoint."""
-    return spark.read.format("statestore").load(checkpoint).select("key", "value")
+    from chronolith.streaming import folds, ordered
+
+    columns = [roles.id, roles.key, roles.time, *keep, *([reset] if reset else [])]
+    counted = ordered.in_order(stream.select(*columns), roles, [folds.RecentCount(width)], late, tick, reset=reset)
+    return counted.drop(reset) if reset and reset not in keep else counted
+
+
+def read_state(spark, checkpoint: str, name: str = "held") -> DataFrame:
+    """The state that a stopped or running query holds, from its checkpoint: ``(key, value)`` of each entity.
+
+    ``held`` has the folds' states as JSON with the time of the last event, ``waiting`` the events to come.
+    """
+    state = spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    return state.select("key", *[c for c in ("value", "list_element") if c in state.columns])
 
 
 def ruled(batch: DataFrame, history: DataFrame, engine, roles: Roles) -> DataFrame:
@@ -102,22 +77,47 @@ def ruled(batch: DataFrame, history: DataFrame, engine, roles: Roles) -> DataFra
 
 
 def rule_stream(stream: DataFrame, engine, roles: Roles, sink: str, checkpoint: str, width: int):
-    """Judge each micro-batch by rules in order and write it below ``sink``; a replayed batch overwrites itself.
+    """Judge each micro-batch by rules in order, as soon as it is there, and write it below ``sink``; a replayed batch overwrites itself.
 
-    Earlier rows of the last ``width`` ticks are read back from the sink, so what
-    is looked at does not grow with the stream's age.
+    Earlier rows of the last ``width`` ticks are read back from the sink, which has
+    a folder ``slot=`` for each ``width`` ticks, so what is listed and read does not
+    grow with the stream's age.  An event that comes late sees what is older than
+    itself, but what was judged before it came stays as it was; where that must
+    not be, see :func:`rules_in_order`.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         schema = batch.withColumn("rule", F.lit(None).cast("string")).withColumn("rule_action", F.lit(None).cast("string")).schema
-        first = batch.agg(F.min(roles.time)).first()[0]
-        done = spark.read.schema(schema).parquet(f"{sink}/batch=*").where((F.col(roles.time) >= first - width) & (F.input_file_name().rlike(f"batch={number}/") == F.lit(False))) if number and first is not None else batch.sparkSession.createDataFrame([], schema)
-        ruled(batch, done, engine, roles).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        first, last = batch.agg(F.min(roles.time), F.max(roles.time)).first()
+        done = spark.createDataFrame([], schema)
+        if first is not None:
+            slots = [f"{sink}/slot={k}" for k in range((first - width) // width, last // width + 1)]
+            if there := [p for p in slots if exists(spark, p)]:
+                held = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).option("basePath", sink).parquet(*there)
+                done = held.where((F.col(roles.time) >= first - width) & (F.col("batch") != number)).select(*schema.names)
+        judged = ruled(batch, done, engine, roles).withColumns({"slot": F.floor(F.col(roles.time) / width), "batch": F.lit(number).cast("long")})
+        judged.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("slot", "batch").parquet(sink)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def rules_in_order(stream: DataFrame, engine, roles: Roles, late: str = "1 hour", tick: str = "second") -> DataFrame:
+    """``stream`` with ``rule`` and ``rule_action``, judged in the order of event time once the watermark has passed an event.
+
+    Blacklists are joined as they are; the rest is one stateful operator by key.
+    """
+    from chronolith.operators.rules import Blacklist
+    from chronolith.streaming import folds, ordered
+
+    columns, listed, joined = stream.columns, {}, stream
+    for k, rule in enumerate(engine.rules):
+        if isinstance(rule, Blacklist):
+            listed[rule.name] = f"_blocked_{k}"
+            joined = rule.apply(joined, roles)[0].withColumnRenamed("_blocked", f"_blocked_{k}")
+    return ordered.in_order(joined, roles, [folds.Ruled(engine, roles, listed)], late, tick).select(*columns, "rule", "rule_action")
+
+
 def blocked(stream: DataFrame, column: str, path: str) -> DataFrame:
     """``stream`` with ``is_blocked``: a join with a list that is read anew by each micro-batch."""
     listed = read_list(stream.sparkSession, path).select(F.col("value").alias("_listed"))
@@ -125,20 +125,16 @@ def blocked(stream: DataFrame, column: str, path: str) -> DataFrame:
     return joined.withColumn("is_blocked", F.col("_listed").isNotNull()).drop("_listed")
 
 
-def last_sequences(stream: DataFrame, roles: Roles, features: Sequence[str], length: int = 20) -> DataFrame:
-    """``(key, t, n, sequence)`` after each micro-batch: a ring of the last ``length`` rows of each key."""
-    types = dict(stream.dtypes)
-    out = f"`{roles.key}` {types[roles.key]}, t long, n int, sequence array<array<double>>"
+def last_sequences(stream: DataFrame, roles: Roles, features: Sequence[str], length: int = 20, late: str = "1 hour", tick: str = "second", idle: int | None = None) -> DataFrame:
+    """``(id, key, t, n, sequence)``: the last ``length`` rows of the key after each event, in the order of event time.
 
-    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [(int(t), [float(v) for v in x]) for t, x in zip(*state.get, strict=True)] if state.exists else []
-        rows = pd.concat(list(batches)).sort_values([roles.time, roles.id], kind="stable")
-        held += [(int(t), [0.0 if v is None or v != v else float(v) for v in x]) for t, x in zip(rows[roles.time], rows[list(features)].itertuples(index=False, name=None), strict=True)]
-        held = sorted(held, key=lambda h: h[0])[-length:]
-        state.update(([h[0] for h in held], [h[1] for h in held]))
-        yield pd.DataFrame({roles.key: [key[0]], "t": [held[-1][0]], "n": [len(held)], "sequence": [[h[1] for h in held]]})
+    An entity's ring goes ``idle`` ticks after its last event; without ``idle`` it stays.
+    """
+    from chronolith.streaming import folds, ordered
 
-    return stream.where(F.col(roles.key).isNotNull()).groupBy(roles.key).applyInPandasWithState(keep, out, "times array<bigint>, rows array<array<double>>", "append", GroupStateTimeout.NoTimeout)
+    columns = list(dict.fromkeys([roles.id, roles.key, roles.time, *features]))
+    found = ordered.in_order(stream.select(*columns), roles, [folds.LastRows(features, length)], late, tick, idle)
+    return found.select(roles.id, roles.key, roles.time, "n", "sequence")
 
 
 def score_stream(stream: DataFrame, score, sink: str, checkpoint: str):

@@ -12,7 +12,6 @@ from chronolith.operators import binning, cleaning, metrics, models, selection,
 from chronolith.plans.store import FeatureStore
 from chronolith.sources import tables as sources
 from chronolith.spec import Roles
-from chronolith.streaming import stateful
 
 ROLES = Roles()
 
@@ -147,20 +146,3 @@ def test_sources(spark, tmp_path):
     assert sorted(r[0] for r in sources.read_list(spark, str(tmp_path / "list.txt")).collect()) == ["12", "34"]
     with pytest.raises(ValueError):
         sources.read(spark, str(tmp_path / "a.xyz"))
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    from chronolith.operators.rules import Velocity
-
-    df = spark.range(300).select("id", (F.col("id") % 7).alias("key"), (F.col("id") * 13).alias("t"), F.lit(1.0).alias("amt"))
-    for k in range(3):
-        df.where(f"id between {k * 100} and {k * 100 + 99}").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
-    stream = stateful.read_events(spark, str(tmp_path / "in" / "*"), df.schema, 1)
-    counted = stateful.velocity_counts(stream, ROLES, 500)
-    counted.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = {r["id"]: r["n_recent"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want = {r["id"]: r["_recent"] for r in Velocity(500, 5).apply(df, ROLES)[0].collect()}
-    assert got == want
-    tails = stateful.last_sequences(stateful.read_events(spark, str(tmp_path / "in" / "*"), df.schema), ROLES, ["amt"], 5)
-    tails.writeStream.format("parquet").option("path", str(tmp_path / "seq")).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()
-    assert {r["n"] for r in spark.read.parquet(str(tmp_path / "seq")).collect()} == {5}
