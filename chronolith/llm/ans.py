@@ -17,6 +17,7 @@ read.
 from __future__ import annotations
 
 import gc
+import json
 import re
 import zlib
 from array import array
@@ -112,6 +113,25 @@ PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").find
 # --- tokens ------------------------------------------------------------------
 
 
+def check_kind(path: str) -> None:
+    """:class:`Words` spells out one kind of tokenizer: byte-level words in lower case; any other is an error."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = [(n.get("type"), n.get("pattern"), n.get("content")) for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    words = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+    fits = (
+        steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+        and [s.get("type") for s in splits] == ["Split", "ByteLevel"]
+        and (splits[0].get("pattern"), splits[0].get("behavior"), splits[0].get("invert")) == (words, "Removed", True)
+        and not splits[1].get("add_prefix_space")
+        and not splits[1].get("use_regex", True)
+        and all(t["content"].startswith("<|") for t in spec.get("added_tokens", []))
+    )
+    if not fits:
+        raise ValueError("token files need a tokenizer of lower-case byte-level words, with special strings that begin with <|")
+
+
 class Words(dict):
     """Ids of the pieces of texts between blanks and line feeds, which no token crosses.
 
@@ -185,6 +205,7 @@ def encode(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None
 
     ``tokenizer`` is a file of the tokenizers library that all machines have.
     """
+    check_kind(tokenizer)
     tail = np.array([] if end_id is None else [end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +238,7 @@ def encode(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None
 
 def token_lengths(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFrame:
     """``(doc_id, n_tokens)`` of every row: how many ids :func:`encode` writes for it; no shuffle."""
+    check_kind(tokenizer)
     tail = int(end_id is not None)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:

@@ -4,7 +4,8 @@ The tokenizer splits a text into pre-tokens and merges bytes inside each.  Once,
 on the driver, every vocabulary string is encoded alone: those that come back as
 their one id are proven *whole tokens*.  A pre-token that is one of them counts
 1 without any merge; only the rest goes through the library, once for each
-distinct pre-token that a task meets.
+distinct pre-token that a task meets.  Where a text has characters that the split
+is not proven for, only the stretch between blanks around them goes to the library.
 
 Null texts have no tokens; special strings inside a text count as the library
 takes them by default; rows that repeat are counted each; long texts are counted
@@ -26,9 +27,12 @@ from chronolith.llm.common import map_batches
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters that the pattern is known to class as the library does, whatever the
-#: Unicode version of either; a text with any other goes to the library whole.
+#: Unicode version of either; a stretch with any other goes to the library.
 UNPROVEN = r"[^\x00-՗‐-⁤、-ヿ一-龥가-힣]"
 
+#: A blank between characters that no Unicode version takes for white space: a pre-token always begins with it.
+CUT = r"(?<=[^\s\x1c-\x1f\x85])(?= [^\s\x1c-\x1f\x85])"
+
 
 def byte_letters() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for."""
@@ -91,14 +95,22 @@ class Counter:
         self.library.no_truncation()
         self.library.no_padding()
         self.counts = Counts(self.library, whole)
-        self.find, self.unproven = regex.compile(PATTERN).findall, regex.compile(UNPROVEN).search
+        self.find, self.unproven, self.cut = regex.compile(PATTERN).findall, regex.compile(UNPROVEN).search, regex.compile(CUT).split
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def count(self, text: str) -> int:
-        if any(a in text for a in self.added) or self.unproven(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
+        if any(a in text for a in self.added):
+            return self.whole(text)
+        if self.unproven(text):
+            return sum(self.whole(s) if self.unproven(s) else self.proven(s) for s in self.cut(text))
+        return self.proven(text)
+
+    def proven(self, text: str) -> int:
         return sum(map(self.counts.__getitem__, self.find(text)))
 
+    def whole(self, text: str) -> int:
+        return len(self.library.encode(text, add_special_tokens=False).ids)
+
 
 _workers: dict[str, Counter] = {}
 
