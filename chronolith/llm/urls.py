@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.llm.common import look_up
 from chronolith.operators.components import connected_components
 from chronolith.storage import written
 
@@ -31,10 +32,10 @@ RULES_SCHEMA = "rule_host string, rule_path string, rule_verdict string"
 #: Above this many rules, the rule table is shuffled instead of broadcast.
 BROADCAST_RULES = 100_000
 
-#: Tags that may hold an alias, what marks them, and the attribute with the link.
+#: Tags that may hold an alias, what marks them, and the attribute with the link.  Nothing is tried twice: blanks are possessive.
 ALIAS_TAGS = (
-    (r"(?is)<link\b[^>]*>", r"""(?is)\brel\s*=\s*("[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)""", r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""),
-    (r"(?is)<meta\b[^>]*>", r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b""", r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)"""),
+    (r"(?is)<link\b[^>]*+>", r"""(?is)\brel\s*+=\s*+("[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)""", r"""(?is)\bhref\s*+=\s*+["']?\s*+([^"'\s>]+)"""),
+    (r"(?is)<meta\b[^>]*+>", r"""(?is)\bhttp-equiv\s*+=\s*+["']?refresh\b""", r"""(?is)\burl\s*+=\s*+["']?\s*+([^"'\s>]+)"""),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,7 +63,8 @@ def with_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """``pages`` (key, host, path) with the longest fitting rule and its verdict.
 
     Rules meet a page by equality with one of the host's suffixes.  Of equally
-    long rules, an allow goes first.
+    long rules, an allow goes first.  ``pages`` is read twice, and a host and path
+    may be those of any share of them.
     """
     key = [c for c in pages.columns if c not in ("host", "path")]
     labels = F.split("host", r"\.")
@@ -75,17 +77,19 @@ def with_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     name = F.concat("rule_host", "rule_path")
     best = F.max(F.struct(F.length(name).alias("n"), (F.col("rule_verdict") == "allow").alias("a"), name.alias("rule"), F.col("rule_verdict").alias("rule_verdict"))).alias("best")
     found = fits.groupBy("host", "path").agg(best).select("host", "path", "best.rule", "best.rule_verdict")
-    return pages.join(found, ["host", "path"], "left")
+    return look_up(pages, found, ["host", "path"])
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """``(src, dst)`` nodes of the canonical links and redirects in the HTML of ``pages`` (url, html)."""
 
     def links(tag: str, mark: str, attribute: str) -> Column:
-        tags = F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: t.rlike(mark))
+        tags = F.filter(F.regexp_extract_all(closed, F.lit(tag), F.lit(0)), lambda t: t.rlike(mark))
         return F.transform(tags, lambda t: F.replace(F.regexp_extract(t, attribute, 1), F.lit("&amp;"), F.lit("&")))
 
-    hints = F.col("html").rlike(r"(?i)canonical|http-equiv\s*=\s*[\"']?refresh")
+    # behind the last > no tag ends, and each that begins there would be followed to the end of the page
+    closed = F.left("html", F.length("html") - F.length(F.substring_index("html", ">", -1)))
+    hints = F.col("html").rlike(r"(?i)canonical|http-equiv\s*+=\s*+[\"']?refresh")
     url, link = F.col("url"), F.col("link")
     each = pages.where(hints & node_of(url).isNotNull()).select("url", node_of(url).alias("src"), F.explode(F.concat(*[links(*a) for a in ALIAS_TAGS])).alias("link")).where((link != "") & ~link.startswith("#"))
     here, path = F.concat(F.lit("x://"), host_of(url)), path_of(url)
@@ -122,8 +126,8 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
         ends = [node_of(F.col(c)).alias(c) for c in ("src", "dst")]
         edges = edges.unionByName(redirects.select(*ends).where("src is not null and dst is not null and src <> dst"))
     classes = written(alias_classes(edges), "aliases")
-    ruled = with_rules(spread, rules)
-    named = ruled.join(classes, "node", "left")
+    ruled = written(with_rules(written(spread, "urls"), rules), "ruled-urls")
+    named = look_up(ruled.where("node is not null"), classes, ["node"]).unionByName(ruled.where("node is null").withColumn("component", F.lit(None).cast("string")))
     votes = named.where("component is not null and rule is not null").groupBy("component").agg(F.bool_or(F.col("rule_verdict") == "allow").alias("any_allow"), F.bool_or(F.col("rule_verdict") == "block").alias("any_block"))
     # pages without aliases have no class and are not joined: they would be one key with most rows
     alone = named.where("component is null").withColumns({"any_allow": F.lit(None).cast("boolean"), "any_block": F.lit(None).cast("boolean")})
