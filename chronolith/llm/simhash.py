@@ -20,8 +20,8 @@ with whole shingle sets.
 
 Null texts are empty; texts without words have the fingerprint zero and are
 linked like any other; equal fingerprints are one node, so copies cost nothing;
-rows that repeat get the same class; null ids join a class but never name it; an
-empty table gives no rows.
+rows that repeat get the same class; null ids link like others but never name a
+class, and a class of null ids alone has the name null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import by_ids, map_batches, texts_of
+from chronolith.llm.common import by_ids, look_up, map_batches, texts_of
 from chronolith.operators.components import connected_components
 from chronolith.storage import written
 
@@ -159,10 +159,14 @@ def close_pairs(nodes: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame, width: int = 3) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` of every row; prints link at 2 bits or fewer."""
     prints = written(fingerprints(docs, width), "prints")
-    nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("rep")), "print-nodes")
-    classes = connected_components(close_pairs(nodes.where("rep is not null")))
-    named = nodes.join(classes, nodes["rep"] == classes["node"], "left").select("print", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    nodes = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "print-nodes")
+    # a fingerprint is a node by itself, so rows without an id link like others; a class is named by its smallest id
+    classes = connected_components(close_pairs(nodes.select(F.col("print").alias("rep"), "print")))
+    placed = nodes.join(classes, nodes["print"] == classes["node"], "left").select("print", "least", F.coalesce("component", "print").alias("class"))
+    placed = written(placed, "print-classes")
+    names = placed.groupBy("class").agg(F.min("least").alias("component_id"))
+    named = look_up(placed, names, ["class"]).select("print", "component_id")
+    return look_up(prints, named, ["print"]).select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # --- near duplicates by similarity --------------------------------------------
