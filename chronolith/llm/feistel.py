@@ -7,7 +7,9 @@ stands, and different values stay different:
 * card numbers whose Luhn check fits, 13 to 19 digits in one run, or 13 to 16 in
   groups as printed on cards (4-4-4-4, 4-6-5, 4-6-4): all digits but the last are
   permuted and the check digit is set anew;
-* phone numbers: the digits after the country code; separators stay;
+* international phone numbers, ``+`` and a country code first, of 8 to 15 digits (after +1 ten): the digits
+  after the country code, which the table of country codes parts from them, so all
+  spellings of a number have one pseudonym; code and separators stay;
 * social security numbers ``ddd-dd-dddd`` that can exist (area not 000, 666 or
   9xx, group not 00, serial not 0000), to another such number;
 * dates ``yyyy-mm-dd`` or ``yyyy/mm/dd`` that exist, 1900 to 2099, to another
@@ -22,7 +24,9 @@ stands, and different values stay different:
   permuted under its own place and the length of the whole, so that equal pieces
   do not show.
 
-Numbers and dates that fail their check are left alone.  As in any permutation, a
+Numbers and dates that fail their check are left alone.  Other kinds are not looked
+for: dates with the year last, bank account numbers, IPv6 addresses, and phone
+numbers without a country code.  As in any permutation, a
 value may map to itself, by a chance of one in the number of values of its format.
 
 The round function is SHA-256 over the key, the kind, the round and the other
@@ -57,6 +61,10 @@ DAY_LEFT, DAY_RIGHT = 271, 270
 AREAS, GROUPS, SERIALS = 898, 99, 9999
 
 
+#: Country codes of one digit and of two; all others have three.
+COUNTRY_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+
+
 def pattern() -> str:
     """All kinds as one pattern; a kind's own back-reference becomes a named one."""
     return "|".join("(?:" + p.replace(r"([\-/])", r"(?<sep>[\-/])").replace(r"\1", r"\k<sep>") + ")" for _, p in KINDS)
@@ -176,10 +184,12 @@ def email(value: Column, key: str) -> Column:
 
 
 def phone(value: Column, key: str) -> Column:
-    code = F.regexp_extract(value, r"^(\+\d{1,3}?[ .\-(]|\+\d)", 1)
-    rest = F.substring(value, F.length(code) + 1, F.length(value))
-    digits = F.regexp_replace(rest, "[^0-9]", "")
-    return F.concat(code, refill(rest, permute_long(digits, 10, 16, key, "phone")))
+    """The same number for every spelling of it; null where it cannot be one."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    code = F.regexp_extract(digits, "^(" + COUNTRY_CODES.replace(" ", "|") + r"|\d{3})", 1)
+    own = F.substring(digits, F.length(code) + 1, F.length(digits))
+    valid = F.length(digits).between(8, 15) & ((code != "1") | (F.length(own) == 10))
+    return F.when(valid, refill(value, F.concat(code, permute_long(own, 10, 16, key, "phone"))))
 
 
 def secret(value: Column, key: str) -> Column:
