@@ -10,8 +10,15 @@ words that were.
 Because all is linear, a trained word contributes one number, kept per worker,
 and a text's score is a mean over its words.  Null, empty and wordless texts get
 the score of the bias alone; whole texts are read; rows that repeat are scored
-each; labels other than 0 and 1 are not used; without labels of both classes
-every score is the share of toxic labels, or 0 without any.
+each; labels other than 0 and 1 are not used, and of two labels of one id the
+greater counts; without labels of both classes every score is the share of toxic
+labels, or 0 without any.  A model that has seen both classes but nothing that
+tells them apart never says toxic: its bias stays under even odds.
+
+Which buckets have vectors follows the sample: all whose share of texts differs
+between the classes beyond chance, by the false discovery rate over all buckets
+seen, and in any case those of the ``always`` first that differ about as much as the
+very first does, so that a handful of labels can teach a word.
 """
 
 from __future__ import annotations
@@ -19,6 +26,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import erfc, sqrt
 from zlib import crc32
 
 import numpy as np
@@ -80,6 +88,8 @@ def train(text: np.ndarray, bucket: np.ndarray, share: np.ndarray, y: np.ndarray
     if not ones or not zeros:
         return Model(np.zeros(n_buckets, np.float32), odds)
     used, place = np.unique(bucket, return_inverse=True)
+    if not len(used):
+        return Model(np.zeros(n_buckets, np.float32), min(odds, -0.1))
     weight = np.where(y == 1, 0.5 / ones, 0.5 / zeros)
     random = np.random.default_rng(seed)
     vectors = random.uniform(-0.1, 0.1, (len(used), dim))
@@ -107,16 +117,36 @@ def train(text: np.ndarray, bucket: np.ndarray, share: np.ndarray, y: np.ndarray
         step("vectors", vectors, pull + ridge * vectors, k, size)
     push = np.zeros(n_buckets, np.float32)
     push[used] = vectors @ (softmax[:, 1] - softmax[:, 0])
-    return Model(push, float(bias[1] - bias[0]) + odds)
+    # a text that nothing tells about is not toxic
+    return Model(push, min(float(bias[1] - bias[0]) + odds, -0.1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, per_class: int = 2000, n_buckets: int = 1 << 18, least: int = 15, screen: float = 5.0, seed: int = 7) -> Model:
+def telling(buckets: np.ndarray, zeros: np.ndarray, ones: np.ndarray, sizes: dict[int, int], rate: float, always: int) -> np.ndarray:
+    """The buckets whose share of texts differs between the classes beyond chance.
+
+    Of ``len(buckets)`` two-sided tests, as many as keep the share of false finds at
+    ``rate`` (Benjamini and Hochberg, 1995), and the best of the ``always`` that differ most.
+    """
+    in_zero, in_one = zeros / sizes[0], ones / sizes[1]
+    both = (zeros + ones) / (sizes[0] + sizes[1])
+    error = np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / sizes[0] + 1 / sizes[1]))
+    z = np.abs(in_zero - in_one) / error
+    order = np.lexsort((buckets, -(zeros + ones), -z))
+    chance = np.array([erfc(v / sqrt(2)) for v in z[order]])
+    passed = np.flatnonzero(chance <= rate * np.arange(1, len(order) + 1) / max(1, len(order)))
+    # of the best, those that differ about as much as the very best does, and by two errors at least
+    best = order[:always]
+    best = best[z[best] >= max(2.0, 0.9 * z[best].max(initial=0.0))]
+    return buckets[np.union1d(order[: passed[-1] + 1 if len(passed) else 0], best).astype(np.int64)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, per_class: int = 2000, n_buckets: int = 1 << 18, rate: float = 1e-4, always: int = 64, seed: int = 7) -> Model:
     """Train on at most ``per_class`` labelled rows of each class (labels: doc_id, toxic).
 
-    The sample's n-grams are counted on the executors.  A bucket in fewer than
-    ``least`` texts, or whose share of texts differs between the classes by less
-    than ``screen`` standard errors, keeps a zero vector: chance words would be
-    learnt by heart.  Only the rest of the sample's weights reach the driver.
+    The sample's n-grams are counted on the executors, and a count for each bucket
+    reaches the driver.  Buckets that do not tell the classes apart (:func:`telling`)
+    keep a zero vector: chance words would be learnt by heart.  Only the rest of
+    the sample's weights reach the driver.
     """
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -138,13 +168,10 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column | None = None, per
         some = np.flatnonzero(seen.any(0))
         yield {"bucket": some, "zeros": seen[0, some], "ones": seen[1, some]}
 
-    in_zero, in_one = (F.col(c) / sizes[k] for k, c in enumerate(("zeros", "ones")))
-    both = (F.col("zeros") + F.col("ones")) / (sizes[0] + sizes[1])
-    error = F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * (1 / sizes[0] + 1 / sizes[1]))
-    counted = map_batches(sample, count, "bucket int, zeros long, ones long").groupBy("bucket").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    telling = counted.where((F.col("zeros") + F.col("ones") >= least) & (F.abs(in_zero - in_one) >= screen * error)).select("bucket").toPandas()["bucket"].to_numpy()
+    counted = map_batches(sample, count, "bucket int, zeros long, ones long").groupBy("bucket").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toPandas()
+    found = telling(*(counted[c].to_numpy(np.int64) for c in ("bucket", "zeros", "ones")), sizes, rate, always)
     mask = np.zeros(n_buckets, bool)
-    mask[telling.astype(np.int64)] = True
+    mask[found] = True
     sent = spark.sparkContext.broadcast(mask)
 
     def weigh(batch: pa.RecordBatch) -> Iterator[dict]:

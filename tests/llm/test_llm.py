@@ -294,9 +294,10 @@ def _plain_pseudonym(kind, value, key):
         head = _run(only[:-1], 10, key, "card")
         moved = head + next(c for c in "0123456789" if _luhn(head + c)) if _luhn(only) else only
     elif kind == "phone":
-        code = re.match(r"\+\d{1,3}?[ .\-(]|\+\d", value).group()
-        only = re.sub("[^0-9]", "", value[len(code) :])
-        moved = re.sub("[^0-9]", "", code) + _long(only, 10, 16, key, "phone")
+        only = re.sub("[^0-9]", "", value)
+        known = set(feistel.COUNTRY_CODES.split())
+        size = next((k for k in (1, 2) if only[:k] in known), 3)
+        moved = only[:size] + _long(only[size:], 10, 16, key, "phone")
     elif kind == "ssn":
         area, group, serial = map(int, value.split("-"))
         l, r = _network(area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn")
@@ -329,7 +330,7 @@ def test_pseudonyms_are_those_of_a_plain_network(spark):
     for _ in range(60):
         head = n(int(rng.integers(12, 19)))
         card = head + next(c for c in "0123456789" if _luhn(head + c))
-        values += [("card", card), ("phone", f"+{rng.integers(1, 999)} ({n(3)}) {n(3)}-{n(4)}"), ("ssn", f"{rng.integers(1, 666):03d}-{rng.integers(1, 100):02d}-{rng.integers(1, 9999):04d}"), ("ipv4", ".".join(str(x) for x in rng.integers(0, 256, 4)))]
+        values += [("card", card), ("phone", f"+{rng.choice([1, 7, 20, 44, 49, 86, 212, 353, 420, 999])} ({n(3)}) {n(3)}-{n(4)}"), ("ssn", f"{rng.integers(1, 666):03d}-{rng.integers(1, 100):02d}-{rng.integers(1, 9999):04d}"), ("ipv4", ".".join(str(x) for x in rng.integers(0, 256, 4)))]
         values += [("date", f"{rng.integers(1900, 2100)}/{rng.integers(1, 13):02d}/{rng.integers(1, 29):02d}"), ("email", "".join(rng.choice(list("abXZ09._+"), int(rng.integers(1, 20)))).strip("._+") + "q@sub.example.org"), ("secret", "".join(rng.choice(list("0123456789abcdef"), int(rng.integers(32, 70)))) + "a")]
     docs = spark.createDataFrame([(k, f"see {v} now") for k, (_, v) in enumerate(values)], "doc_id long, text string")
     for r in feistel.pseudonymise(docs, "key").collect():
