@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import map_batches, texts_of
+from chronolith.llm.common import look_up, map_batches, texts_of
 from chronolith.storage import shuffle_partitions, written
 
 END = b"\n"
@@ -190,15 +190,19 @@ def count_strings(docs: DataFrame, trains: Column, depth: int) -> DataFrame:
 def whole_subtrees(batches: Iterator[pa.RecordBatch], depth: int, rows: int = 1 << 19) -> Iterator[pa.Table]:
     """A sorted partition in pieces of about ``rows`` rows that end where the last two bytes change."""
     held: list[pa.RecordBatch] = []
+    size, last = 0, None
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        owner = batch.column("gram").to_numpy() >> (8 * (depth - 1))
+        # the last subtree of the batch may go on; those before it are whole
+        end = int(np.searchsorted(owner, owner[-1]))
+        if size + end >= rows and (end or owner[0] != last):
+            if size + end:
+                yield pa.Table.from_batches([*held, batch.slice(0, end)])
+            held, size, batch = [], 0, batch.slice(end)
         held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
-            table = pa.Table.from_batches(held)
-            owner = table.column("gram").to_numpy() >> (8 * (depth - 1))
-            end = int(np.searchsorted(owner, owner[-1]))
-            if end:
-                yield table.slice(0, end)
-                held = table.slice(end).to_batches()
+        size, last = size + batch.num_rows, owner[-1]
     if held:
         yield pa.Table.from_batches(held)
 
@@ -240,6 +244,36 @@ def frequent_from(table: DataFrame, n: str, most: int) -> int:
     return cut
 
 
+def known_sums(keys: np.ndarray, lengths: np.ndarray, strings: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's sum of the ``values`` of its keys that are among the sorted ``strings``; text and key of the others, by text.
+
+    Keys have 56 bits.  The eight left name one of 256 texts, so that plain numbers
+    are sorted, which is far faster than to sort places; sorted keys meet the strings in order.
+    """
+    total, texts, others = np.zeros(len(lengths)), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    edges = np.concatenate(([0], np.cumsum(lengths)))
+    for first in range(0, len(lengths), 256):
+        own = lengths[first : first + 256]
+        some = keys[edges[first] : edges[first + len(own)]] << np.uint64(8)
+        some |= np.repeat(np.arange(len(own), dtype=np.uint64), own)
+        some.sort()
+        key, text = some >> np.uint64(8), (some & np.uint64(255)).astype(np.int64)
+        new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+        distinct = key[new]
+        value, missed = np.zeros(len(distinct)), np.ones(len(distinct), bool)
+        if len(strings):
+            at = np.minimum(np.searchsorted(strings, distinct), len(strings) - 1)
+            missed = strings[at] != distinct
+            value = np.where(missed, 0.0, values[at])
+        place = np.cumsum(new) - 1
+        total[first : first + len(own)] = np.bincount(text, value[place], len(own))
+        left = np.flatnonzero(missed[place])
+        order = np.argsort(text[left], kind="stable")
+        texts.append(first + text[left][order])
+        others.append(key[left][order])
+    return total, np.concatenate(texts), np.concatenate(others)
+
+
 def score(docs: DataFrame, trains: Column, depth: int = 6, least: int = 2, divergence: float = 5.0, common: int = 1 << 17, common_strings: int = 1 << 21) -> DataFrame:
     """``docs`` (doc_id, text) as ``(doc_id, n_tokens, n_known, train_tokens, base_score, score)``; ``trains`` marks rows to learn from."""
     spark = docs.sparkSession
@@ -261,17 +295,10 @@ def score(docs: DataFrame, trains: Column, depth: int = 6, least: int = 2, diver
         (strings, values), known = sent.value
         texts = [words_of(t) for t in texts_of(batch)]
         keys, lengths = grams([b" ".join(t) for t in texts], depth)
-        starts = np.cumsum(lengths) - lengths
-        distinct, place = np.unique(keys, return_inverse=True)
-        value, missed = np.zeros(len(distinct)), np.ones(len(distinct), bool)
-        if len(strings):
-            at = np.minimum(np.searchsorted(strings, distinct), len(strings) - 1)
-            missed = strings[at] != distinct
-            value = np.where(missed, 0.0, values[at])
-        missed = missed[place]
-        offsets = np.concatenate(([0], np.cumsum(np.add.reduceat(missed.astype(np.int64), starts)))).astype(np.int32)
-        seldom = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[missed].view(np.int64)))
-        out = {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_tokens": [len(t) + 1 for t in texts], "sure": [], "sure_sum": [], "rare": [], "strings": seldom, "sure_score": np.add.reduceat(value[place], starts)}
+        total, rare_text, rare_key = known_sums(keys, lengths, strings, values)
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(rare_text, minlength=len(texts))))).astype(np.int32)
+        seldom = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rare_key.view(np.int64)))
+        out = {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_tokens": [len(t) + 1 for t in texts], "sure": [], "sure_sum": [], "rare": [], "strings": seldom, "sure_score": total}
         get = known.get
         for t in texts:
             found = [get(w) for w in t] + [get(END)]
@@ -287,7 +314,8 @@ def score(docs: DataFrame, trains: Column, depth: int = 6, least: int = 2, diver
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     schema = "row long, doc_id long, n_tokens long, sure long, sure_sum double, rare array<struct<word:binary,n:long>>, strings array<long>, sure_score double"
     rows = written(map_batches(numbered, run, schema, slice_bytes=2 << 20), "scored")
-    met_words = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(words.withColumnRenamed("n", "c"), "word", "left")
+    # a long word may be in most rows
+    met_words = look_up(rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n"), words.withColumnRenamed("n", "c"), ["word"])
     met_words = met_words.select("row", F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("known"), (F.log10(F.coalesce("c", F.lit(0)) + 0.5) * F.col("n")).alias("base"), F.lit(0.0).alias("log10"))
     rest = strings.where(step_of("seen") < cut).select("gram", "log10")
     met_strings = rows.select("row", F.explode("strings").alias("gram")).join(rest, "gram").select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), "log10")

@@ -99,3 +99,37 @@ def test_only_the_stretch_around_an_unproven_character_goes_to_the_library():
     for _ in range(3000):
         t = "".join(rng.choice(parts, int(rng.integers(1, 20))))
         assert counter.count(t) == whole(t), t
+
+
+def test_subtrees_are_cut_as_they_stream_by():
+    import pyarrow as pa
+
+    from chronolith.llm import pst
+
+    rng = np.random.default_rng(2)
+    gram = np.sort(rng.integers(0, 40, 5000) << 40 | rng.integers(0, 1 << 30, 5000))
+    table = pa.table({"gram": gram, "n": np.ones(5000, np.int64)})
+    for size, rows in ((7, 100), (1000, 100), (64, 1), (5000, 10_000), (300, 600)):
+        pieces = list(pst.whole_subtrees(iter(table.to_batches(max_chunksize=size)), 6, rows))
+        assert pa.concat_tables(pieces).column("gram").to_numpy().tolist() == gram.tolist()
+        owners = [set((p.column("gram").to_numpy() >> 40).tolist()) for p in pieces]
+        assert all(not a & b for k, a in enumerate(owners) for b in owners[k + 1 :])
+        assert all(p.num_rows for p in pieces)
+
+
+def test_sums_of_known_strings_by_text():
+    from chronolith.llm import pst
+
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(0, 30, 700)
+    keys = rng.integers(0, 300, lengths.sum()).astype(np.uint64) << np.uint64(40)
+    strings = np.unique(rng.choice(keys, 100))
+    values = rng.random(len(strings))
+    total, text, other = pst.known_sums(keys, lengths, strings, values)
+    at, left = 0, []
+    for k, n in enumerate(lengths):
+        own = keys[at : at + n]
+        at += n
+        assert total[k] == pytest.approx(sum(values[np.searchsorted(strings, x)] for x in own if x in strings))
+        left += sorted((k, int(x)) for x in own if x not in strings)
+    assert sorted(zip(text.tolist(), other.tolist(), strict=True)) == sorted(left) and (np.diff(text) >= 0).all()
