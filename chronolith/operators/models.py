@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
@@ -153,7 +153,13 @@ def tree_nodes(classifier: Classifier, spark, path: str) -> DataFrame:
     names = F.array(*[F.lit(c) for c in classifier.columns])
     weights = F.array(*[F.lit(float(w)) for w in classifier.model.treeWeights])
     leaf = F.col("leftChild") < 0
-    return nodes.select(F.col("treeID").alias("tree_id"), F.col("id").alias("node_id"), F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), F.when(~leaf, F.element_at(names, F.col("split.featureIndex") + 1)).alias("feature"), F.when(~leaf, F.col("split.leftCategoriesOrThreshold")[0]).alias("threshold"), "gain", F.col("prediction").alias("value"), F.col("rawCount").alias("n"), weights[F.col("treeID")].alias("weight"))
+    # a forest averages its trees' shares of the positive class, boosting adds up predictions
+    forest = isinstance(classifier.model, RandomForestClassificationModel)
+    stats = F.col("impurityStats")
+    value = stats[1] / F.aggregate(stats, F.lit(0.0), lambda a, b: a + b) if forest else F.col("prediction")
+    if forest:
+        weights = F.transform(weights, lambda w: w / len(classifier.model.treeWeights))
+    return nodes.select(F.col("treeID").alias("tree_id"), F.col("id").alias("node_id"), F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), F.when(~leaf, F.element_at(names, F.col("split.featureIndex") + 1)).alias("feature"), F.when(~leaf, F.col("split.leftCategoriesOrThreshold")[0]).alias("threshold"), "gain", value.alias("value"), F.col("rawCount").alias("n"), weights[F.col("treeID")].alias("weight"))
 
 
 def tree_paths(nodes: DataFrame, max_depth: int = 30) -> DataFrame:

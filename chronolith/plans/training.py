@@ -10,10 +10,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.operators import cleaning, metrics, models, rules, selection, tables
+from chronolith.operators import cleaning, metrics, models, rules, selection, shapley, tables
 from chronolith.plans.features import FeaturePlan, configure
 from chronolith.spec import Roles
-from chronolith.storage import written
+from chronolith.storage import new_path, written
 
 
 @dataclass
@@ -41,6 +41,16 @@ class Trained:
         tiered = metrics.assign_tiers(scored, "probability", *self.tiers)
         return tiered.select(F.col(self.roles.id).alias("id"), "probability", "risk_level", "action", (F.col("probability") > self.tiers[1]).cast("int").alias("binary_prediction"), F.lit(version).alias("model_version"), F.current_timestamp().alias("scored_at"))
 
+    def score_and_explain(self, df: DataFrame, top: int = 5, version: str = "1") -> DataFrame:
+        """:meth:`score` with ``base``, ``margin``, ``contributions`` and ``reasons``: Shapley values of the model's margin, for tree models.
+
+        Features are made once.  Ids must be unique: scores and explanations meet by id.
+        """
+        featured = written(self.plan.transform(df), "featured")
+        nodes = written(models.tree_nodes(self.classifier, df.sparkSession, new_path(df.sparkSession, "trees")), "nodes")
+        explained = shapley.strongest(shapley.shapley(nodes, cleaning.clean(featured, self.cleaner), self.roles.id), top)
+        return self.score_features(featured, version).join(explained, "id")
+
     def score_with_rules(self, df: DataFrame, engine: rules.RuleEngine, history: DataFrame | None = None) -> DataFrame:
         """Rules first; only rows that no rule decides take the model's probability.
 
