@@ -8,12 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.operators.quantiles import exact_quantiles
+
 
 def quantile_edges(df: DataFrame, features: Sequence[str], n_bins: int) -> dict[str, list[float]]:
     """Distinct equal-frequency edges of each feature, from the least to the greatest value; a few numbers to the driver."""
-    marks = F.array(*[F.lit(k / n_bins) for k in range(n_bins + 1)])
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), marks).alias(c) for c in features]).first()
-    return {c: sorted(set(row[c] or [])) for c in features}
+    marks = exact_quantiles(df, features, [k / n_bins for k in range(n_bins + 1)])
+    return {c: sorted(set(marks[c] or [])) for c in features}
 
 
 def width_edges(df: DataFrame, features: Sequence[str], n_bins: int) -> dict[str, list[float]]:

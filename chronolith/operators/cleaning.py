@@ -8,8 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.operators.quantiles import distinct_counts, exact_quantiles
+
 NUMERIC = ("byte", "short", "integer", "long", "float", "double")
-#: Columns in one aggregation: exact percentiles keep value counts in memory.
+#: Columns in one aggregation.
 CHUNK = 64
 
 
@@ -39,12 +41,14 @@ def fit_cleaner(train: DataFrame, exclude: Sequence[str] = (), approximate: bool
     columns = [c for c in train.columns if c not in exclude]
     state = CleanerState(constant_columns(train, columns))
     numeric = [c for c in numeric_columns(train, exclude) if c not in state.constant]
-    quantile = F.percentile_approx if approximate else F.percentile
+    marks = [0.01, 0.5, 0.99]
+    exact = {} if approximate else exact_quantiles(train, numeric, marks)
     for at in range(0, len(numeric), CHUNK):
         some = numeric[at : at + CHUNK]
-        row = train.agg(*[quantile(c, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias(f"q_{c}") for c in some], *[F.max(F.col(c).isNull()).alias(f"n_{c}") for c in some]).first()
+        sketched = [F.percentile_approx(c, F.array(*[F.lit(m) for m in marks])).alias(f"q_{c}") for c in some] if approximate else []
+        row = train.agg(*[F.max(F.col(c).isNull()).alias(f"n_{c}") for c in some], *sketched).first()
         for c in some:
-            q = row[f"q_{c}"] or [None] * 3
+            q = (row[f"q_{c}"] if approximate else exact[c]) or [None] * 3
             state.stats[c] = {"q01": q[0], "median": q[1], "q99": q[2], "has_missing": bool(row[f"n_{c}"])}
     return state
 
@@ -77,18 +81,18 @@ def cleaning_summary(train: DataFrame, state: CleanerState) -> DataFrame:
 
 def profile(df: DataFrame) -> DataFrame:
     """One row a column: type, missing rate, distinct values (null counts as one), and numeric statistics."""
-    numeric = set(numeric_columns(df))
-    structs = []
-    for f in df.schema:
-        c, x = f.name, F.col(f.name)
-        number = x.cast("double") if c in numeric else F.lit(None).cast("double")
-        q = F.percentile(number, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        structs.append(F.struct(F.lit(c).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), F.round(F.avg(x.isNull().cast("double")), 4).alias("missing_rate"), (F.count_distinct(x) + F.max(x.isNull().cast("int"))).alias("unique_count"), F.avg(number).alias("mean"), F.stddev_samp(number).alias("std"), F.min(number).alias("min"), F.max(number).alias("max"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75")))
-    parts = [df.agg(F.array(*structs[at : at + CHUNK]).alias("r")).select(F.explode("r").alias("r")).select("r.*") for at in range(0, len(structs), CHUNK)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    numeric = numeric_columns(df)
+    quartiles, distinct, rows = exact_quantiles(df, numeric, [0.25, 0.5, 0.75]), distinct_counts(df, df.columns), []
+    for at in range(0, len(df.columns), CHUNK):
+        fields = df.schema.fields[at : at + CHUNK]
+        columns = []
+        for f in fields:
+            x = F.col(f"`{f.name}`")
+            number = x.cast("double") if f.name in numeric else F.lit(None).cast("double")
+            columns.append(F.struct(F.round(F.avg(x.isNull().cast("double")), 4).alias("missing"), F.max(x.isNull().cast("int")).alias("none"), F.avg(number).alias("mean"), F.stddev_samp(number).alias("std"), F.min(number).alias("min"), F.max(number).alias("max")))
+        found = df.agg(F.array(*columns).alias("r")).first()["r"]
+        rows += [(f.name, f.dataType.simpleString(), r["missing"], distinct[f.name] + (r["none"] or 0), r["mean"], r["std"], r["min"], r["max"], *(quartiles.get(f.name) or [None] * 3)) for f, r in zip(fields, found, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "column string, dtype string, missing_rate double, unique_count long, mean double, std double, min double, max double, q25 double, q50 double, q75 double")
 
 
 def feature_stats(df: DataFrame, columns: Sequence[str] | None = None, target: str | None = None) -> DataFrame:
@@ -97,7 +101,8 @@ def feature_stats(df: DataFrame, columns: Sequence[str] | None = None, target: s
     With a ``target``, also ``iv_score``, the information value.
     """
     columns = list(columns or numeric_columns(df))
-    structs = [F.struct(F.lit(c).alias("feature"), F.avg(F.col(c).isNull().cast("double")).alias("missing_rate"), F.count_distinct(c).alias("n_unique"), F.avg(F.col(c).cast("double")).alias("mean"), F.stddev_pop(F.col(c).cast("double")).alias("std"), F.min(F.col(c).cast("double")).alias("min_value"), F.max(F.col(c).cast("double")).alias("max_value"), F.percentile(F.col(c).cast("double"), 0.5).alias("p50"), F.percentile(F.col(c).cast("double"), 0.95).alias("p95")) for c in columns]
+    marks, distinct = exact_quantiles(df, columns, [0.5, 0.95]), distinct_counts(df, columns)
+    structs = [F.struct(F.lit(c).alias("feature"), F.avg(F.col(c).isNull().cast("double")).alias("missing_rate"), F.lit(distinct[c]).cast("long").alias("n_unique"), F.avg(F.col(c).cast("double")).alias("mean"), F.stddev_pop(F.col(c).cast("double")).alias("std"), F.min(F.col(c).cast("double")).alias("min_value"), F.max(F.col(c).cast("double")).alias("max_value"), *[F.lit(x).cast("double").alias(n) for n, x in zip(("p50", "p95"), marks[c] or (None, None), strict=True)]) for c in columns]
     found = df.agg(F.array(*structs).alias("r")).select(F.explode("r").alias("r")).select("r.*")
     if target is None:
         return found
