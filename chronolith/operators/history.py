@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolith.operators import hot
 from chronolith.spec import Roles
 from chronolith.windows import masked, ordered, prior, prior_count, recent_count, recent_sum
 
@@ -23,10 +24,35 @@ def history_features(df: DataFrame, roles: Roles, windows: Sequence[int] = (3600
     """Time since the last row, spending so far, and statistics of the last ``w`` ticks for each window.
 
     The standard deviation is the population's, taken around the entity's own
-    mean so that large amounts lose no digits.  One shuffle for all windows.
+    mean so that large amounts lose no digits.  One shuffle for all windows.  Keys
+    too hot for one task are found and cut (:mod:`chronolith.operators.hot`).
     """
     _checked(stats)
-    columns = [roles.amount] if columns is None else columns
+    columns = [roles.amount] if columns is None else list(columns)
+    return _with_hot(df, [roles.key], lambda d: _history(d, roles, windows, stats, columns), lambda d: _history_hot(d, roles, windows, stats, columns))
+
+
+def _with_hot(df: DataFrame, keys: Sequence[str], plain: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``plain`` on the rows of ordinary keys, ``cut`` on those of hot ones, with the same columns."""
+    rest, heated = hot.apart(df, keys)
+    out = plain(rest)
+    if heated is None:
+        return out
+    found = cut(heated)
+    return out.unionByName(found.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in out.schema]))
+
+
+def _history_hot(df: DataFrame, roles: Roles, windows: Sequence[int], stats: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    out = df
+    for w in windows:
+        out = history_in_chunks(out, roles, w, stats, columns)
+    rows = hot.segmented(out, [roles.key], roles.time, roles.id)
+    timed = hot.by_segment(rows, roles, lambda d, r: d.withColumn("time_since_last", F.coalesce(F.col(r.time) - F.lag(r.time).over(ordered(r)), F.lit(0)).cast("long")))
+    met, spent = hot.expanding(timed, [roles.key], roles.time, roles.id, roles.amount)
+    return met.select(*out.columns, "time_since_last", spent["sum"].alias("cumulative_spend"))
+
+
+def _history(df: DataFrame, roles: Roles, windows: Sequence[int], stats: Sequence[str], columns: Sequence[str]) -> DataFrame:
     key, time = roles.key, F.col(roles.time)
     out: dict[str, Column] = {
         "time_since_last": F.coalesce(time - F.lag(time).over(ordered(roles)), F.lit(0)).cast("long"),
@@ -58,14 +84,33 @@ def history_features(df: DataFrame, roles: Roles, windows: Sequence[int] = (3600
 
 
 def prior_aggregates(df: DataFrame, roles: Roles, group_keys: Sequence[Sequence[str]], columns: Sequence[str] | None = None, stats: Sequence[str] = ("count", "sum", "mean", "std"), suffix: str = "") -> DataFrame:
-    """Expanding statistics of the rows before, by each key set; the deviation is the sample's, 0 if undefined."""
+    """Expanding statistics of the rows before, by each key set; the deviation is the sample's, 0 if undefined.
+
+    Keys too hot for one task are found and cut (:mod:`chronolith.operators.hot`).
+    """
     _checked(stats)
-    columns = [roles.amount] if columns is None else columns
+    columns = [roles.amount] if columns is None else list(columns)
+    sets = [own for keys in group_keys if (own := [k for k in keys if k in df.columns])]
+    # key sets that have no hot keys share one plan
+    heated = {tuple(k) for k in sets if hot.apart(df, k)[1] is not None}
+    out = _prior(df, roles, [k for k in sets if tuple(k) not in heated], columns, stats, suffix)
+    for keys in sets:
+        if tuple(keys) in heated:
+            out = _with_hot(out, keys, lambda d, k=keys: _prior(d, roles, [k], columns, stats, suffix), lambda d, k=keys: _prior_hot(d, roles, k, columns, stats, suffix))
+    return out
+
+
+def _prior_hot(df: DataFrame, roles: Roles, keys: Sequence[str], columns: Sequence[str], stats: Sequence[str], suffix: str) -> DataFrame:
+    rows = hot.segmented(df, keys, roles.time, roles.id)
+    for c in columns:
+        met, values = hot.expanding(rows, keys, roles.time, roles.id, c)
+        rows = met.select(*rows.columns, *[values[s].alias(f"{'+'.join(keys)}_{c}_{s}{suffix}") for s in stats])
+    return rows.drop("_seg")
+
+
+def _prior(df: DataFrame, roles: Roles, group_keys: Sequence[Sequence[str]], columns: Sequence[str], stats: Sequence[str], suffix: str) -> DataFrame:
     out: dict[str, Column] = {}
     for keys in group_keys:
-        keys = [k for k in keys if k in df.columns]
-        if not keys:
-            continue
         n, frame = prior_count(roles, *keys), prior(roles, *keys)
         for c in columns:
             values = {"count": n, "sum": F.coalesce(F.sum(c).over(frame), F.lit(0.0)), "mean": F.when(n > 0, F.coalesce(F.sum(c).over(frame), F.lit(0.0)) / n).otherwise(0.0), "std": F.coalesce(F.stddev_samp(c).over(frame), F.lit(0.0)), "min": F.coalesce(F.min(c).over(frame), F.lit(0.0)), "max": F.coalesce(F.max(c).over(frame), F.lit(0.0))}
@@ -80,43 +125,22 @@ def _by_chunk(df: DataFrame, roles: Roles, chunk: int) -> tuple[DataFrame, DataF
 
 
 def prior_in_chunks(df: DataFrame, roles: Roles, chunk: int, columns: Sequence[str] | None = None, stats: Sequence[str] = STATS) -> DataFrame:
-    """What :func:`prior_aggregates` gives by the entity, for keys too hot for one task.
+    """What :func:`prior_aggregates` gives by the entity, with every key cut by time into chunks of ``chunk`` ticks.
 
-    An entity's rows are parted by time into chunks of ``chunk`` ticks; each
-    chunk is reduced by itself, and what the earlier chunks hold is added, so a
-    task has the rows of one chunk, or one row for each chunk.  Deviations are
-    taken around the entity's mean.  Rows without a key need no window.
+    A chunk is reduced by itself and what the earlier ones hold is added, so a task
+    has the rows of one chunk, or one row for each chunk.  Rows without a key need no window.
     """
     _checked(stats)
-    columns = [roles.amount] if columns is None else columns
+    columns = [roles.amount] if columns is None else list(columns)
     parted, rest = _by_chunk(df, roles, chunk)
-    means = parted.groupBy(roles.key).agg(*[F.avg(c).alias(f"_centre_{k}") for k, c in enumerate(columns)])
-    parted = parted.join(means, roles.key)
-    parts: dict[str, tuple] = {"_n": (F.count, F.lit(1))}
-    for k, c in enumerate(columns):
-        off = F.col(c) - F.col(f"_centre_{k}")
-        parts |= {f"_n_{k}": (F.count, F.col(c)), f"_s_{k}": (F.sum, F.col(c)), f"_o_{k}": (F.sum, off), f"_q_{k}": (F.sum, off * off), f"_l_{k}": (F.min, F.col(c)), f"_h_{k}": (F.max, F.col(c))}
-    merge = {"_n": F.sum, "_s": F.sum, "_o": F.sum, "_q": F.sum, "_l": F.min, "_h": F.max}
-    sums = parted.groupBy(roles.key, "_chunk").agg(*[f(x).alias(name) for name, (f, x) in parts.items()])
-    earlier = Window.partitionBy(roles.key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(roles.key, "_chunk", *[merge[name[:2]](name).over(earlier).alias(f"{name}_before") for name in parts])
-    local = Window.partitionBy(roles.key, "_chunk").orderBy(roles.time, roles.id).rowsBetween(Window.unboundedPreceding, -1)
-    joined = parted.select(*parted.columns, *[f(x).over(local).alias(f"{name}_local") for name, (f, x) in parts.items()]).join(before, [roles.key, "_chunk"])
-
-    def both(name: str) -> Column:
-        one, two = F.col(f"{name}_before"), F.col(f"{name}_local")
-        if name[:2] in ("_l", "_h"):
-            return F.coalesce((F.least if name[:2] == "_l" else F.greatest)(one, two), F.lit(0.0))
-        return F.coalesce(one, F.lit(0)) + F.coalesce(two, F.lit(0))
-
-    out: dict[str, Column] = {}
-    for k, c in enumerate(columns):
-        n, known = both("_n"), both(f"_n_{k}")
-        spread = both(f"_q_{k}") - both(f"_o_{k}") * both(f"_o_{k}") / known
-        values = {"count": n.cast("long"), "sum": both(f"_s_{k}").cast("double"), "mean": F.when(n > 0, both(f"_s_{k}") / n).otherwise(0.0), "std": F.when((known > 1) & (spread > 1e-12 * both(f"_q_{k}")), F.sqrt(spread / (known - 1))).otherwise(0.0), "min": both(f"_l_{k}"), "max": both(f"_h_{k}")}
-        out |= {f"{roles.key}_{c}_{stat}": values[stat] for stat in stats}
-    found = joined.select(*df.columns, *[v.alias(k) for k, v in out.items()])
-    return found.unionByName(rest.select("*", *[F.lit(0).cast(found.schema[k].dataType).alias(k) for k in out]))
+    rows, names = parted.withColumnRenamed("_chunk", "_seg"), []
+    for c in columns:
+        met, values = hot.expanding(rows, [roles.key], roles.time, roles.id, c)
+        own = [values[s].alias(f"{roles.key}_{c}_{s}") for s in stats]
+        rows = met.select(*rows.columns, *own)
+        names += [f"{roles.key}_{c}_{s}" for s in stats]
+    found = rows.drop("_seg")
+    return found.unionByName(rest.select("*", *[F.lit(0).cast(found.schema[k].dataType).alias(k) for k in names]))
 
 
 def prior_sums_in_chunks(df: DataFrame, roles: Roles, chunk: int, column: str | None = None) -> DataFrame:
@@ -137,14 +161,26 @@ def history_in_chunks(df: DataFrame, roles: Roles, width: int, stats: Sequence[s
     parted, rest = _by_chunk(df, roles, width)
     dealt = parted.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
     dealt = dealt.withColumn("_part", F.struct(F.col(roles.key).alias("k"), (F.col("_chunk") + F.when(F.col("_own"), 0).otherwise(1)).alias("c")))
-    found = history_features(dealt, replace(roles, key="_part"), [width], stats, [roles.amount] if columns is None else columns)
+    found = _history(dealt, replace(roles, key="_part"), [width], stats, [roles.amount] if columns is None else list(columns))
     found = found.where("_own").drop("_own", "_part", "_chunk", "time_since_last", "cumulative_spend")
     new = [c for c in found.columns if c not in df.columns]
     return found.unionByName(rest.select("*", *[F.lit(0).cast(found.schema[c].dataType).alias(c) for c in new]))
 
 
 def amount_features(df: DataFrame, roles: Roles) -> DataFrame:
-    """Log, whole-number flag, first row, change from the last amount, ratio to the earlier mean."""
+    """Log, whole-number flag, first row, change from the last amount, ratio to the earlier mean; hot keys are cut."""
+    return _with_hot(df, [roles.key], lambda d: _amounts(d, roles), lambda d: _amounts_hot(d, roles))
+
+
+def _amounts_hot(df: DataFrame, roles: Roles) -> DataFrame:
+    rows = hot.segmented(df, [roles.key], roles.time, roles.id)
+    near = hot.by_segment(rows, roles, lambda d, r: _amounts(d, r).drop("amount_ratio"))
+    met, values = hot.expanding(near, [roles.key], roles.time, roles.id, roles.amount)
+    ratio = F.coalesce(F.try_divide(F.col(roles.amount), F.try_divide(values["sum"], values["known"])), F.lit(1.0))
+    return met.withColumn("amount_ratio", ratio).select(*near.drop("_seg").columns, "amount_ratio")
+
+
+def _amounts(df: DataFrame, roles: Roles) -> DataFrame:
     amount, order = F.col(roles.amount), ordered(roles)
     known = F.coalesce(amount, F.lit(0.0))
     last = F.lag(amount).over(order)
@@ -160,7 +196,11 @@ def amount_features(df: DataFrame, roles: Roles) -> DataFrame:
 
 
 def velocity_features(df: DataFrame, roles: Roles) -> DataFrame:
-    """Change of amount by time, and change of that by time; 0 where no time passed."""
+    """Change of amount by time, and change of that by time; 0 where no time passed; hot keys are cut."""
+    return _with_hot(df, [roles.key], lambda d: _velocity(d, roles), lambda d: hot.by_segment(hot.segmented(d, [roles.key], roles.time, roles.id), roles, _velocity).drop("_seg"))
+
+
+def _velocity(df: DataFrame, roles: Roles) -> DataFrame:
     order = ordered(roles)
     change = F.coalesce(F.col(roles.amount) - F.lag(roles.amount).over(order), F.lit(0.0))
     passed = F.coalesce(F.col(roles.time) - F.lag(roles.time).over(order), F.lit(0))
