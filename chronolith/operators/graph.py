@@ -57,7 +57,9 @@ def component_size(df: DataFrame, roles: Roles, entities: Sequence[str], segment
     nodes = [roles.key, *entities]
     names = [F.when(F.col(c).isNotNull(), F.concat_ws(":", F.lit(c), F.col(c).cast("string"))) for c in nodes]
     listed = F.array_compact(F.array(*names))
-    some = df.select(F.col(roles.id).alias("_id"), F.col(roles.time).alias("_t"), names[0].alias("_key"), listed.alias("_nodes")).where(F.size("_nodes") > 0)
+    # rows are numbered, so that those which repeat an id stay apart
+    columns, df = df.columns, written(df.withColumn("_row", F.monotonically_increasing_id()), "graph-input")
+    some = df.select("_row", F.col(roles.id).alias("_id"), F.col(roles.time).alias("_t"), names[0].alias("_key"), listed.alias("_nodes")).where(F.size("_nodes") > 0)
     segments = max(1, -(-some.count() // segment_rows))
     ranged = some.repartitionByRange(segments, F.col("_t").asc_nulls_last(), F.col("_id").asc_nulls_last())
     rows = written(ranged.withColumn("_segment", F.spark_partition_id()), "graph-rows")
@@ -87,10 +89,10 @@ def component_size(df: DataFrame, roles: Roles, entities: Sequence[str], segment
                     a, b = (a, b) if size[a] >= size[b] else (b, a)
                     parent[b] = a
                     size[a] += size[b]
-        return pd.DataFrame({"_id": batch["_id"], "component_size": out})
+        return pd.DataFrame({"_row": batch["_row"], "component_size": out})
 
-    sizes = rows.groupBy("_segment").cogroup(state.groupBy("_segment")).applyInPandas(replay, f"_id {dict(df.dtypes)[roles.id]}, component_size long")
-    return df.join(sizes, df[roles.id] == sizes["_id"], "left").select(*[df[c] for c in df.columns], F.coalesce("component_size", F.lit(0).cast("long")).alias("component_size"))
+    sizes = rows.groupBy("_segment").cogroup(state.groupBy("_segment")).applyInPandas(replay, "_row long, component_size long")
+    return df.join(sizes, "_row", "left").select(*columns, F.coalesce("component_size", F.lit(0).cast("long")).alias("component_size"))
 
 
 def _carried(state: DataFrame, edges: DataFrame, bit: int) -> DataFrame:

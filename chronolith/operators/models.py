@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from chronolith.operators import metrics
 from chronolith.operators.selection import assembled
+from chronolith.storage import written
+
+#: Node tables of more rows than this are joined by a shuffle.
+BROADCAST_NODES = 200_000
 
 
 def make_model(kind: str, seed: int = 42, **params):
@@ -62,7 +66,8 @@ def fit(df: DataFrame, columns: Sequence[str], target: str, kind: str = "gbt", b
 
 
 def evaluate(df: DataFrame, score: str, target: str) -> DataFrame:
-    """One row: auc, ap, ks, brier, logloss, ece."""
+    """One row: auc, ap, ks, brier, logloss, ece; the scores are made once."""
+    df = written(df.select(score, target), "scores")
     out = metrics.roc_auc(df, score, target)
     for other in (metrics.average_precision(df, score, target), metrics.kolmogorov_smirnov(df, score, target), metrics.probability_metrics(df, score, target), metrics.calibration_error(df, score, target)):
         out = out.crossJoin(F.broadcast(other))
@@ -87,7 +92,6 @@ def best_model(comparison: DataFrame, metric: str = "auc") -> DataFrame:
 def cross_validate(df: DataFrame, columns: Sequence[str], target: str, order: Sequence[str], kind: str = "gbt", n_splits: int = 3, purge: int = 0, **params) -> DataFrame:
     """``(fold, auc)`` over purged time folds."""
     from chronolith.operators.tables import purged_folds
-    from chronolith.storage import written
 
     folds, out = written(purged_folds(df, order, n_splits, purge), "folds"), None
     for k in range(1, n_splits + 1):
@@ -195,6 +199,38 @@ def tree_depths(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     return splits.join(deep, "feature").crossJoin(F.broadcast(trees)).select("feature", "splits", (F.col("in_trees") / F.col("trees")).alias("tree_share"), "gain", "avg_depth", "min_depth", "max_depth")
 
 
+def node_depths(nodes: DataFrame, max_depth: int = 30) -> DataFrame:
+    """``(tree_id, node_id, depth)``: how far each node is from its root, level by level."""
+    children = nodes.where("left >= 0").select("tree_id", F.col("node_id").alias("parent"), F.explode(F.array("left", "right")).alias("node_id"))
+    level = nodes.where("node_id = 0").select("tree_id", "node_id", F.lit(0).alias("depth"))
+    done = level
+    for depth in range(1, max_depth + 1):
+        level = level.select("tree_id", F.col("node_id").alias("parent")).join(children, ["tree_id", "parent"]).select("tree_id", "node_id", F.lit(depth).alias("depth"))
+        done = done.unionByName(level)
+        if depth % 4 == 0 and level.isEmpty():
+            break
+    return done
+
+
+def depth_report(nodes: DataFrame) -> DataFrame:
+    """Per feature, where in the trees it splits: ``splits, tree_share, avg_depth, min_depth, max_depth`` and ``depths``, splits by depth from the root."""
+    split = nodes.where("left >= 0").join(node_depths(nodes), ["tree_id", "node_id"]).select("tree_id", "feature", "depth")
+    trees = nodes.agg(F.count_distinct("tree_id").alias("trees"))
+    by_depth = split.groupBy("feature", "depth").agg(F.count(F.lit(1)).alias("n")).groupBy("feature").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("depth", "n")))).alias("depths"))
+    whole = split.groupBy("feature").agg(F.count(F.lit(1)).alias("splits"), F.count_distinct("tree_id").alias("in_trees"), F.avg("depth").alias("avg_depth"), F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth"))
+    return whole.join(by_depth, "feature").crossJoin(F.broadcast(trees)).select("feature", "splits", (F.col("in_trees") / F.col("trees")).alias("tree_share"), "avg_depth", "min_depth", "max_depth", "depths").orderBy(F.desc("splits"), "feature")
+
+
+def tree_summary(nodes: DataFrame, top: int = 10) -> DataFrame:
+    """One row for an ensemble: trees, leaves, depths, total gain, features used, and the ``top`` features by gain with their share of it."""
+    deep = nodes.join(node_depths(nodes), ["tree_id", "node_id"])
+    leaves = deep.where("left < 0").agg(F.count_distinct("tree_id").alias("trees"), F.count(F.lit(1)).alias("leaves"), F.max("depth").alias("max_depth"), F.avg("depth").alias("avg_leaf_depth"))
+    gains = deep.where("left >= 0").groupBy("feature").agg(F.sum("gain").alias("gain"), F.count(F.lit(1)).alias("splits"))
+    whole = gains.agg(F.coalesce(F.sum("splits"), F.lit(0)).alias("splits"), F.coalesce(F.sum("gain"), F.lit(0.0)).alias("total_gain"), F.count(F.lit(1)).alias("features_used"), F.slice(F.sort_array(F.collect_list(F.struct((-F.col("gain")).alias("order"), "feature", "gain"))), 1, top).alias("best"))
+    best = F.transform("best", lambda b: F.struct(b["feature"].alias("feature"), b["gain"].alias("gain"), F.try_divide(b["gain"], F.col("total_gain")).alias("share")))
+    return leaves.crossJoin(F.broadcast(whole)).withColumn("top_features", best).drop("best")
+
+
 def tree_interactions(paths: DataFrame, min_paths: int = 10, top: int = 30) -> DataFrame:
     """Pairs of features that share paths."""
     one = paths.select("tree_id", "leaf_id", "path_gain", F.explode("features").alias("feature_1"))
@@ -206,12 +242,14 @@ def tree_interactions(paths: DataFrame, min_paths: int = 10, top: int = 30) -> D
 def _walk(nodes: DataFrame, rows: DataFrame, id: str, max_depth: int) -> list[DataFrame]:
     """Where each row stands in each tree, one table a level; null features count as 0.
 
-    The node table has a row for each node of the ensemble, so it is sent to all tasks.
+    The node table has a row for each node of the ensemble; up to ``BROADCAST_NODES`` of them are sent to all tasks.
     """
     features = [r[0] for r in nodes.where("feature is not null").select("feature").distinct().collect()]
     pairs = [x for c in features for x in (F.lit(c), F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in rows.columns else F.lit(0.0))]
     values = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
-    small = F.broadcast(nodes.select("tree_id", "node_id", "left", "right", "feature", "threshold", "value", "weight"))
+    small = nodes.select("tree_id", "node_id", "left", "right", "feature", "threshold", "value", "weight")
+    if nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
+        small = F.broadcast(small)
     start = rows.select(F.col(id).alias("id"), values.alias("x"))
     levels = [start.crossJoin(small.where("node_id = 0"))]
     for _ in range(max_depth):

@@ -32,7 +32,7 @@ class FeatureCatalog:
         return [c for e in self.entries if e["source"] == source for c in e["feature_names"]]
 
     def to_dict(self) -> dict:
-        return {"catalog_name": self.name, "total_features": len(self.feature_names()), "stateful_feature_sources": self.stateful(), "target_dependent_sources": self.target_dependent(), "entries": self.entries}
+        return {"catalog_name": self.name, "total_entries": len(self.entries), "total_features": len(self.feature_names()), "all_feature_names": self.feature_names(), "stateful_feature_sources": self.stateful(), "target_dependent_sources": self.target_dependent(), "entries": self.entries}
 
     def export(self, spark: SparkSession, path: str) -> None:
         """Write the catalogue as one JSON text below ``path``."""

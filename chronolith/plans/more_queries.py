@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.operators import binning, history, models, selection, sequence, tables
+from chronolith.operators import binning, history, models, recurrent, search, selection, sequence, shapley, tables
 from chronolith.plans import store, training
 from chronolith.plans.catalog import HOUR_US, MONTH, _halves, _recent, query, rounded
 from chronolith.plans.views import EVENTS_SQL, ORDERS, ORDERS_SQL, events, orders, scored_orders, sparse_orders, table
@@ -75,6 +75,35 @@ def tree_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.explain(nodes, val, "id")
 
 
+@query()
+def tree_shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, val = _halves(spark, sf_dir)
+    classifier = models.fit(train, ["amt", "t"], "y", "gbt", maxIter=5, maxDepth=3)
+    nodes = written(models.tree_nodes(classifier, spark, new_path(spark, "trees")), "nodes")
+    return shapley.strongest(shapley.shapley(nodes, val, "id"), 1).select("id", "base", "margin", F.get("reasons", 0)["feature"].alias("reason"))
+
+
+@query()
+def tree_depth_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, _ = _halves(spark, sf_dir)
+    classifier = models.fit(train, ["amt", "t"], "y", "gbt", maxIter=5, maxDepth=3)
+    nodes = written(models.tree_nodes(classifier, spark, new_path(spark, "trees")), "nodes")
+    return models.depth_report(nodes).withColumn("depths", F.to_json("depths"))
+
+
+@query()
+def recurrent_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = orders(spark, sf_dir)
+    return recurrent.fit(base, ORDERS, ["amt", "y"], length=12, hidden=8, epochs=5).transform(base, ORDERS, 12)
+
+
+@query()
+def parameter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, _ = _halves(spark, sf_dir)
+    _, results = search.search(train, ["amt", "t"], "y", ["t", "id"], {"maxDepth": ("int", 1, 4)}, "random_forest", trials=2, budget=("numTrees", 2, 4), factor=2)
+    return search.report(spark, results)
+
+
 @query()
 def train_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = orders(spark, sf_dir).select("id", "key", "t", "amt", "y")

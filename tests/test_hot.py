@@ -61,3 +61,11 @@ def test_no_join_is_on_the_hot_key_alone(df, monkeypatch):
     met, _ = hot.expanding(rows, ["key"], "t", "id", "amt")
     plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert all("_seg" in line for line in plan.splitlines() if "Join " in line) and "Join " in plan
+
+
+def test_component_sizes_of_rows_that_repeat_an_id(spark):
+    from chronolith.operators import graph
+
+    df = spark.createDataFrame([(1, "a", 0, "x"), (1, "b", 1, "x"), (1, "b", 1, "x"), (2, "c", 2, None)], "id long, key string, t long, mail string")
+    got = sorted((r["t"], r["component_size"]) for r in graph.component_size(df, ROLES, ["mail"]).collect())
+    assert [t for t, _ in got] == [0, 1, 1, 2] and got[0] == (0, 1) and got[3] == (2, 1) and sorted(s for t, s in got if t == 1) == [1, 3]

@@ -101,3 +101,29 @@ def test_score_and_explain_in_one_call(spark):
         raw = 1 / (1 + np.exp(-2 * r["margin"]))
         assert 1 / (1 + np.exp(-(trained.calibrator.slope * raw + trained.calibrator.intercept))) == pytest.approx(r["probability"])
         assert r["reasons"][0]["feature"] in ("amt", "log_amount")
+
+
+def test_depths_and_summary_of_trees(spark):
+    rng = np.random.default_rng(9)
+    trees = [_tree(rng, k, depth, ["a", "b", "c"]) for k, depth in enumerate((5, 3, 0))]
+    nodes = spark.createDataFrame([r for t in trees for r in t], NODES)
+    depth, splits = {}, []
+    for k, own in enumerate(trees):
+        stack = [(0, 0)]
+        while stack:
+            at, d = stack.pop()
+            depth[k, at] = d
+            if own[at][2] >= 0:
+                splits.append((k, own[at][4], d))
+                stack += [(own[at][2], d + 1), (own[at][3], d + 1)]
+    assert {(r["tree_id"], r["node_id"]): r["depth"] for r in models.node_depths(nodes).collect()} == depth
+    for r in models.depth_report(nodes).collect():
+        own = [s for s in splits if s[1] == r["feature"]]
+        assert r["splits"] == len(own) and r["tree_share"] == pytest.approx(len({s[0] for s in own}) / 3)
+        assert (r["min_depth"], r["max_depth"]) == (min(s[2] for s in own), max(s[2] for s in own)) and r["avg_depth"] == pytest.approx(np.mean([s[2] for s in own]))
+        assert r["depths"] == {d: sum(s[2] == d for s in own) for d in {s[2] for s in own}}
+    whole = models.tree_summary(nodes, 2).first()
+    leaves = [k for k, d in depth.items() if trees[k[0]][k[1]][2] < 0]
+    assert (whole["trees"], whole["leaves"], whole["splits"], whole["max_depth"]) == (3, len(leaves), len(splits), max(depth[k] for k in leaves))
+    assert whole["total_gain"] == len(splits) and len(whole["top_features"]) == 2
+    assert whole["top_features"][0]["share"] == pytest.approx(max(sum(s[1] == f for s in splits) for f in "abc") / len(splits))
