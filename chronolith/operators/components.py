@@ -13,18 +13,31 @@ from pyspark.sql import functions as F
 
 from chronolith.storage import forget, new_path, written
 
+#: Bounds the nodes with so many edges that they are broadcast.
+HUBS = 1000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _beside_least(edges: DataFrame, most: int) -> DataFrame:
+    """``edges`` (u, v) with ``m``, the least ``v`` of each ``u``.
+
+    Nodes with more than ``most`` edges would be one task's whole key in a join:
+    there are few of them, and their least neighbours meet the edges by broadcast.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > most).select("u", "m"))
+    others = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= most).select("u", "m"), "u")
+    return others.unionByName(edges.join(hubs, "u"))
+
+
+def _large_star(edges: DataFrame, most: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _beside_least(both, most).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    # every edge points from the larger node to the smaller one here
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+def _small_star(edges: DataFrame, most: int) -> DataFrame:
+    # every edge points from the larger node to the smaller one here; the least itself stays, the others go to it
+    near = _beside_least(edges, most)
+    return near.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -43,7 +56,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
         seen = mark
         path = new_path(spark, "stars")
-        _small_star(_large_star(now)).write.parquet(path)
+        # at most 2 * HUBS nodes have so many edges, counted from both ends
+        most = max(1000, mark[0] // HUBS)
+        _small_star(_large_star(now, most), most).write.parquet(path)
         now = spark.read.schema(now.schema).parquet(path)
         # the round before is read no more; the last one is the result's
         if last:

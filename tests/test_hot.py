@@ -69,3 +69,22 @@ def test_component_sizes_of_rows_that_repeat_an_id(spark):
     df = spark.createDataFrame([(1, "a", 0, "x"), (1, "b", 1, "x"), (1, "b", 1, "x"), (2, "c", 2, None)], "id long, key string, t long, mail string")
     got = sorted((r["t"], r["component_size"]) for r in graph.component_size(df, ROLES, ["mail"]).collect())
     assert [t for t, _ in got] == [0, 1, 1, 2] and got[0] == (0, 1) and got[3] == (2, 1) and sorted(s for t, s in got if t == 1) == [1, 3]
+
+
+def test_components_of_hubs(spark):
+    from chronolith.operators.components import _beside_least, connected_components
+
+    # two stars of many leaves, joined by a path that only their leaves touch; a ring, and a node that is its own
+    rng = np.random.default_rng(1)
+    edges = [(5, 1000 + k) for k in range(6000)] + [(7, 100_000 + k) for k in range(5000)] + [(1003, 500), (500, 499), (499, 100_777)]
+    edges += [(200_000 + k, 200_000 + (k + 1) % 50) for k in range(50)] + [(3, 3), (None, 4)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame([(None if a is None else int(a), int(b)) for a, b in edges], "src long, dst long")
+    got = {r["node"]: r["component"] for r in connected_components(df).collect()}
+    want = {5: 5, 7: 5, 500: 5, 499: 5} | {1000 + k: 5 for k in range(6000)} | {100_000 + k: 5 for k in range(5000)} | {200_000 + k: 200_000 for k in range(50)}
+    assert got == want
+    # no key of the shuffle join has more than the bound
+    pairs = df.where("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    met = _beside_least(pairs, 1000)
+    assert met.count() == pairs.count() and met.where("u = 5 and m <> 1000").count() == 0
+    assert "BroadcastHashJoin" in met._jdf.queryExecution().executedPlan().toString()
