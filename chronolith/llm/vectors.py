@@ -230,5 +230,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, recall: float = 0.
     names = placed.groupBy("class").agg(F.min("least").alias("component_id"))
     told = look_up(placed, names, ["class"]).select("label", "vec", "n_links", "component_id", F.lit(True).alias("linked"))
     rows = written(vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").alias("vec")), "vectors")
-    named = look_up(rows, told, ["label", "vec"]).withColumn("component_id", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id")))
+    # rows without label or vector have no node, and would be one key of the join
+    whole = F.col("label").isNotNull() & F.col("vec").isNotNull()
+    alone = rows.where(~whole).withColumns({"n_links": F.lit(None).cast("long"), "component_id": F.lit(None).cast("long"), "linked": F.lit(None).cast("boolean")})
+    met = look_up(rows.where(whole), told, ["label", "vec"]).unionByName(alone)
+    named = met.withColumn("component_id", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id")))
     return named.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("component_id").cast("long").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
