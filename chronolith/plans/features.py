@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -60,6 +61,40 @@ STEPS: dict[str, tuple[Callable, Callable | None, bool]] = {
 }
 
 
+#: The function behind each step whose parameters pass through.
+BEHIND: dict[str, Callable] = {"time": rows.time_features, "card": rows.card_features, "address": rows.address_features, "email": rows.email_features, "cross": rows.cross_features, "device": rows.device_features, "missing_pattern": encoders.missing_pattern, "target_encoding": encoders.fit_target_encoding, "label_encoding": encoders.fit_label_encoding, "uid": encoders.fit_uid}
+
+
+def schema_of(name: str) -> dict:
+    """What a step is and takes: its parameters with types, defaults and whether they are required, and an example of a plan's entry."""
+    if name not in STEPS:
+        raise ValueError(f"unknown feature step {name!r}: {', '.join(sorted(STEPS))}")
+    apply, fit, target = STEPS[name]
+    behind = BEHIND.get(name, apply)
+    found: dict[str, inspect.Parameter] = {}
+    for function in (apply, fit, behind):
+        own = inspect.signature(function).parameters.values() if function else ()
+        # without a rest, only what the step itself names can be given
+        through = function is not behind or any(p.kind is p.VAR_KEYWORD for f in (apply, fit) if f for p in inspect.signature(f).parameters.values()) or behind is apply
+        for p in own if through else ():
+            if p.kind is not p.VAR_KEYWORD and p.name not in ("df", "train", "state", "roles", "time", "target"):
+                found.setdefault(p.name, p)
+    parameters = [{"name": p.name, "type": "any" if p.annotation is p.empty else str(p.annotation), "required": p.default is p.empty, "default": None if p.default is p.empty else p.default} for p in found.values()]
+    needed = {p["name"]: f"<{p['name']}>" for p in parameters if p["required"]}
+    about = (inspect.getdoc(behind) or name).splitlines()[0]
+    return {"step": name, "description": about, "is_stateful": fit is not None, "depends_on_target": target, "needs_history": name in HISTORY, "parameters": parameters, "example": {name: needed} if needed else name}
+
+
+def schemas(spark: SparkSession) -> DataFrame:
+    """``(step, description, is_stateful, depends_on_target, needs_history, parameter, type, required, default)`` of all steps; a step without parameters is one row."""
+    out = []
+    for name in sorted(STEPS):
+        s = schema_of(name)
+        head = (name, s["description"], s["is_stateful"], s["depends_on_target"], s["needs_history"])
+        out += [(*head, p["name"], p["type"], p["required"], json.dumps(p["default"], default=str)) for p in s["parameters"]] or [(*head, None, None, None, None)]
+    return spark.createDataFrame(out, "step string, description string, is_stateful boolean, depends_on_target boolean, needs_history boolean, parameter string, type string, required boolean, default string")
+
+
 #: Steps that look at an entity's earlier rows: scoring an event alone gives them no history.
 HISTORY = frozenset({"amount", "history", "aggregation", "velocity", "graph_history", "graph_distinct", "component_size", "uid"})
 

@@ -1,15 +1,17 @@
 """A catalogue of features: versions, lineage and statistics in four Parquet tables.
 
 The tables are metadata, one row for each feature, version or edge, so an update
-writes a new copy of the table it changes and then points to it.
+writes a new copy of the table it changes.  Several writers may work at once.
 """
 
 from __future__ import annotations
 
 import json
 import time
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,31 +29,78 @@ SCHEMAS = {
 class FeatureStore:
     """The catalogue below ``path``, a folder that all machines share."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._at = {name: 0 for name in SCHEMAS}
-        for name in SCHEMAS:
-            found = self._versions(name)
-            self._at[name] = max(found, default=0)
+    def __init__(self, spark: SparkSession, path: str, wait: float = 60.0):
+        self.spark, self.path, self.wait = spark, path.rstrip("/"), wait
 
-    def _versions(self, name: str) -> list[int]:
+    def _fs(self, path: str):
         jvm, hadoop = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs = folder.getFileSystem(hadoop)
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(hadoop), at
+
+    def _versions(self, name: str) -> list[int]:
+        """Versions of a table that are written in whole."""
+        fs, folder = self._fs(f"{self.path}/{name}")
         if not fs.exists(folder):
             return []
-        return [int(s.getPath().getName()[1:]) for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        found = [s.getPath().getName() for s in fs.listStatus(folder)]
+        return [int(n[1:]) for n in found if n.startswith("v") and fs.exists(self._fs(f"{self.path}/{name}/{n}/_SUCCESS")[1])]
 
-    def table(self, name: str) -> DataFrame:
-        at = self._at[name]
+    def table(self, name: str, at: int | None = None) -> DataFrame:
+        """The newest version of a table, whoever wrote it."""
+        at = max(self._versions(name), default=0) if at is None else at
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/v{at}") if at else self.spark.createDataFrame([], SCHEMAS[name])
 
-    def _write(self, name: str, df: DataFrame) -> None:
-        df.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).coalesce(1).write.parquet(f"{self.path}/{name}/v{self._at[name] + 1}")
-        self._at[name] += 1
+    def _claimed(self, fs, claim) -> bool:
+        """Whether a claim that was free is this writer's.
+
+        A file is made by one writer alone; where the store lets two by at the
+        same moment, the one whose mark is left has it.
+        """
+        mark = uuid.uuid4().hex
+        try:
+            out = fs.create(claim, False)
+            out.writeUTF(mark)
+            out.close()
+            time.sleep(0.1)
+            held = fs.open(claim)
+            own = held.readUTF() == mark
+            held.close()
+            return own
+        except Py4JJavaError:
+            # another writer was faster by a moment, or the store fails
+            if not fs.exists(claim):
+                raise
+            return False
+
+    def _change(self, name: str, make: Callable[[DataFrame], DataFrame]) -> None:
+        """Write ``make`` of the newest version as the next one.
+
+        Writers take turns: the next version's number is claimed by a file that one
+        of them alone can create, and what is changed is read under the claim.  The claim of
+        a writer that has not ended within ``wait`` seconds is passed over.
+        """
+        began, skipped = time.monotonic(), 0
+        while True:
+            newest = max(self._versions(name), default=0)
+            number = newest + 1 + skipped
+            fs, claim = self._fs(f"{self.path}/{name}/claim-{number}")
+            fs.mkdirs(claim.getParent())
+            if not fs.exists(claim) and self._claimed(fs, claim):
+                break
+            if time.monotonic() - began > self.wait:
+                began, skipped = time.monotonic(), skipped + 1
+            time.sleep(0.1)
+        columns = self.spark.createDataFrame([], SCHEMAS[name]).columns
+        try:
+            made = make(self.table(name, newest))
+            made.select(*columns).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}/v{number}")
+        except BaseException:
+            # nothing was written: the number is free again
+            fs.delete(claim, False)
+            raise
 
     def _put(self, name: str, rows: Sequence[tuple], keys: Sequence[str]) -> None:
-        self._write(name, upsert(self.table(name), self.spark.createDataFrame(rows, SCHEMAS[name]), keys))
+        self._change(name, lambda old: upsert(old, self.spark.createDataFrame(rows, SCHEMAS[name]), keys))
 
     # --- features and versions ---
 
@@ -67,19 +116,28 @@ class FeatureStore:
 
     def create_version(self, name: str, schema: dict | None = None, run_id: str | None = None) -> tuple[int, int]:
         """``(version_id, version)`` of a new, inactive version."""
-        row = self.table("feature_versions").agg(F.coalesce(F.max("version_id"), F.lit(0)), F.coalesce(F.max(F.when(F.col("feature_name") == name, F.col("version"))), F.lit(0))).first()
-        version_id, version = row[0] + 1, row[1] + 1
-        self._put("feature_versions", [(version_id, name, version, time.time(), False, json.dumps(schema) if schema else None, run_id)], ["version_id"])
-        return version_id, version
+        made: list[int] = []
+
+        def make(old: DataFrame) -> DataFrame:
+            row = old.agg(F.coalesce(F.max("version_id"), F.lit(0)), F.coalesce(F.max(F.when(F.col("feature_name") == name, F.col("version"))), F.lit(0))).first()
+            made[:] = row[0] + 1, row[1] + 1
+            new = (*made[:1], name, made[1], time.time(), False, json.dumps(schema) if schema else None, run_id)
+            return upsert(old, self.spark.createDataFrame([new], SCHEMAS["feature_versions"]), ["version_id"])
+
+        self._change("feature_versions", make)
+        return made[0], made[1]
 
     def activate(self, version_id: int) -> None:
         """Make one version the only active one of its feature."""
-        versions = self.table("feature_versions")
-        found = versions.where(F.col("version_id") == version_id).first()
-        if not found:
-            raise ValueError(f"no version {version_id}")
-        own = F.col("feature_name") == found["feature_name"]
-        self._write("feature_versions", versions.withColumn("is_active", F.when(own, F.col("version_id") == version_id).otherwise(F.col("is_active"))))
+
+        def make(old: DataFrame) -> DataFrame:
+            found = old.where(F.col("version_id") == version_id).first()
+            if not found:
+                raise ValueError(f"no version {version_id}")
+            own = F.col("feature_name") == found["feature_name"]
+            return old.withColumn("is_active", F.when(own, F.col("version_id") == version_id).otherwise(F.col("is_active")))
+
+        self._change("feature_versions", make)
 
     def rollback(self, name: str, version: int) -> None:
         found = self.versions(name).where(F.col("version") == version).first()
@@ -95,7 +153,7 @@ class FeatureStore:
 
     def archive(self, name: str) -> None:
         self.feature(name)
-        self._write("features", self.table("features").withColumn("is_archived", F.col("is_archived") | (F.col("name") == name)))
+        self._change("features", lambda old: old.withColumn("is_archived", F.col("is_archived") | (F.col("name") == name)))
 
     def feature(self, name: str, version: int | None = None) -> dict:
         """A feature with one of its versions, the active one unless named; an unknown feature is a KeyError."""
@@ -145,7 +203,7 @@ class FeatureStore:
             raise KeyError(name)
         columns = columns or ([name] if name in df.columns else [c for c in df.columns if c.startswith(name)])
         stats = feature_stats(df, columns, target).withColumns({} if target else {"iv_score": F.lit(None).cast("double")}).select(F.lit(version["version_id"]).cast("long").alias("version_id"), F.col("feature").alias("column"), "missing_rate", "iv_score", "n_unique", "mean", "std", "min_value", "max_value", "p50", "p95", F.lit(time.time()).alias("computed_at"))
-        self._write("statistics", upsert(self.table("statistics"), stats, ["version_id", "column"]))
+        self._change("statistics", lambda old: upsert(old, stats, ["version_id", "column"]))
 
 
 def upstream(edges: DataFrame, name: str, recursive: bool = False, max_depth: int = 100) -> list[str]:

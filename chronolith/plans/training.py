@@ -10,7 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.operators import cleaning, metrics, models, rules, selection, shapley, tables
+from chronolith.operators import binning, cleaning, metrics, models, rules, selection, shapley, tables
 from chronolith.plans.features import FeaturePlan, configure
 from chronolith.spec import Roles
 from chronolith.storage import new_path, written
@@ -28,6 +28,8 @@ class Trained:
     tiers: tuple[float, float]
     metrics: DataFrame | None = None
     steps: list = field(default_factory=list)
+    #: Reports of the training run by name, where they were asked for.
+    reports: dict[str, DataFrame] = field(default_factory=dict)
 
     def score(self, df: DataFrame, version: str = "1") -> DataFrame:
         """``(id, probability, risk_level, action, binary_prediction, model_version, scored_at)`` of all rows at once."""
@@ -74,6 +76,8 @@ class Trained:
         self.classifier.save(f"{path}/online_artifacts/model")
         settings = {"roles": asdict(self.roles), "steps": self.steps, "constant": self.cleaner.constant, "stats": self.cleaner.stats, "columns": self.classifier.columns, "platt": [self.calibrator.slope, self.calibrator.intercept], "tiers": list(self.tiers)}
         spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/online_artifacts/settings")
+        for name, report in self.reports.items():
+            report.coalesce(1).write.mode("overwrite").csv(f"{path}/reports/{name}", header=True)
         if self.metrics is not None:
             self.metrics.coalesce(1).write.mode("overwrite").csv(f"{path}/reports/metrics", header=True)
 
@@ -87,8 +91,13 @@ class Trained:
         return Trained(roles, plan, cleaning.CleanerState(s["constant"], s["stats"]), classifier, models.PlattCalibrator(*s["platt"]), tuple(s["tiers"]), None, s["steps"])
 
 
-def train(df: DataFrame, roles: Roles, steps: Sequence[str | dict], ratio: float = 0.2, kind: str = "gbt", iv: float = 0.0, **params) -> Trained:
-    """Split by time, fit features and cleaning on the older part, select, train, calibrate, and find tiers on the newer."""
+def train(df: DataFrame, roles: Roles, steps: Sequence[str | dict], ratio: float = 0.2, kind: str = "gbt", iv: float = 0.0, vif: float | None = None, report: bool = False, **params) -> Trained:
+    """Split by time, fit features and cleaning on the older part, select, train, calibrate, and find tiers on the newer.
+
+    With ``vif``, columns that the others explain are left out one by one.  With
+    ``report``, the run's reports are made: information values, the columns left out
+    for their variance inflation, stability between the parts, cleaning, and for tree models importance and split depths.
+    """
     split = written(tables.time_split(df, [roles.time, roles.id], ratio), "split")
     older, newer = split.where("not is_val").drop("is_val"), split.where("is_val").drop("is_val")
     plan = FeaturePlan(configure(steps), roles)
@@ -99,9 +108,28 @@ def train(df: DataFrame, roles: Roles, steps: Sequence[str | dict], ratio: float
     columns = [c for c in cleaning.numeric_columns(ready) if c not in fixed]
     if iv > 0:
         columns = selection.select_by_iv(ready, roles.target, iv, exclude=fixed)[1] or columns
+    asked, dropped = list(columns), []
+    if vif is not None:
+        columns, dropped = selection.filter_by_vif(ready, columns, vif)
     classifier = models.fit(ready, columns, roles.target, kind, **params)
     held = written(classifier.score(cleaning.clean(plan.transform(newer), state), "_raw"), "held-out")
+    reports = run_reports(ready, held, state, classifier, asked, dropped, roles, kind) if report else {}
     calibrator = models.fit_platt(held, "_raw", roles.target)
     scored = calibrator.transform(held, "_raw", "p")
     best = metrics.best_tiers(scored, "p", roles.target).first()
-    return Trained(roles, plan, state, classifier, calibrator, (best["low"], best["high"]), models.evaluate(scored, "p", roles.target), list(steps))
+    return Trained(roles, plan, state, classifier, calibrator, (best["low"], best["high"]), models.evaluate(scored, "p", roles.target), list(steps), reports)
+
+
+def run_reports(ready: DataFrame, held: DataFrame, state: cleaning.CleanerState, classifier: models.Classifier, columns: Sequence[str], dropped: Sequence[tuple[str, float]], roles: Roles, kind: str) -> dict[str, DataFrame]:
+    """Tables by name, each of a row or a few for a column."""
+    spark = ready.sparkSession
+    out = {
+        "iv_scores": binning.information_values(ready, columns, roles.target),
+        "psi_drift": binning.stability(ready, held, columns),
+        "cleaning": cleaning.cleaning_summary(ready, state),
+        "vif_history": spark.createDataFrame([(k, c, float(v)) for k, (c, v) in enumerate(dropped)], "step int, column string, vif double"),
+    }
+    if kind in ("gbt", "random_forest"):
+        nodes = written(models.tree_nodes(classifier, spark, new_path(spark, "trees")), "nodes")
+        out |= {"feature_importance": classifier.importance(spark), "split_depths": models.depth_report(nodes).withColumn("depths", F.to_json("depths"))}
+    return out
