@@ -18,6 +18,8 @@ from chronolith.storage import written
 
 #: Node tables of more rows than this are joined by a shuffle.
 BROADCAST_NODES = 200_000
+#: Values, rows times columns, that a task of a training run holds; trees keep some 15 bytes of cached memory for each.
+TASK_VALUES = 16_000_000
 
 
 def make_model(kind: str, seed: int = 42, **params):
@@ -53,6 +55,16 @@ class Classifier:
         PipelineModel([self.model]).write().overwrite().save(path)
 
 
+def dealt(rows: DataFrame, n: int, width: int) -> DataFrame:
+    """``n`` rows of ``width`` values in so many partitions that a task has :data:`TASK_VALUES` at most.
+
+    Compressed files are split by bytes, so a split may hold any number of rows,
+    and training keeps them decompressed.  What one task may hold is left as it is.
+    """
+    tasks = -(-n * max(1, width) // TASK_VALUES)
+    return rows if tasks <= 1 else rows.repartition(max(tasks, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def fit(df: DataFrame, columns: Sequence[str], target: str, kind: str = "gbt", balance: bool = False, **params) -> Classifier:
     """Fit on rows with a target; ``balance`` weighs positives by the class ratio."""
     known = df.where(F.col(target).isNotNull())
@@ -62,7 +74,7 @@ def fit(df: DataFrame, columns: Sequence[str], target: str, kind: str = "gbt", b
         weight = F.when(F.col(target) == 1, float(ratio)).otherwise(1.0)
     rows = assembled(known, columns, "_features").select("_features", F.col(target).cast("double").alias("_label"), weight.alias("_weight"))
     estimator = make_model(kind, **params).setFeaturesCol("_features").setLabelCol("_label").setProbabilityCol("_probability").setRawPredictionCol("_raw").setPredictionCol("_prediction").setWeightCol("_weight")
-    return Classifier(list(columns), estimator.fit(rows))
+    return Classifier(list(columns), estimator.fit(dealt(rows, known.count(), len(columns))))
 
 
 def evaluate(df: DataFrame, score: str, target: str) -> DataFrame:

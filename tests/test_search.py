@@ -44,3 +44,14 @@ def test_search_over_purged_folds(spark):
     assert {r.params["maxDepth"] for r in results} == {0, 5} and found == {"maxDepth": 5, "numTrees": 4}
     rows = search.report(spark, results).collect()
     assert len(rows) == len(results) and max(r["score"] for r in rows) > 0.8
+
+
+def test_a_task_of_training_holds_a_bounded_number_of_values(spark, monkeypatch):
+    from chronolith.operators import models
+
+    seen = []
+    monkeypatch.setattr(models, "TASK_VALUES", 100, raising=False)
+    monkeypatch.setattr(models.RandomForestClassifier, "_fit", lambda self, rows: seen.append(rows.rdd.glom().map(len).collect()))
+    df = spark.range(500).coalesce(1).select((F.col("id") % 7).alias("a"), F.col("id").alias("b"), (F.col("id") % 2).alias("y"))
+    models.fit(df, ["a", "b"], "y", "random_forest")
+    assert sum(seen[0]) == 500 and max(seen[0]) * 2 <= 100
