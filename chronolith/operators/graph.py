@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.operators.components import connected_components
+from chronolith.operators.components import HUB_ROWS, ancestors, merge_tree
+from chronolith.operators.history import prior_aggregates
 from chronolith.spec import Roles
 from chronolith.storage import written
 from chronolith.windows import prior
@@ -44,73 +44,35 @@ def distinct_before(df: DataFrame, roles: Roles, groups: dict[str, Sequence[str]
     return counted.withColumn(f"{key}_entity_diversity", sum((F.col(k) for k in out), F.lit(0)).cast("long"))
 
 
-def component_size(df: DataFrame, roles: Roles, entities: Sequence[str], segment_rows: int = 200_000) -> DataFrame:
+def component_size(df: DataFrame, roles: Roles, entities: Sequence[str], segment_rows: int = HUB_ROWS) -> DataFrame:
     """``component_size``: nodes in the key's component before the row's own edges are added; 1 for a new key, 0 without one.
 
-    Rows are dealt to segments of time of about ``segment_rows``.  From halves of
-    the time line down to single segments, the edges of each earlier half are
-    merged by distributed components, and the later half gets the class and size
-    of its nodes from them.  Each segment is then replayed in order, from the
-    classes at its start, so no task holds more than a segment, whatever the
-    size of a component.
+    Rows are numbered in order, and an edge counts from its first row on.  The
+    edges become a merge tree (:func:`chronolith.operators.components.merge_tree`):
+    for each node but a component's last, which node speaks for it from when
+    on.  A row looks up who speaks for its key, then sums what that node had
+    taken in before.  Nothing is replayed, so the number of jobs does not grow
+    with the rows, and no task holds a component: nodes with more than
+    ``segment_rows`` edges are not one key of a join.
     """
     nodes = [roles.key, *entities]
     names = [F.when(F.col(c).isNotNull(), F.concat_ws(":", F.lit(c), F.col(c).cast("string"))) for c in nodes]
-    listed = F.array_compact(F.array(*names))
-    # rows are numbered, so that those which repeat an id stay apart
-    columns, df = df.columns, written(df.withColumn("_row", F.monotonically_increasing_id()), "graph-input")
-    some = df.select("_row", F.col(roles.id).alias("_id"), F.col(roles.time).alias("_t"), names[0].alias("_key"), listed.alias("_nodes")).where(F.size("_nodes") > 0)
-    segments = max(1, -(-some.count() // segment_rows))
-    ranged = some.repartitionByRange(segments, F.col("_t").asc_nulls_last(), F.col("_id").asc_nulls_last())
-    rows = written(ranged.withColumn("_segment", F.spark_partition_id()), "graph-rows")
-    last = rows.agg(F.max("_segment")).first()[0] or 0
-    state = rows.select("_segment", F.explode("_nodes").alias("node")).distinct().select("_segment", "node", F.col("node").alias("label"), F.lit(1).cast("long").alias("size"))
-    edges = written(rows.select("_segment", F.col("_nodes")[0].alias("src"), F.explode("_nodes").alias("dst")).where("src <> dst").distinct(), "graph-edges") if last else None
-    for bit in reversed(range(int(last).bit_length())):
-        state = written(_carried(state, edges, bit), "graph-state")
-
-    def replay(batch: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[str, str] = dict(zip(start["node"], start["label"], strict=True))
-        size: dict[str, int] = dict(zip(start["label"], start["size"].tolist(), strict=True))
-        parent.update((label, label) for label in start["label"])
-
-        def root(x: str) -> str:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        batch, out = batch.sort_values(["_t", "_id"], kind="stable"), []
-        for key, members in zip(batch["_key"], batch["_nodes"], strict=True):
-            out.append(size[root(key)] if isinstance(key, str) else 0)
-            for other in members[1:]:
-                a, b = root(members[0]), root(other)
-                if a != b:
-                    a, b = (a, b) if size[a] >= size[b] else (b, a)
-                    parent[b] = a
-                    size[a] += size[b]
-        return pd.DataFrame({"_row": batch["_row"], "component_size": out})
-
-    sizes = rows.groupBy("_segment").cogroup(state.groupBy("_segment")).applyInPandas(replay, "_row long, component_size long")
-    return df.join(sizes, "_row", "left").select(*columns, F.coalesce("component_size", F.lit(0).cast("long")).alias("component_size"))
-
-
-def _carried(state: DataFrame, edges: DataFrame, bit: int) -> DataFrame:
-    """``state`` (_segment, node, label, size) with the edges of each earlier half of ``2 << bit`` segments merged for the later half.
-
-    A label is the node that names a class; it and the class's size hold at the
-    start of the two halves, and afterwards at the start of each half.
-    """
-    block = F.shiftright("_segment", bit + 1)
-    later = F.shiftright("_segment", bit).bitwiseAND(1) == 1
-    placed = state.withColumn("place", F.concat_ws(":", F.lpad(block.cast("string"), 10, "0"), "label"))
-    early = placed.where(~later)
-    src, dst = (early.select("_segment", F.col("node").alias(c), F.col("place").alias(p)) for c, p in (("src", "a"), ("dst", "b")))
-    met = edges.join(src, ["_segment", "src"]).join(dst, ["_segment", "dst"]).select("a", "b")
-    classes = connected_components(met, "a", "b").withColumnRenamed("node", "place")
-    sizes = early.select("place", "size").distinct().join(classes, "place").groupBy("component").agg(F.sum("size").alias("merged"))
-    # one row for each class that later nodes are in: a large class repeats on the other side only, which can be split
-    asked = placed.where(later).select("place").distinct().join(classes, "place").join(sizes, "component")
-    out = placed.join(asked.withColumn("found", F.lit(True)), "place", "left")
-    label = F.when(F.col("found") & later, F.expr("substring(component, 12)")).otherwise(F.col("label"))
-    return out.select("_segment", "node", label.alias("label"), F.when(F.col("found") & later, F.col("merged")).otherwise(F.col("size")).alias("size"))
+    columns, order = df.columns, [F.col(roles.time).asc_nulls_last(), F.col(roles.id).asc_nulls_last()]
+    # the number of a row is its place; so rows which repeat an id stay apart
+    rows = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "graph-rows")
+    listed = rows.select("_row", F.array_compact(F.array(*names)).alias("_nodes")).where(F.size("_nodes") > 1)
+    pairs = listed.select((F.col("_row") * len(nodes)).alias("at"), F.col("_nodes")[0].alias("src"), F.posexplode("_nodes").alias("k", "dst")).where("src <> dst")
+    edges = written(pairs.groupBy("src", "dst").agg(F.min(F.col("at") + F.col("k")).alias("at")), "graph-edges")
+    named, tree = merge_tree(edges, segment_rows)
+    chains, weights = ancestors(tree, segment_rows)
+    heads = named.join(chains.withColumnRenamed("node", "rank").hint("merge"), "rank", "left")
+    asked = rows.select("_row", (F.col("_row") * len(nodes)).alias("at"), names[0].alias("node")).where("node is not null")
+    # a key without edges is alone for ever
+    held = F.try_element_at(F.filter("chain", lambda x: x["at"] < F.col("at")), F.lit(-1))["node"]
+    placed = asked.join(heads.hint("merge"), "node", "left").select("_row", "at", F.coalesce(held, F.col("rank")).alias("head"))
+    taken = tree.join(weights.hint("merge"), "node").select(F.lit(None).cast("long").alias("_row"), "at", F.col("parent").alias("head"), "weight")
+    both = written(placed.where("head is not null").withColumn("weight", F.lit(0).cast("long")).unionByName(taken), "graph-sizes")
+    summed = prior_aggregates(both, Roles("head", "at", "_row", "weight"), [["head"]], stats=["sum"])
+    sizes = summed.where("_row is not null").select("_row", (F.col("head_weight_sum").cast("long") + 1).alias("component_size"))
+    known = F.when(F.col(roles.key).isNull(), 0).otherwise(F.coalesce("component_size", F.lit(1)))
+    return rows.join(sizes, "_row", "left").select(*columns, known.cast("long").alias("component_size"))

@@ -139,3 +139,28 @@ def test_models_are_compared_and_searched(rows):
     parts = [p for p in rows.randomSplit([0.5, 0.5], 3)]
     compared = models.compare(parts[0], parts[1], ["amt", "t"], "y")
     assert compared.count() == 3
+
+
+def test_component_size_in_as_many_steps_whatever_the_rows_of_a_segment(spark):
+    import os
+
+    from chronolith.operators import graph
+    from chronolith.spec import Roles
+    from chronolith.storage import shared_dir
+
+    folder = f"{shared_dir(spark).removeprefix('file:')}/chronolith"
+    os.makedirs(folder, exist_ok=True)
+    # the path grows at one end, then at the other; keys come back later
+    links = [(f"k{i}", f"x{i}") for i in range(30)] + [(f"k{i + 1}", f"x{i}") for i in range(28, -1, -1)] + [(f"k{i}", None) for i in range(0, 30, 7)]
+    df = spark.createDataFrame([(i, k, i, x) for i, (k, x) in enumerate(links)], "id long, key string, t long, x string")
+    steps, found = [], []
+    for n in (7, 1000):
+        before = set(os.listdir(folder))
+        found.append({r["id"]: r["component_size"] for r in graph.component_size(df, Roles("key", "t", "id", "amt", "y"), ["x"], segment_rows=n).collect()})
+        steps.append(len(set(os.listdir(folder)) - before))
+    want, parts = {}, {}
+    for i, (k, x) in enumerate(links):
+        want[i] = len(parts.get(k, {k}))
+        whole = set().union(*[parts.get(n, {n}) for n in (k, x) if n])
+        parts |= dict.fromkeys(whole, whole)
+    assert found == [want, want] and steps[0] == steps[1]
