@@ -97,17 +97,17 @@ class _InOrder(StatefulProcessor):
         self.waiting.appendList(new)
         due = max(self._ms(min(r[self.states.time] for r in new)), timerValues.getCurrentWatermarkInMs() + 1)
         self.handle.registerTimer(due)
-        yield self.states.frame([])
+        # nothing comes out yet; a frame, even an empty one, costs more than the events of most entities
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         rows = list(self.waiting.get())
         ready = sorted((r for r in rows if self._ms(r[self.states.time]) <= now), key=self.states.place)
-        held = self.held.get() if self.held.exists() else None
+        held = self.held.get()
         if not ready:
             if held and self.idle is not None and self._ms(held[1] + self.idle) < now:
                 self.held.clear()
-            yield self.states.frame([])
             return
         states, out = self.states.take(json.loads(held[0]) if held else self.states.start(), ready)
         last = ready[-1][self.states.time]
@@ -120,7 +120,8 @@ class _InOrder(StatefulProcessor):
             self.waiting.clear()
         if self.idle is not None:
             self.handle.registerTimer(max(self._ms(last + self.idle) + 1, now + 1))
-        yield self.states.frame(out)
+        if out:
+            yield self.states.frame(out)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         for row in initialState.itertuples(index=False):

@@ -224,3 +224,19 @@ def test_encoder_is_fitted_on_a_bounded_sample(spark, shuffled):
     assert encoder.transform(batch, ROLES, 6).count() == 5
     empty = recurrent.fit(batch.limit(0), ROLES, ["amt"], epochs=1)
     assert empty.transform(batch.limit(0), ROLES).count() == 0
+
+
+def test_an_entity_with_nothing_to_give_yields_no_frame():
+    import pandas as pd
+
+    from chronolith.streaming.folds import RecentCount
+
+    class Value:
+        update = registerTimer = appendList = lambda self, *_: None
+        getListState = getValueState = lambda self, *_: self
+
+    states = ordered._States([RecentCount(10)], ROLES, [ROLES.id, ROLES.key, ROLES.time], None)
+    processor = ordered._InOrder(states, None, "second", None)
+    processor.init(Value())
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: 0})()
+    assert list(processor.handleInputRows((1,), iter([pd.DataFrame([(1, 1, 5)])]), clock)) == []
