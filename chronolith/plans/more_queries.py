@@ -164,15 +164,17 @@ def history_one_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LATE_US = 6 * HOUR_US
 
 
-def _streamed(spark: SparkSession, df: DataFrame, make: Callable[[DataFrame], DataFrame], slices: int = 2) -> DataFrame:
-    """What ``make`` gives for ``df`` (id, key, t, ...) as a stream that is stopped and started again, with late events.
+def _streamed(spark: SparkSession, df: DataFrame, make: Callable[[DataFrame, int], DataFrame], slices: int = 2) -> DataFrame:
+    """What ``make``, of a stream and a number of buckets, gives for ``df`` (id, key, t, ...) as a stream that is stopped and started again, with late events.
 
     Rows come in ``slices`` of time, one run of the query each; every fifth of the rows in the last six
     hours of a slice comes with the next one.  A last row ends the stream.
     """
-    ends = df.agg(F.min("t"), F.max("t")).first()
+    ends = df.agg(F.min("t"), F.max("t"), F.count(F.lit(1))).first()
     first, last = (ends[0] or 0), (ends[1] or 0)
     width = (last - first) // slices + 1
+    # so that a bucket's share of the rows does not grow with them
+    buckets = max(64, ends[2] // 10_000)
     held = (F.xxhash64("id") % 5 == 0) & ((F.col("t") - first) % width >= width - _LATE_US)
     arrives = F.floor((F.col("t") - first) / width) + held.cast("int")
     sliced = written(df.withColumns({"gone": F.lit(False), "arrives": arrives}), "arrivals")
@@ -184,7 +186,7 @@ def _streamed(spark: SparkSession, df: DataFrame, make: Callable[[DataFrame], Da
             end = spark.range(1).select(*blank).withColumns({"id": F.lit(-1).cast("long"), "key": F.lit(-1).cast(df.schema["key"].dataType), "t": F.lit(last + 10 * _LATE_US + width), "gone": F.lit(True)})
             part = part.unionByName(end)
         part.write.mode("append").parquet(folder)
-        made = make(stateful.read_events(spark, folder, part.schema))
+        made = make(stateful.read_events(spark, folder, part.schema), buckets)
         made.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(made.schema).parquet(sink)
 
@@ -193,7 +195,7 @@ def _streamed(spark: SparkSession, df: DataFrame, make: Callable[[DataFrame], Da
 def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the last day, from a stream in several runs with late events."""
     base = events(spark, sf_dir).select("id", "key", "t")
-    return _streamed(spark, base, lambda s: stateful.velocity_counts(s, ORDERS, 24 * HOUR_US, late="6 hours", tick="microsecond", reset="gone")).select("id", "n_recent")
+    return _streamed(spark, base, lambda s, n: stateful.velocity_counts(s, ORDERS, 24 * HOUR_US, late="6 hours", tick="microsecond", reset="gone", buckets=n)).select("id", "n_recent")
 
 
 _STREAM_PRIOR = "over (partition by key order by t, id rows between unbounded preceding and 1 preceding)"
@@ -205,7 +207,7 @@ def stream_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History, aggregation and amount features of a stream in several runs with late events."""
     base = events(spark, sf_dir).select("id", "key", "t", "amt")
     made = [folds.History(ORDERS, [HOUR_US], ["count"]), folds.Aggregation(ORDERS, [["key"]], stats=["count", "sum", "max"]), folds.Amounts(ORDERS)]
-    found = _streamed(spark, base, lambda s: ordered.in_order(s, ORDERS, made, "6 hours", "microsecond", reset="gone"))
+    found = _streamed(spark, base, lambda s, n: ordered.in_order(s, ORDERS, made, "6 hours", "microsecond", reset="gone", buckets=n))
     return found.select("id", "time_since_last", F.col("key_amt_count").alias("n"), F.round("key_amt_sum", 3).alias("total"), F.col("key_amt_max").alias("hi"), F.col(f"tx_count_last_{HOUR_US}s").alias("n_hour"), F.round("amount_delta", 6).alias("amount_delta"))
 
 

@@ -1,14 +1,19 @@
 """Folds over a stream in the order of event time, and the same over a table.
 
-Events wait in their entity's state until the watermark has passed them; then a
-timer takes them out by ``(time, id)`` and feeds them to the folds.  So an event that
+Events wait in a state until the watermark has passed them; then a
+timer takes them out by ``(time, id)`` and feeds them to their entity's folds.  So an event that
 comes late, but within the watermark, counts where it belongs, events after it see
 it, and every result is final: a stream gives what a batch over the same rows
 gives, however they are cut into files.  The price is that a result comes when the
 watermark passes its event; events that are later than that are dropped by
 Spark, and counted in the query's progress.
 
-State is the waiting events and the folds' states.  An entity's fold states end
+State is the waiting events and the folds' states.  Entities share it by a hash, in
+``buckets``: calls of state and timers and frames cost milliseconds each, so there is
+one of each for a bucket and batch, not for an entity.  A batch reads and rewrites
+the states of the buckets it touches, and a task holds one bucket's events at a time.
+
+An entity's fold states end
 ``idle`` ticks after its last event (by event time; by default when no fold can
 tell the difference, which folds without end never say).  ``reset`` names a boolean
 column: a row where it is true empties its entity's fold states at its place in
@@ -25,12 +30,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from chronolith.spec import Roles
 from chronolith.streaming.folds import Fold
 from chronolith.streaming.stateful import SHIFT, TICKS, timed
 
+#: Keys of the state, each shared by many entities.
+BUCKETS = 1024
+#: Events in a piece of a bucket's waiting events, and in a frame.
+PIECE = 10_000
 #: The state store that keeps lists and timers by key.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -47,7 +56,7 @@ class _States:
 
     def __init__(self, folds: Sequence[Fold], roles: Roles, columns: Sequence[str], reset: str | None):
         self.folds, self.columns = list(folds), list(columns)
-        self.time, self.id = self.columns.index(roles.time), self.columns.index(roles.id)
+        self.time, self.id, self.key = (self.columns.index(c) for c in (roles.time, roles.id, roles.key))
         self.reset = None if reset is None else self.columns.index(reset)
         self.outputs = [n for f in self.folds for n in f.outputs]
 
@@ -72,60 +81,99 @@ class _States:
         return row[self.time], row[self.id]
 
     def frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[*self.columns, *self.outputs]).astype(object)
+        return pd.DataFrame(rows, columns=[*self.columns, *self.outputs], dtype=object)
+
+
+def _put(state, rows: list[tuple]) -> None:
+    """``rows`` in place of a list state's; none clear it."""
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
 
 
 class _InOrder(StatefulProcessor):
-    """One entity: ``waiting`` events, the folds' states, and a timer at the first waiting event or at the end of the states."""
+    """One bucket of entities: ``waiting`` events, the folds' states, and timers at the first waiting event and at the first end of an entity's states."""
 
-    def __init__(self, states: _States, schema: StructType, tick: str, idle: int | None):
-        self.states, self.schema, self.tick, self.idle = states, schema, tick, idle
+    def __init__(self, states: _States, schema: StructType | None, tick: str, idle: int | None, held: StructType | None = None):
+        self.states, self.schema, self.held_schema, self.tick, self.idle = states, schema, held, tick, idle
+        # pieces of waiting events are lists, one for each column, the key's first
+        self.order = [states.key, *(k for k in range(len(states.columns)) if k != states.key)]
+        self.places = [self.order.index(k) for k in range(len(states.columns))]
 
     def init(self, handle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.schema)
-        self.held = handle.getValueState("held", StructType([StructField("states", StringType()), StructField("last", LongType())]))
+        self.held = handle.getListState("held", self.held_schema)
+        self.now, self.done = None, set()
 
     def _ms(self, time: int) -> int:
         # the watermark is in whole milliseconds; a time inside one is past when the next is reached
         return -(-(time * TICKS[self.tick] + SHIFT) // 1000)
 
+    def _pieces(self, rows: list[tuple]) -> list[tuple]:
+        return [tuple([r[k] for r in rows[i : i + PIECE]] for k in self.order) for i in range(0, len(rows), PIECE)]
+
+    def _waiting(self) -> Iterator[tuple]:
+        for piece in self.waiting.get():
+            yield from zip(*(piece[k] for k in self.places), strict=True)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         # by place: the optimizer may give a renamed column back its old name
         width = len(self.states.columns)
-        new = [tuple(_plain(v) for v in r[:width]) for part in rows for r in part.itertuples(index=False, name=None)]
-        self.waiting.appendList(new)
-        due = max(self._ms(min(r[self.states.time] for r in new)), timerValues.getCurrentWatermarkInMs() + 1)
-        self.handle.registerTimer(due)
+        first = None
+        for part in rows:
+            new = [tuple(_plain(v) for v in r[:width]) for r in part.itertuples(index=False, name=None)]
+            if new:
+                self.waiting.appendList(self._pieces(new))
+                least = min(r[self.states.time] for r in new)
+                first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer(max(self._ms(first), timerValues.getCurrentWatermarkInMs() + 1))
         # nothing comes out yet; a frame, even an empty one, costs more than the events of most entities
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get())
-        ready = sorted((r for r in rows if self._ms(r[self.states.time]) <= now), key=self.states.place)
-        held = self.held.get()
-        if not ready:
-            if held and self.idle is not None and self._ms(held[1] + self.idle) < now:
-                self.held.clear()
+        if now != self.now:
+            self.now, self.done = now, set()
+        # a bucket's first timer of a batch does all that is due; timers that it sets are later ones
+        if key in self.done:
             return
-        states, out = self.states.take(json.loads(held[0]) if held else self.states.start(), ready)
-        last = ready[-1][self.states.time]
-        self.held.update((json.dumps(states), last))
-        rest = [r for r in rows if self._ms(r[self.states.time]) > now]
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(max(self._ms(min(r[self.states.time] for r in rest)), now + 1))
-        else:
-            self.waiting.clear()
-        if self.idle is not None:
-            self.handle.registerTimer(max(self._ms(last + self.idle) + 1, now + 1))
+        self.done.add(key)
+        ready: dict[object, list[tuple]] = {}
+        rest = []
+        past = (now * 1000 - SHIFT) // TICKS[self.tick]
+        for row in self._waiting():
+            if row[self.states.time] <= past:
+                ready.setdefault(row[self.states.key], []).append(row)
+            else:
+                rest.append(row)
+        held = {name: (states, last) for name, states, last in self.held.get()}
+        out: list[tuple] = []
+        for name, rows in ready.items():
+            rows.sort(key=self.states.place)
+            before = held.get(name)
+            states, found = self.states.take(json.loads(before[0]) if before else self.states.start(), rows)
+            held[name] = json.dumps(states), rows[-1][self.states.time]
+            out += found
+            while len(out) >= PIECE:
+                yield self.states.frame(out[:PIECE])
+                del out[:PIECE]
         if out:
             yield self.states.frame(out)
+        kept = held if self.idle is None else {name: of for name, of in held.items() if self._ms(of[1] + self.idle) >= now}
+        if ready or len(kept) < len(held):
+            _put(self.held, [(name, *of) for name, of in kept.items()])
+        if ready:
+            _put(self.waiting, self._pieces(rest))
+        if rest:
+            self.handle.registerTimer(max(self._ms(min(r[self.states.time] for r in rest)), now + 1))
+        if self.idle is not None and kept:
+            self.handle.registerTimer(max(self._ms(min(last for _, last in kept.values()) + self.idle) + 1, now + 1))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        for row in initialState.itertuples(index=False):
-            self.held.update((row.states, int(row.last)))
+        self.held.appendList([(_plain(name), states, int(last)) for name, states, last, *_ in initialState.itertuples(index=False, name=None)])
 
     def close(self) -> None:
         pass
@@ -145,19 +193,29 @@ def _idle(folds: Sequence[Fold]) -> int | None:
     return None if any(m is None for m in memories) else max(memories, default=0)
 
 
-def in_order(stream: DataFrame, roles: Roles, folds: Sequence[Fold], late: str = "1 hour", tick: str = "second", idle: int | None = None, reset: str | None = None, warm: DataFrame | None = None) -> DataFrame:
+def in_order(stream: DataFrame, roles: Roles, folds: Sequence[Fold], late: str = "1 hour", tick: str = "second", idle: int | None = None, reset: str | None = None, warm: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The events of ``stream`` with the folds' columns, each once the watermark, ``late`` behind, has passed it.
 
     Rows without a key or time are left out.  ``warm``, from :func:`states_of`,
-    holds the states that entities start from.
+    holds the states that entities start from.  ``buckets`` is part of the state: a
+    query that is started again on its checkpoint needs the number it had.  About one for each
+    10,000 events that wait at a time is enough.
     """
     stream.sparkSession.conf.set(*STORE)
     columns = list(stream.columns)
     out = _schema(stream, columns, folds)
     known = stream.where(F.col(roles.key).isNotNull() & F.col(roles.time).isNotNull())
-    processor = _InOrder(_States(folds, roles, columns, reset), stream.schema, tick, _idle(folds) if idle is None else idle)
-    grouped = timed(known, roles, late, tick).groupBy(roles.key)
-    first = warm.select(roles.key, "states", "last").groupBy(roles.key) if warm is not None else None
+    states = _States(folds, roles, columns, reset)
+    name = stream.schema[roles.key]
+    waiting = StructType([StructField(f.name, ArrayType(f.dataType)) for f in [name, *(f for f in stream.schema if f.name != name.name)]])
+    held = StructType([StructField("key", name.dataType), StructField("states", StringType()), StructField("last", LongType())])
+    processor = _InOrder(states, waiting, tick, _idle(folds) if idle is None else idle, held)
+    bucket = F.pmod(F.xxhash64(roles.key), F.lit(buckets))
+    grouped = timed(known, roles, late, tick).withColumn("_bucket", bucket).groupBy("_bucket")
+    first = None
+    if warm is not None:
+        # equal keys hash alike only as one type
+        first = warm.select(F.col(roles.key).cast(name.dataType).alias(roles.key), "states", "last").withColumn("_bucket", bucket).groupBy("_bucket")
     return grouped.transformWithStateInPandas(processor, out, "append", "EventTime", first)
 
 

@@ -42,18 +42,19 @@ def timed(stream: DataFrame, roles: Roles, late: str, tick: str) -> DataFrame:
     return stream.withColumn("_at", at).withWatermark("_at", late)
 
 
-def velocity_counts(stream: DataFrame, roles: Roles, width: int, keep: Sequence[str] = (), late: str = "1 hour", tick: str = "second", reset: str | None = None) -> DataFrame:
+def velocity_counts(stream: DataFrame, roles: Roles, width: int, keep: Sequence[str] = (), late: str = "1 hour", tick: str = "second", reset: str | None = None, buckets: int | None = None) -> DataFrame:
     """``(id, key, t, *keep, n_recent)``: events of the key in the last ``width`` ticks, this one included.
 
     An event is counted when the watermark has passed it, in the order of time and
     id, so that events that come late count where they belong.  A row whose
     boolean column ``reset`` is true empties its key's state at its place in
-    time, and is no event itself.  ``tick`` is second, millisecond or microsecond.
+    time, and is no event itself.  ``tick`` is second, millisecond or microsecond; ``buckets``
+    is that of :func:`chronolith.streaming.ordered.in_order`.
     """
     from chronolith.streaming import folds, ordered
 
     columns = [roles.id, roles.key, roles.time, *keep, *([reset] if reset else [])]
-    counted = ordered.in_order(stream.select(*columns), roles, [folds.RecentCount(width)], late, tick, reset=reset)
+    counted = ordered.in_order(stream.select(*columns), roles, [folds.RecentCount(width)], late, tick, reset=reset, buckets=buckets or ordered.BUCKETS)
     return counted.drop(reset) if reset and reset not in keep else counted
 
 
@@ -62,8 +63,12 @@ def read_state(spark, checkpoint: str, name: str = "held") -> DataFrame:
 
     ``held`` has the folds' states as JSON with the time of the last event, ``waiting`` the events to come.
     """
-    state = spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
-    return state.select("key", *[c for c in ("value", "list_element") if c in state.columns])
+    state = spark.read.format("statestore").option("stateVarName", name).load(checkpoint).select("list_element.*")
+    key = state.columns[0]
+    if name == "held":
+        return state.select(F.struct(key).alias("key"), F.struct("states", "last").alias("value"))
+    events = state.select(F.explode(F.arrays_zip(*state.columns)).alias("list_element"))
+    return events.select(F.struct(F.col("list_element")[key].alias(key)).alias("key"), "list_element")
 
 
 def ruled(batch: DataFrame, history: DataFrame, engine, roles: Roles) -> DataFrame:

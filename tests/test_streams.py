@@ -240,3 +240,83 @@ def test_an_entity_with_nothing_to_give_yields_no_frame():
     processor.init(Value())
     clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: 0})()
     assert list(processor.handleInputRows((1,), iter([pd.DataFrame([(1, 1, 5)])]), clock)) == []
+
+
+class _Handle:
+    """Timers and states of one key in memory, and how often they were called."""
+
+    def __init__(self):
+        self.timers, self.lists, self.calls = [], {}, 0
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def getListState(self, name, _):
+        handle, self.lists[name] = self, []
+
+        class State:
+            def get(self):
+                handle.calls += 1
+                return iter(list(handle.lists[name]))
+
+            def put(self, rows):
+                handle.calls += 1
+                handle.lists[name] = list(rows)
+
+            def appendList(self, rows):
+                handle.calls += 1
+                handle.lists[name] += rows
+
+            def clear(self):
+                self.put([])
+
+        return State()
+
+    getValueState = getListState
+
+
+def _clock(now):
+    return type("Clock", (), {"getCurrentWatermarkInMs": lambda self: now})()
+
+
+def test_entities_of_a_bucket_cost_one_call_each_and_one_frame(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(ordered, "SHIFT", 0)
+    rows = [(k, k % 300, k // 300) for k in range(1200)]
+    states = ordered._States([folds.RecentCount(100)], ROLES, [ROLES.id, ROLES.key, ROLES.time], None)
+    processor, handle = ordered._InOrder(states, None, "second", 100), _Handle()
+    processor.init(handle)
+    processor.handleInputRows((0,), iter([pd.DataFrame(rows)]), _clock(0))
+    # times 0 and 1 are due, twice named by timers; then all
+    first = [f for _ in range(2) for f in processor.handleExpiredTimer((0,), _clock(1500), None)]
+    second = list(processor.handleExpiredTimer((0,), _clock(9000), None))
+    assert len(first) == len(second) == 1 and handle.calls <= 14
+    got = {r[0]: r[3] for f in (first[0], second[0]) for r in f.itertuples(index=False)}
+    assert got == {k: k // 300 + 1 for k in range(1200)} and len(first[0]) == 600
+    assert len(handle.lists["held"]) == 300 and handle.lists["waiting"] == []
+    # states end, and with them their bucket's rows
+    list(processor.handleExpiredTimer((0,), _clock(200_000), None))
+    assert handle.lists["held"] == []
+
+
+def test_large_buckets_give_frames_in_pieces(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(ordered, "SHIFT", 0)
+    monkeypatch.setattr(ordered, "PIECE", 7)
+    states = ordered._States([folds.RecentCount(100)], ROLES, [ROLES.id, ROLES.key, ROLES.time], None)
+    processor, handle = ordered._InOrder(states, None, "second", None), _Handle()
+    processor.init(handle)
+    processor.handleInputRows((0,), iter([pd.DataFrame([(k, k % 5, k // 5) for k in range(50)])]), _clock(0))
+    frames = list(processor.handleExpiredTimer((0,), _clock(9000), None))
+    assert max(map(len, frames)) == 7 and {r[0]: r[3] for f in frames for r in f.itertuples(index=False)} == {k: k // 5 + 1 for k in range(50)}
+
+
+def test_a_stream_in_one_bucket_equals_the_batch(spark, shuffled, stream, tmp_path):
+    got = _run(stateful.velocity_counts(stream, ROLES, 300, late="400 seconds", reset="gone", buckets=1), tmp_path)
+    want = {r["id"]: r["_recent"] for r in Velocity(300, 5).apply(_batch(spark, shuffled), ROLES)[0].collect()}
+    assert {k: v["n_recent"] for k, v in got.items()} == want and len(want) == 240
+    waiting = stateful.read_state(spark, str(tmp_path / "out-cp"), "waiting").collect()
+    assert [(r["key"]["key"], r["list_element"]["id"]) for r in waiting] == [(0, 999)]
