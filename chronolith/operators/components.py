@@ -154,4 +154,4 @@ def ancestors(tree: DataFrame, most: int = HUB_ROWS) -> tuple[DataFrame, DataFra
         met = _beside(now.withColumn("end", F.element_at("chain", -1)["node"]), "end", more, most)
         now = written(met.select("node", F.concat("chain", F.coalesce("more", F.slice("chain", 1, 0))).alias("chain")), "chains")
     below = now.select(F.explode("chain.node").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    return now, now.select("node").join(below, "node", "left").select("node", (F.coalesce("n", F.lit(0)) + 1).alias("weight"))
+    return now, now.select("node").join(below.hint("merge"), "node", "left").select("node", (F.coalesce("n", F.lit(0)) + 1).alias("weight"))

@@ -75,4 +75,5 @@ def component_size(df: DataFrame, roles: Roles, entities: Sequence[str], segment
     summed = prior_aggregates(both, Roles("head", "at", "_row", "weight"), [["head"]], stats=["sum"])
     sizes = summed.where("_row is not null").select("_row", (F.col("head_weight_sum").cast("long") + 1).alias("component_size"))
     known = F.when(F.col(roles.key).isNull(), 0).otherwise(F.coalesce("component_size", F.lit(1)))
-    return rows.join(sizes, "_row", "left").select(*columns, known.cast("long").alias("component_size"))
+    # by a sort, as everywhere here: there is a size for each row, and what is broadcast goes through the driver
+    return rows.join(sizes.hint("merge"), "_row", "left").select(*columns, known.cast("long").alias("component_size"))

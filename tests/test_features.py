@@ -8,7 +8,7 @@ import pytest
 
 from chronolith.functions import rows
 from chronolith.operators import encoders, graph, rules, tables
-from chronolith.operators.components import connected_components
+from chronolith.operators.components import ancestors, connected_components
 from chronolith.plans.features import FeaturePlan, configure
 from chronolith.spec import Roles
 
@@ -100,6 +100,15 @@ def test_component_size(spark):
     assert column(graph.component_size(df, ROLES, ["addr"]), "component_size") == [1, 2, 1, 1, 2, 0]
 
 
+def test_component_size_broadcasts_nothing_that_grows_with_the_rows(spark, capsys):
+    df = spark.range(40).selectExpr("id", "concat('K', id % 9) as key", "id as t", "concat('a', id % 4) as addr")
+    graph.component_size(df, ROLES, ["addr"]).explain()
+    tree = spark.createDataFrame([(k, k - 1, k) for k in range(1, 9)], "node long, parent long, at long")
+    ancestors(tree)[1].explain()
+    plans = capsys.readouterr().out
+    assert plans.count("SortMergeJoin") == 2 and "Broadcast" not in plans
+
+
 def test_component_size_of_a_giant_component_in_bounded_tasks(spark):
     rng = random.Random(3)
     rows = [(k, rng.choice([None, *[f"K{i}" for i in range(60)]]), rng.randrange(90), rng.choice([None, None, "hub", "a", "b", "c"]), rng.choice([None, *"uvwxyz"])) for k in range(300)]
